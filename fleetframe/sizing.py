@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import TimestampNTZType
 
 ROWS_PER_TASK = 4_000_000
+BINS_PER_CHUNK = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,8 +73,9 @@ def time_chunks(
     """Add a chunk number that cuts hot keys along the long column ``t``.
 
     Keys of at most ``rows_per_task`` rows keep chunk 0. A hot key's time line is counted
-    in fine bins, and bins are packed into chunks by their running row count, so bursts do
-    not make a chunk large. Equal times always share a chunk. Returns the frame and the
+    in fine bins, and bins are packed into chunks by their running row count, so only a
+    burst of more than ``BINS_PER_CHUNK`` times the key's mean rate makes a chunk large.
+    Equal times always share a chunk. Returns the frame and the
     hot keys (``None`` when there are none, in which case nothing is joined).
     """
     stats = df.groupBy(*by).agg(
@@ -81,7 +83,7 @@ def time_chunks(
     ).filter(F.col("_n") > rows_per_task)
     if stats.isEmpty():
         return df.withColumn(name, F.lit(0)), None
-    bins = F.ceil(F.col("_n") / rows_per_task) * 64
+    bins = F.ceil(F.col("_n") / rows_per_task) * BINS_PER_CHUNK
     hot = shared_table(stats.select(
         *by, "_lo",
         F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / bins)).cast("long")

@@ -37,10 +37,10 @@ class AnchorReplay(StatefulProcessor):
         anchor, seen = known[0], known[1]
         # Only the micro-batch's rows of this key: their order is not given by Spark.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(
-            ["_t", *self.order], kind="stable"
+            ["at_us", *self.order], kind="stable"
         )
         kinds = []
-        for t in batch["_t"].tolist():
+        for t in batch["at_us"].tolist():
             if t != t or t is None:
                 kinds.append(None)
             elif seen is not None and t < seen:
@@ -56,7 +56,7 @@ class AnchorReplay(StatefulProcessor):
                 seen = t
         if anchor is not None:
             self.state.update((int(anchor), int(seen)))
-        yield batch[self.columns].assign(_kind=pd.Series(kinds, index=batch.index, dtype="object"))
+        yield batch[self.columns].assign(at_kind=pd.Series(kinds, index=batch.index, dtype="object"))
 
     def close(self) -> None:
         pass
@@ -66,8 +66,8 @@ def _replay(stream: DataFrame, key, ts, span, order):
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    timed = stream.withColumn("_t", micros(stream, ts))
-    schema = StructType(stream.schema.fields + [StructField("_kind", StringType())])
+    timed = stream.withColumn("at_us", micros(stream, ts))
+    schema = StructType(stream.schema.fields + [StructField("at_kind", StringType())])
     return timed.groupBy(*key).transformWithStateInPandas(
         statefulProcessor=AnchorReplay(stream.columns, span, list(order)),
         outputStructType=schema, outputMode="append", timeMode="None",
@@ -80,13 +80,13 @@ def ttl_replay_stream(stream: DataFrame, key, ts: str, max_age: float, order=())
                            (("first", "Miss"), ("next", "Expired"), ("within", "Hit"), ("late", "Late"))
                            for x in p])
     marked = _replay(stream, key, ts, int(max_age * SECOND), order)
-    return marked.withColumn("status", F.try_element_at(words, F.col("_kind"))).drop("_kind")
+    return marked.withColumn("status", F.try_element_at(words, F.col("at_kind"))).drop("at_kind")
 
 
 def interval_gate_stream(stream: DataFrame, key, ts: str, interval: float, order=()) -> DataFrame:
     """``interval_gate`` on a stream: ``passed``, null for late rows."""
     marked = _replay(stream, key, ts, int(interval * SECOND) - 1, order)
-    passed = F.when(F.col("_kind").isin("first", "next"), F.lit(True)).when(
-        F.col("_kind") == "within", F.lit(False)
+    passed = F.when(F.col("at_kind").isin("first", "next"), F.lit(True)).when(
+        F.col("at_kind") == "within", F.lit(False)
     )
-    return marked.withColumn("passed", passed).drop("_kind")
+    return marked.withColumn("passed", passed).drop("at_kind")
