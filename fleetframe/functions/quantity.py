@@ -5,35 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 _QUANTITY = (
-    r"^([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))"
-    r"(?:[eE]([+-]?[0-9]+)|(n|u|m|k|M|G|T|P|E|Ki|Mi|Gi|Ti|Pi|Ei))?\z"
+    r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
+    r"(?:[eE][+-]?[0-9]+|n|u|m|k|M|G|T|P|E|Ki|Mi|Gi|Ti|Pi|Ei)?\z"
 )
 
 # --- fixed values: suffix -> factor ---------------------------------------------------
-BINARY = {"Ki": 2**10, "Mi": 2**20, "Gi": 2**30, "Ti": 2**40, "Pi": 2**50, "Ei": 2**60}
-DECIMAL = {"k": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "E": 10**18}
-FRACTION = {"m": 10**3, "u": 10**6, "n": 10**9}
+FACTORS = {
+    "": 1, "n": "0.000000001", "u": "0.000001", "m": "0.001",
+    "k": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "E": 10**18,
+    "Ki": 2**10, "Mi": 2**20, "Gi": 2**30, "Ti": 2**40, "Pi": 2**50, "Ei": 2**60,
+}
 # ---------------------------------------------------------------------------------------
 
 
 def quantity(col: Column, scale: int = 1) -> Column:
-    """``DECIMAL(38,3)`` value of a quantity text times ``scale``; null when malformed."""
-    number = F.regexp_extract(col, _QUANTITY, 1).try_cast("decimal(24,9)")
-    exponent = F.regexp_extract(col, _QUANTITY, 2).try_cast("int")
-    suffix = F.regexp_extract(col, _QUANTITY, 3)
+    """``DECIMAL(38,3)`` value of a quantity text times ``scale``; null when malformed.
+
+    The number with its exponent, if any, is all but the letters at the end.
+    """
+    suffix = F.regexp_extract(col, "[A-Za-z]*$", 0)
+    number = F.substr(col, F.lit(1), F.length(col) - F.length(suffix)).try_cast("decimal(24,9)")
+    factors = F.create_map(*[
+        F.lit(x) if i == 0 else F.lit(str(x)).cast("decimal(28,9)")
+        for pair in FACTORS.items() for i, x in enumerate(pair)
+    ])
     scaled = number * F.lit(scale).cast("decimal(4,0)")
-    value = F.when(
-        exponent.isNotNull(),
-        (scaled.cast("double") * F.pow(F.lit(10.0), exponent)).try_cast("decimal(38,3)"),
-    ).when(suffix == "", scaled.cast("decimal(38,3)"))
-    for unit, factor in {**BINARY, **DECIMAL}.items():
-        value = value.when(
-            suffix == unit, (scaled * F.lit(factor).cast("decimal(19,0)")).cast("decimal(38,3)")
-        )
-    for unit, divisor in FRACTION.items():
-        value = value.when(
-            suffix == unit, (scaled / F.lit(divisor).cast("decimal(10,0)")).cast("decimal(38,3)")
-        )
+    value = F.try_multiply(scaled, F.try_element_at(factors, suffix)).try_cast("decimal(38,3)")
     return F.when(col.rlike(_QUANTITY), value)
 
 

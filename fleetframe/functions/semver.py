@@ -12,6 +12,7 @@ SEMVER = (
     r"(\+[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*)?\z"
 )
 U64_MAX = "18446744073709551615"
+_IDS = "ARRAY<STRUCT<text: BOOLEAN, digits: INT, id: STRING, len: INT>>"
 
 
 def _head(v: Column) -> Column:
@@ -41,7 +42,9 @@ def is_semver(v: Column) -> Column:
     fits = F.forall(
         _core(v), lambda n: n.isNotNull() & (n <= F.lit(U64_MAX).cast("decimal(20,0)"))
     )
-    return F.coalesce(v.rlike(SEMVER), F.lit(False)) & F.coalesce(fits, F.lit(False))
+    # Shorter numbers always fit, so the parts are only parsed when one has 20 digits.
+    small = ~v.rlike("[0-9]{20}")
+    return F.coalesce(v.rlike(SEMVER) & (small | F.coalesce(fits, F.lit(False))), F.lit(False))
 
 
 def _identifiers(text: Column) -> Column:
@@ -58,7 +61,7 @@ def _identifiers(text: Column) -> Column:
             F.length(x).alias("len"),
         )
 
-    return F.transform(parts, key)
+    return F.when(text == "", F.array().cast(_IDS)).otherwise(F.transform(parts, key))
 
 
 def semver_key(v: Column) -> Column:

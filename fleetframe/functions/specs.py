@@ -11,20 +11,26 @@ from ..schemas import OPERATORS
 from .semver import is_semver
 
 
+# --- fixed values: Unicode White_Space ---------------------------------------------------
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# ---------------------------------------------------------------------------------------
+
+
 def strip(text: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
-def parameter(text: Column) -> Column:
-    """``STRUCT<name, value, error>`` of one ``name=value`` text; checks in fixed order."""
-    trimmed = strip(text)
-    parts = F.split(trimmed, "=", -1)
-    name, value = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+def _judge(trimmed: Column) -> Column:
+    sign = F.instr(trimmed, F.lit("="))
+    name, value = F.substr(trimmed, F.lit(1), sign - 1), F.substr(trimmed, sign + 1)
     error = (
-        F.when(text.isNull() | (trimmed == ""), "EmptyInput")
-        .when(F.size(parts) != 2, "InvalidEqualSignCount")
-        .when(name == "", "EmptyName")
+        F.when(trimmed.isNull() | (trimmed == ""), "EmptyInput")
+        .when((sign == 0) | value.contains("="), "InvalidEqualSignCount")
+        .when(sign == 1, "EmptyName")
         .when(value == "", "EmptyValue")
     )
     return F.struct(
@@ -34,6 +40,11 @@ def parameter(text: Column) -> Column:
     )
 
 
+def parameter(text: Column) -> Column:
+    """``STRUCT<name, value, error>`` of one ``name=value`` text; checks in fixed order."""
+    return _judge(strip(text))
+
+
 def parse_parameters(df: DataFrame, col: str, on_error: str = "quarantine") -> Split:
     """One parameter per row: adds ``name`` and ``value``, rejects keep ``error``."""
     parsed = df.withColumn("_p", parameter(F.col(col))).select(*df.columns, "_p.*")
@@ -46,7 +57,7 @@ def parse_parameter_lists(df: DataFrame, col: str, on_error: str = "quarantine")
     The first bad part rejects its whole text, so the check stays within the row.
     """
     trimmed = strip(F.col(col))
-    items = F.transform(F.split(trimmed, " ", -1), parameter)
+    items = F.transform(F.transform(F.split(trimmed, " ", -1), strip), _judge)
     with_items = df.withColumn("_items", items).withColumn(
         "error",
         F.when(F.col(col).isNull(), "EmptyInput").otherwise(
@@ -65,11 +76,12 @@ def parse_operator_specs(
 ) -> Split:
     """``name`` or ``name=version``: adds ``name`` and a nullable ``version``."""
     trimmed = strip(F.col(col))
-    parts = F.split(trimmed, "=", -1)
-    name, version = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    sign = F.instr(trimmed, F.lit("="))
+    name = F.when(sign == 0, trimmed).otherwise(F.substr(trimmed, F.lit(1), sign - 1))
+    version = F.when(sign > 0, F.substr(trimmed, sign + 1))
     error = (
         F.when(F.col(col).isNull() | (trimmed == ""), "EmptyInput")
-        .when(F.size(parts) > 2, "InvalidEqualSignCount")
+        .when(version.contains("="), "InvalidEqualSignCount")
         .when(~name.isin(*valid), "InvalidName")
         .when(version == "", "MissingVersion")
         .when(version.isNotNull() & ~is_semver(version), "ParseVersion")

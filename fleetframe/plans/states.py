@@ -70,12 +70,12 @@ ACTUAL = """
 
 
 def resources(spark):
-    return spark.createDataFrame(
-        [("", "v1", "ConfigMap", "Namespaced", ["list", "get"]),
-         ("apps", "v1", "Deployment", "Namespaced", ["list"]),
-         ("batch", "v1", "Job", "Namespaced", ["get"]),
-         ("rbac.example.com", "v1", "ClusterRole", "Cluster", ["list"])],
-        "group STRING, version STRING, kind STRING, scope STRING, verbs ARRAY<STRING>")
+    return spark.sql("""
+        SELECT * FROM VALUES ('', 'v1', 'ConfigMap', 'Namespaced', array('list', 'get')),
+          ('apps', 'v1', 'Deployment', 'Namespaced', array('list')),
+          ('batch', 'v1', 'Job', 'Namespaced', array('get')),
+          ('rbac.example.com', 'v1', 'ClusterRole', 'Cluster', array('list'))
+        AS t(`group`, version, kind, scope, verbs)""")
 
 
 def state_diff(spark, sf):

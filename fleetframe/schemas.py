@@ -47,19 +47,22 @@ LABEL_INSTANCE = "app.kubernetes.io/instance"
 # -------------------------------------------------------------------------------------
 
 
+def _constant(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A literal relation: its size is known to the planner, so it is broadcast."""
+    quote = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "\\'") + "'"
+    values = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def operator_names(spark: SparkSession, names=OPERATORS) -> DataFrame:
     """(operator, pos) dimension in catalog order."""
-    return spark.createDataFrame(
-        [(n, i) for i, n in enumerate(names)], "operator STRING, pos INT"
-    )
+    return _constant(spark, [(n, i) for i, n in enumerate(names)], "operator, pos")
 
 
 def product_kinds(spark: SparkSession, domain: str, products=PRODUCTS) -> DataFrame:
     """(product, product_ord, group, version, kind) dimension; groups end in ``domain``."""
     rows = [(p, i, f"{g}.{domain}", v, k) for i, (p, g, v, k) in enumerate(products)]
-    return spark.createDataFrame(
-        rows, "product STRING, product_ord INT, group STRING, version STRING, kind STRING"
-    )
+    return _constant(spark, rows, "product, product_ord, `group`, version, kind")
 
 
 MANIFEST = "STRUCT<kind: STRING, location: STRING>"
