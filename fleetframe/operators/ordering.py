@@ -23,7 +23,8 @@ def enumerate_rows(
 ) -> DataFrame:
     """Add a 1-based number in ``order``, restarting for every group ``by``.
 
-    ``order`` must be total. Groups that fit one task use a window. Otherwise the rows are
+    ``order`` must be total. The input is read twice, first to count the groups, so hand
+    in a table rather than a costly plan (see ``sizing.shared_table``). Groups that fit one task use a window. Otherwise the rows are
     range-partitioned by (by, order), numbered within partitions, and shifted by the rows
     that the same group has in earlier partitions, so no task holds a whole group.
     """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import channels, locations, specs
 from ..operators import versions as V
 from ..operators.ordering import enumerate_rows
+from ..sizing import shared_table
 from .views import table, view
 
 # Sort key of the three version shapes in the data, for the outside engine.
@@ -26,7 +27,8 @@ def artifacts(spark, sf):
 
 
 def index(spark, sf):
-    return V.version_index(V.artifact_versions(artifacts(spark, sf)).good).good
+    """The index is small and read several times, so it is written once."""
+    return shared_table(V.version_index(V.artifact_versions(artifacts(spark, sf)).good).good)
 
 
 def matrix(spark, sf):
