@@ -10,6 +10,7 @@ from its true anchor.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -173,37 +174,64 @@ def _mark_anchors(df, key, ts, span, order, rows_per_task):
     groups = [*key, "_chunk"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, due, seen = None, None, False
+        last, due = None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            times = batch.column("_t").to_pylist()
-            carry = batch.column("_carry").to_pylist()
             starts = _group_starts(batch, groups, last)
-            anchor, first = [], []
-            for t, c, new in zip(times, carry, starts.tolist()):
-                if new:
-                    seen = c is not None
-                    due = c + span if seen else None
-                if t is None:
-                    anchor.append(None)
-                    first.append(False)
-                elif due is None or t > due:
-                    anchor.append(True)
-                    first.append(not seen)
-                    due, seen = t + span, True
-                else:
-                    anchor.append(False)
-                    first.append(False)
+            known = ~pc.is_null(batch.column("_t")).to_numpy(zero_copy_only=False)
+            t = pc.fill_null(batch.column("_t"), 0).to_numpy(zero_copy_only=False)
+            carry = batch.column("_carry")
+            anchor, due = _walk(t, starts, carry, due, span)
+            first = starts & pc.is_null(carry).to_numpy(zero_copy_only=False)
             last = batch.slice(batch.num_rows - 1).select(groups)
             yield pa.RecordBatch.from_arrays(
-                batch.columns + [pa.array(anchor, pa.bool_()), pa.array(first, pa.bool_())],
+                batch.columns + [pa.array(anchor, pa.bool_(), mask=~known), pa.array(first, pa.bool_())],
                 names=batch.schema.names + ["_anchor", "_first"],
             )
 
     return placed.mapInArrow(scan, schema)
 
 
+def _walk(t, starts, carry, due, span):
+    """Anchors among sorted times of several groups, and the due time after the last row.
+
+    A row more than ``span`` after the row before it is an anchor whatever came earlier,
+    and a stretch that ends within ``span`` of its first anchor holds no other. Only longer
+    stretches are walked, from anchor to anchor. ``due`` continues the batch before.
+    """
+    n = len(t)
+    anchor = starts.copy()
+    anchor[1:] |= t[1:] - t[:-1] > span
+    edges = np.flatnonzero(anchor)
+    open_first = n if len(edges) == 0 else int(edges[0])
+    ends = np.append(edges[1:], n)
+    carried = starts[edges] & pc.is_valid(carry).to_numpy(zero_copy_only=False)[edges]
+    walked = np.flatnonzero(carried | (t[ends - 1] > t[edges] + span)).tolist()
+    times = t.tolist() if walked or open_first else None
+
+    def hop(due, lo, hi):
+        while True:
+            lo = bisect_right(times, due, lo, hi)
+            if lo == hi:
+                return due
+            anchor[lo] = True
+            due = times[lo] + span
+
+    if open_first:
+        due = hop(due, 0, open_first)
+    for k in walked:
+        lo, hi = int(edges[k]), int(ends[k])
+        if carried[k]:
+            anchor[lo] = False
+            due = hop(carry[lo].as_py() + span, lo, hi)
+        else:
+            due = hop(times[lo] + span, lo + 1, hi)
+    if len(edges) and (not walked or walked[-1] != len(edges) - 1):
+        due = int(t[edges[-1]]) + span
+    return anchor, due
+
+
 def _group_starts(batch: pa.RecordBatch, groups: list[str], last) -> np.ndarray:
     """True where a row's group differs from the row before (``last`` ends the batch before)."""
     n = batch.num_rows

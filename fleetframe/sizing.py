@@ -72,7 +72,7 @@ def time_chunks(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Add a chunk number that cuts hot keys along the long column ``t``.
 
-    Keys of at most ``rows_per_task`` rows keep chunk 0. A hot key's time line is counted
+    Keys of at most ``rows_per_task`` rows keep chunk 0; rows without a time get chunk -1. A hot key's time line is counted
     in fine bins, and bins are packed into chunks by their running row count, so only a
     burst of more than ``BINS_PER_CHUNK`` times the key's mean rate makes a chunk large.
     Equal times always share a chunk. Returns the frame and the
@@ -81,8 +81,9 @@ def time_chunks(
     stats = df.groupBy(*by).agg(
         F.count(t).alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi")
     ).filter(F.col("_n") > rows_per_task)
+    untimed = F.when(F.col(t).isNull(), F.lit(-1))
     if stats.isEmpty():
-        return df.withColumn(name, F.lit(0)), None
+        return df.withColumn(name, F.coalesce(untimed, F.lit(0))), None
     bins = F.ceil(F.col("_n") / rows_per_task) * BINS_PER_CHUNK
     hot = shared_table(stats.select(
         *by, "_lo",
@@ -102,6 +103,6 @@ def time_chunks(
         .alias("_packed"),
     ))
     out = join_null_safe(binned, packed, [*by, "_bin"], "left").select(
-        *df.columns, F.coalesce(F.col("_packed"), F.lit(0)).alias(name)
+        *df.columns, F.coalesce(untimed, F.col("_packed"), F.lit(0)).alias(name)
     )
     return out, hot.select(*by)
