@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..errors import Split, split
 from ..functions.maps import overlay_map, text_map
 from ..schemas import DEFAULT_NAMESPACE
+from ..sizing import shared_table
 from .ordering import join_text
 
 ORDER = ("source_ord", "pos")
@@ -157,20 +158,19 @@ def overlay_parameters(
     last = given.groupBy(request, "name").agg(
         F.max_by("value", "pos").alias("_value"), F.min("pos").alias("_given_at")
     )
-    both = defaults.select(request, "name", "default", F.col("pos").alias("_at")).join(
-        last, [request, "name"], "full_outer"
-    )
     unknown = (
-        both.filter(F.col("_at").isNull())
+        last.join(defaults.select(request, "name"), [request, "name"], "left_anti")
         .groupBy(request).agg(F.min_by("name", "_given_at").alias("parameter"))
         .withColumn("error", F.lit("InvalidParameter"))
     )
-    values = both.filter(F.col("_at").isNotNull()).select(
-        request, "name", F.coalesce("_value", "default").alias("value"), F.col("_at").alias("pos")
-    )
+    values = defaults.select(request, "name", "default", "pos").join(
+        last, [request, "name"], "left"
+    ).select(request, "name", F.coalesce("_value", "default").alias("value"), "pos")
     if on_error == "fail":
         checked = values.join(unknown.select(request, "error"), request, "left")
         return split(checked, "error", "fail")
+    # One row per rejected request, read three times below.
+    unknown = shared_table(unknown)
     expected = join_text(
         defaults.join(unknown.select(request), request, "left_semi"),
         [request], ["pos"], "name", name="expected",
