@@ -23,7 +23,9 @@ from pyspark.sql.types import (
 
 from ..errors import Split, split
 from ..schemas import PROTECTED_ENTRIES
-from ..sizing import ROWS_PER_TASK, join_null_safe, micros, shared_table, time_chunks
+from ..sizing import (
+    ROWS_PER_TASK, hot_keys, join_null_safe, micros, shared_table, time_chunks,
+)
 
 SECOND = 1_000_000
 
@@ -76,7 +78,8 @@ def ttl_status_asof(
                        micros(entries, modified).alias("_m"), F.lit(True).alias("_entry")),
         allowMissingColumns=True,
     )
-    chunked, hot = time_chunks(both, key, "_t", rows_per_task)
+    hot = hot_keys(both, key, "_t", rows_per_task)
+    chunked = time_chunks(both, key, "_t", rows_per_task, hot)
     # Entries sort before requests of the same time, and the stored time is its own maximum.
     so_far = Window.partitionBy(*key, "_chunk").orderBy("_t", F.col("_m").isNull()).rowsBetween(
         Window.unboundedPreceding, 0
@@ -160,7 +163,22 @@ def interval_gate(
 def _mark_anchors(df, key, ts, span, order, rows_per_task):
     """Add ``_anchor`` (row is later than the previous anchor + span) and ``_first``."""
     timed = df.withColumn("_t", micros(df, ts))
-    chunked, hot = time_chunks(timed, key, "_t", rows_per_task)
+    hot = hot_keys(timed, key, "_t", rows_per_task)
+    dense = None if hot is None or span < 1 else _dense_keys(hot, span, rows_per_task)
+    if dense is None:
+        return _mark_by_chunks(timed, key, span, order, rows_per_task, hot)
+    marked = _mark_dense(join_null_safe(timed, dense, key, "left_semi"), key, span, order, dense)
+    others = join_null_safe(timed, dense, key, "left_anti")
+    hot = join_null_safe(hot, dense, key, "left_anti")
+    hot = None if hot.isEmpty() else hot
+    return _mark_by_chunks(others, key, span, order, rows_per_task, hot).select(
+        *timed.columns, "_anchor", "_first"
+    ).unionByName(marked)
+
+
+def _mark_by_chunks(timed, key, span, order, rows_per_task, hot):
+    """Scan every key in time order; hot keys in chunks that start from a carried anchor."""
+    chunked = time_chunks(timed, key, "_t", rows_per_task, hot)
     if hot is None:
         chunked = chunked.withColumn("_carry", F.lit(None).cast("long"))
     else:
@@ -263,34 +281,8 @@ def _carried_anchors(hot_rows, key, span):
 
     def transfer(batches):
         """Per chunk: for any due time before ``_until``, the chunk leaves anchor ``_leaves``."""
-        held, last = [], None
-
-        def flush():
-            head = held[0].slice(0, 1)
-            t = np.concatenate([b.column("_t").to_numpy() for b in held])
-            until, leaves = _exits(t, span)
-            return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([head.column(g)] * len(until)) for g in groups]
-                + [pa.array(until), pa.array(leaves)],
-                names=groups + ["_until", "_leaves"],
-            )
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cuts = np.flatnonzero(_group_starts(batch, groups, last)).tolist()
-            if held and (cuts and cuts[0] == 0):
-                yield flush()
-                held = []
-            edges = sorted({0, *cuts, batch.num_rows})
-            for lo, hi in zip(edges, edges[1:]):
-                if lo > 0:
-                    yield flush()
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-            last = batch.slice(batch.num_rows - 1).select(groups)
-        if held:
-            yield flush()
+        for head, t in _whole_groups(batches, groups, ["_t"]):
+            yield _spread(head, groups, ["_until", "_leaves"], _exits(t, span))
 
     reports = placed.mapInArrow(transfer, report)
     chained = reports.repartition(*key).sortWithinPartitions(*key, "_chunk", "_until")
@@ -329,6 +321,43 @@ def _carried_anchors(hot_rows, key, span):
     return shared_table(chained.mapInArrow(chain, carry))
 
 
+def _whole_groups(batches, groups, columns):
+    """Each group of a sorted stream as its first row and its columns as arrays."""
+    held, last = [], None
+
+    def flush():
+        arrays = [
+            np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in columns
+        ]
+        return held[0].slice(0, 1), *arrays
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        cuts = np.flatnonzero(_group_starts(batch, groups, last)).tolist()
+        if held and cuts and cuts[0] == 0:
+            yield flush()
+            held = []
+        edges = sorted({0, *cuts, batch.num_rows})
+        for lo, hi in zip(edges, edges[1:]):
+            if lo > 0:
+                yield flush()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+        last = batch.slice(batch.num_rows - 1).select(groups)
+    if held:
+        yield flush()
+
+
+def _spread(head, groups, names, arrays):
+    """A batch of ``arrays`` with the group's columns repeated in front."""
+    n = len(arrays[0])
+    repeated = [head.column(g).take(pa.array(np.zeros(n, dtype=np.int64))) for g in groups]
+    return pa.RecordBatch.from_arrays(
+        repeated + [pa.array(a) for a in arrays], names=list(groups) + list(names)
+    )
+
+
 def _exits(t: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Step function from an incoming due time to the last anchor within sorted times ``t``.
 
@@ -348,3 +377,145 @@ def _exits(t: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     leaves = t[end[:entries]]
     keep = np.append(leaves[1:] != leaves[:-1], True)
     return t[:entries][keep], leaves[keep]
+
+
+# --- dense keys --------------------------------------------------------------------------
+# A key with far more rows than anchors is cut across its period instead of along it. Time
+# is folded into bins of width ``span``; a bin holds at most one anchor, and the offset of
+# the anchors within their bins only grows until it wraps. A slice is a range of offsets
+# over all bins. An anchor enters a slice at its lower edge, so what a slice does depends
+# only on the bin of entry, and its report has at most one row per bin. Following the
+# reports finds the few slices that hold anchors; all other rows are hits.
+
+REPORT_CELLS = 50_000_000
+
+
+def _dense_keys(hot, span, rows_per_task):
+    """Hot keys whose slice reports are shorter than their chunk reports, or None."""
+    bins = F.floor((F.col("_hi") - F.col("_lo")) / span) + 1
+    slices = F.least(F.ceil(F.col("_n") / rows_per_task), F.floor(F.lit(REPORT_CELLS) / bins))
+    dense = hot.filter((bins.cast("double") * bins < F.col("_n")) & (slices > 0)).withColumn(
+        "_width", F.ceil(F.lit(span) / slices).cast("long")
+    ).drop("_n", "_hi")
+    return None if dense.isEmpty() else dense
+
+
+def _mark_dense(rows, key, span, order, dense):
+    """Mark the anchors of dense keys by looking up their times."""
+    anchors = join_null_safe(_dense_anchors(rows, key, span, dense), dense, key, "inner").select(
+        *key, "_t", (F.col("_t") == F.col("_lo")).alias("_first")
+    )
+    ties = Window.partitionBy(*key, "_t").orderBy(*(order or [F.lit(0)]))
+    at_anchor = join_null_safe(rows, anchors, [*key, "_t"], "inner").withColumn(
+        "_anchor", F.row_number().over(ties) == 1
+    ).withColumn("_first", F.col("_first") & F.col("_anchor"))
+    between = join_null_safe(rows, anchors, [*key, "_t"], "left_anti").withColumns({
+        "_anchor": F.when(F.col("_t").isNotNull(), F.lit(False)), "_first": F.lit(False)})
+    return at_anchor.select(*rows.columns, "_anchor", "_first").unionByName(between)
+
+
+def _dense_anchors(rows, key, span, dense):
+    """(key, _t) of every anchor of the dense keys."""
+    bin_ = F.floor((F.col("_t") - F.col("_lo")) / F.lit(span)).cast("long")
+    offset = F.col("_t") - F.col("_lo") - F.col("_bin") * F.lit(span)
+    slice_ = F.floor(F.col("_offset") / F.col("_width")).cast("int")
+    times = (
+        join_null_safe(rows.filter(F.col("_t").isNotNull()).select(*key, "_t"), dense, key, "inner")
+        .withColumn("_bin", bin_).withColumn("_offset", offset).withColumn("_chunk", slice_)
+        .select(*key, "_chunk", "_t", "_bin", "_width",
+                (F.col("_bin") * F.col("_width") + F.col("_offset") - F.col("_chunk") * F.col("_width"))
+                .alias("_code"))
+        .distinct()
+    )
+    groups = [*key, "_chunk"]
+    key_fields = [f for f in times.schema.fields if f.name in key]
+    chunk, bin_field = StructField("_chunk", IntegerType()), StructField("_bin", LongType())
+
+    def report(batches):
+        """Per slice and bin of entry: the bin in which the next slice is entered."""
+        for head, bins, code in _whole_groups(batches, groups, ["_bin", "_code"]):
+            yield _spread(head, groups, ["_bin", "_exit"],
+                          _slice_exits(bins, code, head.column("_width")[0].as_py()))
+
+    reports = times.repartition(*groups).sortWithinPartitions(*groups, "_t").mapInArrow(
+        report, StructType(key_fields + [chunk, bin_field, StructField("_exit", LongType())]))
+
+    def follow(batches):
+        """Per key: the slices that anchors pass through, with their bins of entry."""
+        for head, slices, bins, exits in _whole_groups(batches, key, ["_chunk", "_bin", "_exit"]):
+            yield _spread(head, key, ["_chunk", "_bin"], _slice_path(slices, bins, exits))
+
+    entries = shared_table(
+        reports.repartition(*key).sortWithinPartitions(*groups, "_bin").mapInArrow(
+            follow, StructType(key_fields + [chunk, bin_field])))
+    visited = join_null_safe(times, entries.select(*groups).distinct(), groups, "left_semi")
+    marks = join_null_safe(entries, dense, key, "inner").select(
+        *groups,
+        (F.col("_lo") + F.col("_bin") * F.lit(span) + F.col("_chunk") * F.col("_width")).alias("_t"),
+        "_bin", F.lit(0).alias("_event"))
+    stream = visited.select(*groups, "_t", "_bin", F.lit(1).alias("_event")).unionByName(marks)
+
+    def pick(batches):
+        """Anchors of the visited slices; a mark opens the entry into its bin."""
+        last, entry, anchor, anchor_bin = None, None, None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            starts = _group_starts(batch, groups, last).tolist()
+            taken = []
+            columns = [batch.column(c).to_pylist() for c in ("_t", "_bin", "_event")]
+            for i, (new, t, bin_no, event) in enumerate(zip(starts, *columns)):
+                if new:
+                    entry = anchor_bin = None
+                if not event:
+                    entry = bin_no
+                elif bin_no == entry or (
+                    anchor_bin is not None and bin_no == anchor_bin + 1 and t > anchor + span
+                ):
+                    taken.append(i)
+                    entry, anchor, anchor_bin = None, t, bin_no
+                elif anchor_bin is not None and bin_no > anchor_bin + 1:
+                    anchor_bin = None
+            last = batch.slice(batch.num_rows - 1).select(groups)
+            yield batch.take(pa.array(taken, pa.int64())).select([*key, "_t"])
+
+    return shared_table(
+        stream.repartition(*groups).sortWithinPartitions(*groups, "_t", "_event").mapInArrow(
+            pick, StructType(key_fields + [StructField("_t", LongType())])))
+
+
+def _slice_exits(bins, code, width):
+    """For the first time of each bin in a slice, the bin where its anchors leave the slice.
+
+    ``code`` is time with everything outside the slice cut out, so the next anchor is the
+    first time more than ``width`` later, if that is in the very next bin.
+    """
+    n = len(bins)
+    after = np.searchsorted(code, code + width, side="right")
+    inside = (after < n) & (bins[np.minimum(after, n - 1)] == bins + 1)
+    end = np.where(inside, after, np.arange(n))
+    while True:
+        further = end[end]
+        if np.array_equal(further, end):
+            break
+        end = further
+    firsts = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    return bins[firsts], bins[end[firsts]] + 1
+
+
+def _slice_path(slices, bins, exits):
+    """Follow one key's slice reports from its first time; arrays of (slice, bin of entry)."""
+    rows, cols = int(slices.max()) + 1, int(bins.max()) + 1
+    table = np.full(rows * cols, -1, dtype=np.int64)
+    table[slices.astype(np.int64) * cols + bins] = exits
+    path, row, col = [], 0, 0
+    while col < cols:
+        leave = table[row * cols + col]
+        if leave >= 0:
+            path.append((row, col))
+            col = int(leave)
+        row += 1
+        if row == rows:
+            row, col = 0, col + 1
+    found = np.array(path, dtype=np.int64).reshape(-1, 2)
+    return found[:, 0].astype(np.int32), found[:, 1]

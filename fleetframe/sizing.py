@@ -67,30 +67,35 @@ def micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
-def time_chunks(
-    df: DataFrame, by: list[str], t: str, rows_per_task: int, name: str = "_chunk"
-) -> tuple[DataFrame, DataFrame | None]:
-    """Add a chunk number that cuts hot keys along the long column ``t``.
-
-    Keys of at most ``rows_per_task`` rows keep chunk 0; rows without a time get chunk -1. A hot key's time line is counted
-    in fine bins, and bins are packed into chunks by their running row count, so only a
-    burst of more than ``BINS_PER_CHUNK`` times the key's mean rate makes a chunk large.
-    Equal times always share a chunk. Returns the frame and the
-    hot keys (``None`` when there are none, in which case nothing is joined).
-    """
+def hot_keys(df: DataFrame, by: list[str], t: str, rows_per_task: int) -> DataFrame | None:
+    """Keys of more than ``rows_per_task`` timed rows with count and range; None if none."""
     stats = df.groupBy(*by).agg(
         F.count(t).alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi")
     ).filter(F.col("_n") > rows_per_task)
+    return None if stats.isEmpty() else shared_table(stats)
+
+
+def time_chunks(
+    df: DataFrame, by: list[str], t: str, rows_per_task: int, hot: DataFrame | None,
+    name: str = "_chunk",
+) -> DataFrame:
+    """Add a chunk number that cuts ``hot`` keys along the long column ``t``.
+
+    Other keys keep chunk 0; rows without a time get chunk -1. A hot key's time line is
+    counted in fine bins, and bins are packed into chunks by their running row count, so
+    only a burst of more than ``BINS_PER_CHUNK`` times the key's mean rate makes a chunk
+    large. Equal times always share a chunk.
+    """
     untimed = F.when(F.col(t).isNull(), F.lit(-1))
-    if stats.isEmpty():
-        return df.withColumn(name, F.coalesce(untimed, F.lit(0))), None
+    if hot is None:
+        return df.withColumn(name, F.coalesce(untimed, F.lit(0)))
     bins = F.ceil(F.col("_n") / rows_per_task) * BINS_PER_CHUNK
-    hot = shared_table(stats.select(
+    ranges = hot.select(
         *by, "_lo",
         F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / bins)).cast("long")
         .alias("_width"),
-    ))
-    binned = join_null_safe(df, hot, by, "left").withColumn(
+    )
+    binned = join_null_safe(df, ranges, by, "left").withColumn(
         "_bin", F.floor((F.col(t) - F.col("_lo")) / F.col("_width"))
     )
     counts = binned.filter(F.col("_bin").isNotNull()).groupBy(*by, "_bin").agg(
@@ -102,7 +107,6 @@ def time_chunks(
         F.floor(F.coalesce(F.sum("_rows").over(before), F.lit(0)) / rows_per_task).cast("int")
         .alias("_packed"),
     ))
-    out = join_null_safe(binned, packed, [*by, "_bin"], "left").select(
+    return join_null_safe(binned, packed, [*by, "_bin"], "left").select(
         *df.columns, F.coalesce(untimed, F.col("_packed"), F.lit(0)).alias(name)
     )
-    return out, hot.select(*by)

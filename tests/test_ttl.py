@@ -65,11 +65,32 @@ def test_replay_of_hot_keys(spark, span, limit):
     assert passed == {i: s != "Hit" for i, s in brute(rows, span, strict=False).items()}
 
 
+@pytest.mark.parametrize("span, spread, gaps", [(50, 600, False), (200, 900, True), (97, 4000, True), (1, 8, False)])
+def test_replay_of_dense_keys(spark, span, spread, gaps):
+    """Many rows per anchor: slices across the period, with outages that make offsets wrap."""
+    rnd = random.Random(span)
+    times = [s for s in (rnd.randrange(spread) for _ in range(3000)) if not gaps or s % 300 < 170]
+    rows = [("dense", s) for s in times] + [(None, s) for s in times[:900]] + [("cold", s * 7) for s in times[:50]]
+    rows += [("sparse", s * 50) for s in times[:300]]
+    rnd.shuffle(rows)
+    df = log_frame(spark, rows).repartition(11)
+    got = {r.id: r.status for r in T.ttl_replay(df, ["key"], "ts", span, ["id"], 100).collect()}
+    assert got == brute(rows, span)
+    passed = {r.id: r.passed for r in T.interval_gate(df, ["key"], "ts", span, ["id"], 100).collect()}
+    assert passed == {i: s != "Hit" for i, s in brute(rows, span, strict=False).items()}
+
+
+def test_dense_keys_are_found(spark):
+    hot = spark.createDataFrame([("d", 1000, 0, 5000), ("s", 1000, 0, 5000000)], "key STRING, _n LONG, _lo LONG, _hi LONG")
+    assert [r.key for r in T._dense_keys(hot, 1000, 100).collect()] == ["d"]
+
+
 def test_hot_key_is_split(spark):
-    from fleetframe.sizing import micros, time_chunks
+    from fleetframe.sizing import hot_keys, time_chunks
 
     df = log_frame(spark, skewed_log(1, 40000)).withColumn("_t", F.unix_micros("ts"))
-    chunked, hot = time_chunks(df, ["key"], "_t", 100)
+    hot = hot_keys(df, ["key"], "_t", 100)
+    chunked = time_chunks(df, ["key"], "_t", 100, hot)
     sizes = {(r.key, r._chunk): r["count"] for r in chunked.groupBy("key", "_chunk").count().collect()}
     assert sorted(r.key or "" for r in hot.collect()) == ["", "a", "b", "hot"]
     assert max(sizes.values()) <= 320 and chunked.count() == df.count()
