@@ -270,7 +270,7 @@ def _group_starts(batch: pa.RecordBatch, groups: list[str], last) -> np.ndarray:
 
 def _carried_anchors(hot_rows, key, span):
     """(key, _chunk, _carry): the last anchor before each chunk of a hot key."""
-    times = hot_rows.filter(F.col("_t").isNotNull()).select(*key, "_chunk", "_t").distinct()
+    times = hot_rows.filter(F.col("_t").isNotNull()).select(*key, "_chunk", "_t")
     placed = times.repartition(*key, "_chunk").sortWithinPartitions(*key, "_chunk", "_t")
     key_fields = [f for f in times.schema.fields if f.name in key]
     groups = [*key, "_chunk"]
@@ -425,7 +425,6 @@ def _dense_anchors(rows, key, span, dense):
         .select(*key, "_chunk", "_t", "_bin", "_width",
                 (F.col("_bin") * F.col("_width") + F.col("_offset") - F.col("_chunk") * F.col("_width"))
                 .alias("_code"))
-        .distinct()
     )
     groups = [*key, "_chunk"]
     key_fields = [f for f in times.schema.fields if f.name in key]
@@ -437,7 +436,8 @@ def _dense_anchors(rows, key, span, dense):
             yield _spread(head, groups, ["_bin", "_exit"],
                           _slice_exits(bins, code, head.column("_width")[0].as_py()))
 
-    reports = times.repartition(*groups).sortWithinPartitions(*groups, "_t").mapInArrow(
+    coded = times.select(*groups, "_bin", "_code", "_width")
+    reports = coded.repartition(*groups).sortWithinPartitions(*groups, "_code").mapInArrow(
         report, StructType(key_fields + [chunk, bin_field, StructField("_exit", LongType())]))
 
     def follow(batches):
