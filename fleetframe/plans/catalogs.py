@@ -9,12 +9,13 @@ from ..functions.maps import text_map
 from ..operators import catalog as C
 from ..operators.ordering import enumerate_rows, join_text
 from ..schemas import OPERATORS
+from ..sizing import shared_table
 from ..sources.registry import audit_pages, with_source_order
 from .views import query, table, view
 
 
 def overlay(spark, sf):
-    merged = C.overlay_last_wins(view(spark, sf, "v_def"), ["name"])
+    merged = shared_table(C.overlay_last_wins(view(spark, sf, "v_def"), ["name"]))
     return enumerate_rows(merged, ["source_ord", "pos"], name="row_no")
 
 
