@@ -8,7 +8,6 @@ chunks of about ``rows_per_task`` rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,20 +18,16 @@ BINS_PER_CHUNK = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for tables that cut lineage: ``spark.checkpoint.dir`` of the session.
+    """Folder for tables that cut lineage, reachable by the driver and all executors.
 
-    Only a local session without that setting gets a folder of its own.
+    ``spark.checkpoint.dir`` of the session; where that is unset, a folder in the session's
+    warehouse, which Spark's own tables need to be shared as well.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetframe-"))
-        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
+    return path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lineage"
 
 
 def shared_table(df: DataFrame) -> DataFrame:

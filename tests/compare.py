@@ -42,7 +42,7 @@ def compare(spark, con, name, run, sql, sf_dir):
     times = (round(spark_time, 2), round(time.time() - start, 2))
     if sorted(df.columns) != sorted(columns):
         return f"{name}: columns {sorted(df.columns)} <> {sorted(columns)}", times
-    kinds = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE"}
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     types = {d[0]: str(d[1]) for d in result.description}
     wrong = [(c, t, types[c]) for c, t in df.dtypes if kinds.get(t) != types[c]]
     if wrong:
