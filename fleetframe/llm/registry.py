@@ -1,13 +1,16 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import archives, quality, sharding
+from . import archives, decontamination, packing, quality, sharding
 
 QUERIES = {
+    "op1_wu_manber": decontamination.op1_wu_manber,
+    "op2_multi_length_packing": packing.op2_multi_length_packing,
     "op7_arc_to_warc": archives.op7_arc_to_warc,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_hilbert_shards": sharding.op10_hilbert_shards,
 }
 ORACLE = {
+    "op1_wu_manber": decontamination.SQL,
     "op7_arc_to_warc": archives.SQL,
     "op8_quality_rules": quality.SQL,
 }
