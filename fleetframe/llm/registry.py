@@ -1,16 +1,18 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import archives, decontamination, packing, quality, sharding
+from . import archives, decontamination, packing, quality, sharding, substrings
 
 QUERIES = {
     "op1_wu_manber": decontamination.op1_wu_manber,
     "op2_multi_length_packing": packing.op2_multi_length_packing,
+    "op6_fixed_block_anchors": substrings.op6_fixed_block_anchors,
     "op7_arc_to_warc": archives.op7_arc_to_warc,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_hilbert_shards": sharding.op10_hilbert_shards,
 }
 ORACLE = {
     "op1_wu_manber": decontamination.SQL,
+    "op6_fixed_block_anchors": substrings.SQL,
     "op7_arc_to_warc": archives.SQL,
     "op8_quality_rules": quality.SQL,
 }
