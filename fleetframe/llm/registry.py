@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import archives, decontamination, packing, quality, sharding, substrings
+from . import archives, decontamination, packing, quality, sharding, substrings, suffixes
 
 QUERIES = {
     "op1_wu_manber": decontamination.op1_wu_manber,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_fixed_block_anchors": substrings.op6_fixed_block_anchors,
     "op7_arc_to_warc": archives.op7_arc_to_warc,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_bucket_pointer_refinement": suffixes.op9_bucket_pointer_refinement,
     "op10_hilbert_shards": sharding.op10_hilbert_shards,
 }
 ORACLE = {

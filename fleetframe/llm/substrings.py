@@ -20,7 +20,6 @@ words keep all; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
