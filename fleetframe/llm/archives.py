@@ -8,8 +8,9 @@ synthesises what WARC has and ARC lacks: record identifiers (UUIDs made from fil
 content), ISO timestamps, record types, and block and payload digests. Equal payloads above a
 size are stored once: the record of the smallest page holds it, others revisit it.
 
-Archives are written and read by Spark, one file for each partition, in the shared folder.
-Files are read whole, so their size is bounded by ``FILE_BYTES`` and the largest page.
+Archives are written by Spark, gzip-compressed, into the shared folder. A task writes segments
+of about ``SEGMENT_BYTES``, each with its own version block, and a file holds a few segments, so
+files can be read whole without a shuffle to make them equal.
 
 Cases: a null payload is empty; a null URL is written as ``-``; spaces and controls in URLs
 are percent-encoded; repeated rows make repeated records, all of one type; an empty table
@@ -18,6 +19,7 @@ makes empty archives; a record that ends early or a header of the wrong form rai
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -30,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sizing import shared_dir
 from .textarrays import NULL_ID
 
-FILE_BYTES = 16 << 20
+SEGMENT_BYTES = 4 << 20
+FILE_SEGMENTS = 4
 MIN_SHARED_BYTES = 100
 ARC_DATE = "20240101000000"
 #: Names of the header fields of the two ARC versions.
@@ -66,7 +69,7 @@ def arc_record(version: int, url: str | None, mime: str, body: bytes, ip: str =
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of one ARC file after its version block."""
+    """Records of one ARC file after its version block; a later block begins a joined archive."""
     place, fields = 0, None
     while place < len(data):
         if data[place:place + 1] == b"\n":
@@ -76,16 +79,17 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if end < 0:
             raise ValueError(f"no header line at {place}")
         header = data[place:end].decode("utf-8", "replace").split(" ")
-        if fields is not None and len(header) != fields or len(header) < 5 or not header[-1].isdecimal():
+        opens = header[0].startswith("filedesc://")
+        if not opens and len(header) != fields or len(header) < 5 or not header[-1].isdecimal():
             raise ValueError(f"malformed header at {place}")
         length = int(header[-1])
         body = data[end + 1:end + 1 + length]
         if len(body) != length:
             raise ValueError(f"record at {place} declares {length} bytes, {len(body)} are there")
-        if fields is None:
+        if opens:
             version = int(body.split(b" ", 1)[0])
-            if version not in ARC_FIELDS or not header[0].startswith("filedesc://"):
-                raise ValueError("no version block")
+            if version not in ARC_FIELDS:
+                raise ValueError(f"unknown version {version}")
             fields = len(ARC_FIELDS[version].split())
         else:
             yield ArcRecord(header[0], header[1], header[2], header[3], body, place)
@@ -147,9 +151,23 @@ def _new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def _file_count(df: DataFrame, column: str) -> int:
-    total = df.agg(F.sum(F.octet_length(column) + 512)).first()[0] or 0
-    return max(1, -(-int(total) // FILE_BYTES))
+def _segments(records: Iterator[bytes], head: bytes, end: bytes) -> Iterator[pa.RecordBatch]:
+    """Records joined to segments, each after ``head``; the writer puts ``end`` after each."""
+    held, size = [], 0
+    for record in records:
+        held.append(record)
+        size += len(record)
+        if size >= SEGMENT_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([head + end.join(held)], pa.binary())], ["value"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([head + end.join(held)], pa.binary())], ["value"])
+
+
+def _write(segments: DataFrame, path: str, end: str) -> None:
+    segments.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").option(
+        "maxRecordsPerFile", FILE_SEGMENTS
+    ).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -161,21 +179,19 @@ def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
     rows = pages.select(
         F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"),
-    ).repartition(_file_count(pages, "html"), F.xxhash64("page_id"))
+    )
 
     def records(batches):
-        first = True
         for batch in batches:
-            out = [arc_file_header(version)] if first else []
-            first = False
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 head += (PAGE_HEADER + page.encode() + b"\r\n" if page is not None else b"") + b"\r\n"
-                out.append(arc_record(version, url, "text/html", head + html))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                yield arc_record(version, url, "text/html", head + html)
 
-    # The text writer adds a newline after each value, which is what ends an ARC record.
-    rows.mapInArrow(records, "value binary").select(F.col("value").cast("string")).write.text(path)
+    def segments(batches):
+        return _segments(records(batches), arc_file_header(version) + b"\n", b"\n")
+
+    _write(rows.mapInArrow(segments, "value binary"), path, "\n")
 
 
 ARC_SCHEMA = "page_id long, url string, date string, mime string, record_id string, head binary, payload binary, payload_digest string, payload_bytes long"
@@ -189,7 +205,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 rows, size = {n: [] for n in names}, 0
-                for r in parse_arc(data):
+                for r in parse_arc(gzip.decompress(data)):
                     head, payload = split_response(r.body)
                     page = re.search(rb"\r\n" + PAGE_HEADER + rb"(-?[0-9]+)\r\n", head)
                     digest = hashlib.sha256(payload).hexdigest()
@@ -228,26 +244,24 @@ def write_warc(records: DataFrame, path: str, least: int = MIN_SHARED_BYTES) ->
         "record_id", "_first_page", "_first_record"
     )
     joined = records.join(revisits, "record_id", "left")
-    count = _file_count(records, "payload")
 
     def records_of(batches):
         for batch in batches:
-            out = []
             for row in batch.to_pylist():
                 kind = "response" if row["_first_page"] is None else "revisit"
                 extra = {} if row["page_id"] is None else {"X-Page-Id": str(row["page_id"])}
                 extra["X-Payload-Length"] = str(row["payload_bytes"])
                 if kind == "revisit" and row["_first_page"] != NULL_ID:
                     extra["X-Refers-To-Page"] = str(row["_first_page"])
-                out.append(warc_record(
+                yield warc_record(
                     row["record_id"], kind, row["url"], row["date"], row["mime"], row["head"], row["payload"],
-                    kind == "revisit" and f"<urn:uuid:{row['_first_record']}>" or None, extra,
-                ))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    f"<urn:uuid:{row['_first_record']}>" if kind == "revisit" else None, extra,
+                )
+
+    def segments(batches):
+        return _segments(records_of(batches), b"", b"\r\n\r\n")
 
-    joined.repartition(count, "record_id").mapInArrow(records_of, "value binary").select(
-        F.col("value").cast("string")
-    ).write.option("lineSep", "\r\n\r\n").text(path)
+    _write(joined.mapInArrow(segments, "value binary"), path, "\r\n\r\n")
 
 
 WARC_SCHEMA = "page_id long, url string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_record string, stored_bytes long"
@@ -265,7 +279,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column("content").to_pylist():
                 rows = []
-                for f, block in parse_warc(data):
+                for f, block in parse_warc(gzip.decompress(data)):
                     digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
                     stored = split_response(block)[1]
                     if f["WARC-Type"] == "response" and hashlib.sha256(stored).hexdigest() != digest:
