@@ -1,12 +1,13 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import archives, decontamination, jaccard, packing, quality, scoring, sharding, substrings, suffixes
+from . import archives, decontamination, jaccard, packing, privacy, quality, scoring, sharding, substrings, suffixes
 
 QUERIES = {
     "op1_wu_manber": decontamination.op1_wu_manber,
     "op2_multi_length_packing": packing.op2_multi_length_packing,
     "op3_context_tree_weighting": scoring.op3_context_tree_weighting,
     "op4_token_combination_join": jaccard.op4_token_combination_join,
+    "op5_semi_markov_field": privacy.op5_semi_markov_field,
     "op6_fixed_block_anchors": substrings.op6_fixed_block_anchors,
     "op7_arc_to_warc": archives.op7_arc_to_warc,
     "op8_quality_rules": quality.op8_quality_rules,
