@@ -38,11 +38,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sizing import shared_table
 from . import textarrays as ta
-from .substrings import ddl, groups, joined_ids, keyed, longs
+from .exchange import SKETCH_BITS, ddl, groups, joined_ids, keyed, longs, sketch_of
 
 SHINGLE = 5
-SKETCH_BITS = 20
-SLICES = 64
 RARE = 16
 BUCKET_ROWS = 4096
 FAMILY_ROWS = 2000
@@ -147,40 +145,6 @@ def shared_prefixes(table: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(resolve, "sig long").distinct()
 
 
-def sketch_of(values: DataFrame, hashes_of) -> np.ndarray:
-    """Counts in ``2**SKETCH_BITS`` slots of the hashes that ``hashes_of`` yields for a batch.
-
-    Tasks count into sketches of fixed size, which are added up slice by slice in two steps.
-    """
-    size = 1 << SKETCH_BITS
-
-    def count(batches):
-        from pyspark import TaskContext
-
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for hashes in hashes_of(batch):
-                total += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        step = size // SLICES
-        yield pa.RecordBatch.from_pylist([
-            {"slice": i, "shard": TaskContext.get().partitionId() % 64, "counts": total[i * step:(i + 1) * step].tobytes()}
-            for i in range(SLICES)
-        ], schema=pa.schema([("slice", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary())]))
-
-    def add(key, data):
-        total = sum(np.frombuffer(c.as_buffer(), "<i8") for c in data.column("counts"))
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = values.mapInArrow(count, "slice int, shard int, counts binary")
-    summed = parts.groupBy("slice", "shard").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(
-        add, "slice int, counts binary"
-    )
-    out = np.zeros(size, np.int64)
-    for row in summed.collect():  # SLICES rows of fixed size
-        out[row["slice"] * size // SLICES:(row["slice"] + 1) * size // SLICES] = np.frombuffer(row["counts"], "<i8")
-    return out
-
-
 def band(n: int) -> int:
     """Linked sets are in one band or in neighbours."""
     return int(np.log(n) / np.log(4 / 3) + 1e-9)
@@ -423,7 +387,8 @@ def verified_edges(sets: DataFrame, family: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """Every document with ``n_shingles`` and its component."""
+    """Every document with ``n_shingles``, its component and ``root``, which differs between components
+    even where different texts carry one id; null for documents without shingles."""
     table = prefix_table(docs)
     parts = ta.range_count(table, "prefix")
     # The representative of equal sets is the text with the smallest id.
@@ -446,22 +411,26 @@ def link(docs: DataFrame) -> DataFrame:
         "root", F.coalesce("root", "sig")
     )
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    known = labelled.join(least, "root").select("sig", "component")
+    known = labelled.join(least, "root").select("sig", "root", "component")
     out = table.drop("prefix").join(known, "sig", "left")
     component = F.coalesce("component", "ord")
     return out.select(
-        "doc_id", "key", "ord", "n_shingles",
+        "doc_id", "key", "ord", "n_shingles", "root",
         F.when(component != ta.NULL_ID, component).alias("component_id"),
     )
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns."""
+    """One document of each component, the one with the smallest id, with its own columns.
+
+    Documents without shingles all stay; repeated rows of one id and text are one document.
+    """
     found = link(docs)
-    smallest = F.coalesce("component_id", F.lit(ta.NULL_ID))
-    leads = found.filter(F.col("ord") == smallest).groupBy("ord").agg(F.min("key").alias("_lead"))
-    keyed_docs = docs.withColumn("_lead", ta.text_key("doc_id", "text"))
-    return keyed_docs.join(leads.select("_lead"), "_lead").dropDuplicates(["_lead"]).select(*docs.columns)
+    leads = found.filter("root is not null").groupBy("root").agg(F.min(F.struct("ord", "key")).alias("_m")).select(
+        F.col("_m.key").alias("_lead")
+    ).unionByName(found.filter("root is null").select(F.col("key").alias("_lead"))).distinct()
+    own = docs.withColumn("_lead", ta.text_key("doc_id", "text"))
+    return own.join(leads, "_lead").dropDuplicates(["_lead"]).select(*docs.columns)
 
 
 def op4_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
