@@ -24,9 +24,10 @@ def crd_url(product: Column, version: Column, template: str) -> Column:
     """Definition URL of a product; ``template`` has two ``%s``: product, then branch.
 
     A version whose pre-release is exactly ``dev`` lives on branch ``main``.
+    Without a product or version there is no URL.
     """
     branch = F.when(prerelease(version) == "dev", "main").otherwise(version)
-    return F.format_string(template, product, branch)
+    return F.when(product.isNotNull() & branch.isNotNull(), F.format_string(template, product, branch))
 
 
 def cache_key(url: Column) -> Column:

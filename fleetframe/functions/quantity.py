@@ -9,34 +9,66 @@ _QUANTITY = (
     r"(?:[eE][+-]?[0-9]+|n|u|m|k|M|G|T|P|E|Ki|Mi|Gi|Ti|Pi|Ei)?\z"
 )
 
-# --- fixed values: suffix -> factor ---------------------------------------------------
+# --- fixed values: suffix -> factor; fractions as the decimal places they take ---------
 FACTORS = {
-    "": 1, "n": "0.000000001", "u": "0.000001", "m": "0.001",
-    "k": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "E": 10**18,
+    "": 1, "k": 10**3, "M": 10**6, "G": 10**9, "T": 10**12, "P": 10**15, "E": 10**18,
     "Ki": 2**10, "Mi": 2**20, "Gi": 2**30, "Ti": 2**40, "Pi": 2**50, "Ei": 2**60,
 }
+PLACES = {"n": 9, "u": 6, "m": 3}
 # ---------------------------------------------------------------------------------------
 
 
-def quantity(col: Column, scale: int = 1) -> Column:
-    """``DECIMAL(38,3)`` value of a quantity text times ``scale``; null when malformed.
+def quantity(col: Column, thousands: bool = False) -> Column:
+    """``DECIMAL(38,3)`` value of a quantity text, in thousandths if asked; null when malformed.
 
-    The number with its exponent, if any, is all but the letters at the end.
+    Exact for every value the type holds: whole numbers are multiplied apart from fractions,
+    and the suffixes for fractions move the decimal point in the text. A well-formed value
+    that the type cannot hold is null as well; :func:`quantity_error` tells the two apart.
     """
     suffix = F.regexp_extract(col, "[A-Za-z]*$", 0)
-    number = F.substr(col, F.lit(1), F.length(col) - F.length(suffix)).try_cast("decimal(24,9)")
-    factors = F.create_map(*[
-        F.lit(x) if i == 0 else F.lit(str(x)).cast("decimal(28,9)")
-        for pair in FACTORS.items() for i, x in enumerate(pair)
-    ])
-    scaled = number * F.lit(scale).cast("decimal(4,0)")
-    value = F.try_multiply(scaled, F.try_element_at(factors, suffix)).try_cast("decimal(38,3)")
+    text = F.substr(col, F.lit(1), F.length(col) - F.length(suffix))
+    scientific = text.rlike("[eE]")
+    number = text.try_cast("decimal(38,9)")
+    before, after = F.regexp_extract(text, r"^[+-]?[0-9]*", 0), F.regexp_extract(text, r"\.[0-9]*$", 0)
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    digits = F.when(before.rlike("[0-9]"), before).otherwise("0")
+    scale = 1000 if thousands else 1
+    factor = F.try_element_at(
+        F.create_map(*[F.lit(x) if i == 0 else F.lit(str(x * scale)).cast("decimal(22,0)")
+                       for pair in FACTORS.items() for i, x in enumerate(pair)]),
+        suffix,
+    )
+    fraction = F.when(scientific, (number % 1).cast("decimal(10,9)")).otherwise(
+        F.concat(sign, F.lit("0"), after).try_cast("decimal(10,9)"))
+    whole = F.try_multiply(
+        F.when(scientific, (number - number % 1).cast("decimal(38,0)")).otherwise(digits.try_cast("decimal(38,0)")), factor)
+    value = F.try_add(whole.try_cast("decimal(38,3)"), (fraction * factor).cast("decimal(38,3)"))
+    for name, places in PLACES.items():
+        value = F.when(suffix == name, _shifted(text, places - (3 if thousands else 0))).otherwise(value)
     return F.when(col.rlike(_QUANTITY), value)
 
 
+def _shifted(text: Column, places: int) -> Column:
+    """The number with its decimal point moved ``places`` to the left."""
+    if places == 0:
+        return text.try_cast("decimal(38,3)")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    digits = F.regexp_extract(text, r"^[+-]?([0-9]*)", 1)
+    after = F.regexp_extract(text, r"\.([0-9]*)$", 1)
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(places + 1)), F.lit("0"))
+    left = F.length(padded) - places
+    moved = F.concat(sign, F.substr(padded, F.lit(1), left), F.lit("."), F.substr(padded, left + 1), after)
+    return moved.try_cast("decimal(38,3)")
+
+
+def quantity_error(col: Column, value: Column) -> Column:
+    """``Malformed`` or ``Overflow`` for a text without ``value``; null for others and for null."""
+    return F.when(col.isNotNull() & value.isNull(), F.when(col.rlike(_QUANTITY), "Overflow").otherwise("Malformed"))
+
+
 def cpu_millis(col: Column) -> Column:
     """CPU quantity (``2``, ``500m``, ``0.5``) in thousandths of a core."""
-    return quantity(col, 1000)
+    return quantity(col, True)
 
 
 def memory_bytes(col: Column) -> Column:

@@ -64,11 +64,13 @@ def parse_parameter_lists(df: DataFrame, col: str, on_error: str = "quarantine")
             F.get(F.filter("_items", lambda i: i["error"].isNotNull()), F.lit(0))["error"]
         ),
     )
-    good, rejects = split(with_items, "error", on_error)
-    exploded = good.select(*df.columns, F.posexplode("_items").alias("pos", "_p")).select(
-        *df.columns, "pos", "_p.name", "_p.value"
-    )
-    return Split(exploded, rejects.drop("_items"))
+    # A rejected text keeps one row without a parameter.
+    rows = with_items.select(
+        *df.columns, "error",
+        F.posexplode_outer(F.when(F.col("error").isNull(), F.col("_items"))).alias("pos", "_p"),
+    ).select(*df.columns, "pos", "_p.name", "_p.value", "error")
+    good, rejects = split(rows, "error", on_error)
+    return Split.of(good, rejects.drop("pos", "name", "value"), rows)
 
 
 def parse_operator_specs(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import Split, split
 from ..functions.maps import label
-from ..functions.quantity import cpu_millis, memory_bytes
+from ..functions.quantity import cpu_millis, memory_bytes, quantity_error
 from ..schemas import SCOPE
 
 # --- fixed values ----------------------------------------------------------------------
@@ -33,9 +33,11 @@ def cluster_capacity(
         "_cpu": cpu_millis(cpu), "_mem": memory_bytes(memory),
     }).withColumn(
         "error",
-        F.when(F.col("_free") & cpu.isNotNull() & F.col("_cpu").isNull(), "ParseNodeCpuQuantity")
-        .when(F.col("_free") & memory.isNotNull() & F.col("_mem").isNull(),
-              "ParseNodeMemoryQuantity"),
+        F.when(F.col("_free") & (quantity_error(cpu, F.col("_cpu")) == "Malformed"), "ParseNodeCpuQuantity")
+        .when(F.col("_free") & (quantity_error(memory, F.col("_mem")) == "Malformed"),
+              "ParseNodeMemoryQuantity")
+        .when(F.col("_free") & (quantity_error(cpu, F.col("_cpu")) == "Overflow"), "NodeCpuOverflow")
+        .when(F.col("_free") & (quantity_error(memory, F.col("_mem")) == "Overflow"), "NodeMemoryOverflow"),
     )
     if on_error == "fail":
         parsed = split(parsed.withColumn("_e", F.col("error")), "_e", "fail").good
@@ -59,16 +61,20 @@ def check_capacity(
 ) -> Split:
     """All violations of requests (scope, spec, cpu, memory) against their cluster's capacity.
 
-    A request violates only by needing strictly more. Storage is never checked.
+    A request violates only by needing strictly more. Storage is never checked. A cluster
+    without a total (no nodes, or a bad one) rejects its requests as ``UnknownCapacity``.
     """
+    return split(checked_capacity(requests, capacity, scope), "error", on_error)
+
+
+def checked_capacity(
+    requests: DataFrame, capacity: DataFrame, scope: Sequence[str] = SCOPE
+) -> DataFrame:
+    """Violations and rejected requests in one pass; ``error`` tells them apart."""
     parsed = requests.withColumns(
         {"_cpu": cpu_millis(F.col("cpu")), "_mem": memory_bytes(F.col("memory"))}
-    ).withColumn(
-        "error",
-        F.when(F.col("_cpu").isNull(), "ParseCpuResourceRequirements")
-        .when(F.col("_mem").isNull(), "ParseMemoryResourceRequirements"),
     )
-    good, rejects = split(parsed, "error", on_error)
+    totals = capacity.select(*scope, "cpu_millis", "memory_bytes")
 
     def violation(name, required, available):
         return F.when(
@@ -82,12 +88,16 @@ def check_capacity(
                 violation("InsufficientMemory", "_mem", "memory_bytes")),
         lambda v: v.isNotNull(),
     )
-    violations = (
-        good.join(capacity.select(*scope, "cpu_millis", "memory_bytes"), list(scope))
-        .withColumn("_v", F.explode(found))
-        .select(*requests.columns, "_v.*")
+    error = (
+        F.when(F.col("_cpu").isNull(), "ParseCpuResourceRequirements")
+        .when(F.col("_mem").isNull(), "ParseMemoryResourceRequirements")
+        .when(F.col("cpu_millis").isNull(), "UnknownCapacity")
     )
-    return Split(violations, rejects.drop("_cpu", "_mem"))
+    rows = parsed.join(totals, list(scope), "left").withColumn("error", error)
+    # A rejected request keeps one row without a violation.
+    kept = F.when(F.col("error").isNull(), found).otherwise(F.array(F.lit(None).cast(
+        "struct<violation: string, required: decimal(38,3), available: decimal(38,3)>")))
+    return rows.withColumn("_v", F.explode(kept)).select(*requests.columns, "_v.*", "error")
 
 
 def node_environment(provider_id: Column, labels: Column) -> Column:

@@ -114,14 +114,16 @@ def dangling_refs(demos: DataFrame, stacks: DataFrame, releases: DataFrame) -> D
 def supports_namespace(
     requests: DataFrame, specs: DataFrame, on_error: str = "quarantine"
 ) -> Split:
-    """Requests (name, namespace) against the supported namespaces of their spec."""
-    joined = requests.join(specs.select("name", "supported_namespaces"), "name")
+    """Requests (name, namespace) against the supported namespaces of their spec, which must exist."""
+    joined = requests.join(
+        specs.select("name", "supported_namespaces", F.lit(True).alias("_known")), "name", "left"
+    )
     allowed = F.coalesce(F.col("supported_namespaces"), F.array().cast("array<string>"))
     ok = (F.size(allowed) == 0) | F.array_contains(allowed, F.col("namespace"))
     return split(
         joined.withColumn("supported", F.array_join(allowed, ", "))
-        .withColumn("error", F.when(~ok, "UnsupportedNamespace"))
-        .drop("supported_namespaces"),
+        .withColumn("error", F.when(F.col("_known").isNull(), "NoSuchSpec").when(~ok, "UnsupportedNamespace"))
+        .drop("supported_namespaces", "_known"),
         "error", on_error,
     )
 

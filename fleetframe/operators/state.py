@@ -23,38 +23,42 @@ def installed_operators(
 
 
 def install_plan(
-    requests: DataFrame, releases: DataFrame, mode: str = "install",
+    requests: DataFrame, releases: DataFrame, mode: str | Column = "install",
     on: Sequence[str] = (*SCOPE, "namespace", "release"),
 ) -> DataFrame:
     """Action per request: install, replace, skip_same, skip_unspecified, error_conflict.
 
-    ``releases`` has one row per ``on`` key with the installed ``version``.
+    ``mode`` is ``install`` or ``upsert``, for all requests or as a column.
+    ``releases`` has one row per ``on`` key with the installed ``version``; a release of
+    unknown version exists all the same.
     """
-    if mode not in ("install", "upsert"):
-        raise ValueError(f"mode must be 'install' or 'upsert', not {mode!r}")
-    installed = releases.select(*on, F.col("version").alias("current_version"))
+    if isinstance(mode, str):
+        if mode not in ("install", "upsert"):
+            raise ValueError(f"mode must be 'install' or 'upsert', not {mode!r}")
+        mode = F.lit(mode)
+    installed = releases.select(*on, F.col("version").alias("current_version"), F.lit(True).alias("_exists"))
     requested, current = F.col("version"), F.col("current_version")
     action = (
-        F.when(current.isNull(), "install")
+        F.when(F.col("_exists").isNull(), "install")
         .when(requested.isNull(), "skip_unspecified")
-        .when(requested == current, "skip_same")
-        .otherwise("error_conflict" if mode == "install" else "replace")
+        .when(requested.eqNullSafe(current), "skip_same")
+        .otherwise(F.when(mode == "install", "error_conflict").otherwise("replace"))
     )
     target = F.when(
         action.isin("install", "replace"), F.coalesce(requested, F.lit(DEFAULT_CHART_VERSION))
     )
     return requests.join(installed, list(on), "left").withColumns(
         {"action": action, "target_version": target}
-    )
+    ).drop("_exists")
 
 
 def uninstall_plan(
     requests: DataFrame, releases: DataFrame,
     on: Sequence[str] = (*SCOPE, "namespace", "release"),
 ) -> DataFrame:
-    installed = releases.select(*on, F.col("version").alias("current_version"))
-    action = F.when(F.col("current_version").isNotNull(), "uninstall").otherwise("not_installed")
-    return requests.join(installed, list(on), "left").withColumn("action", action)
+    installed = releases.select(*on, F.col("version").alias("current_version"), F.lit(True).alias("_exists"))
+    action = F.when(F.col("_exists").isNotNull(), "uninstall").otherwise("not_installed")
+    return requests.join(installed, list(on), "left").withColumn("action", action).drop("_exists")
 
 
 def upgrade_plan(
@@ -62,10 +66,11 @@ def upgrade_plan(
     products: DataFrame,
     installed: DataFrame,
     valid: Sequence[str],
-    include: Sequence[str] = (),
+    include: Sequence[str] | Column = (),
     exclude: Sequence[str] = (),
-    guard_empty: bool = True,
+    guard_empty: bool | Column = True,
     scope: Sequence[str] = SCOPE,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Uninstall and install rows for clusters moving to a release.
 
@@ -73,8 +78,13 @@ def upgrade_plan(
     name = chart name). Only installed valid operators move, plus the included ones;
     excluded products never do. A cluster with nothing installed and nothing included has
     an empty list: ``guard_empty`` reads that as "nothing", otherwise it means every
-    product of the release.
+    product of the release. ``include`` and ``guard_empty`` may be columns of the requests,
+    and columns named in ``keep`` stay.
     """
+    if not isinstance(include, Column):
+        include = F.array(*[F.lit(n) for n in include]).cast("array<string>")
+    if not isinstance(guard_empty, Column):
+        guard_empty = F.lit(guard_empty)
     scope = list(scope)
     charts = [f"{v}-operator" for v in valid]
     present = installed.filter(F.col("name").isin(charts)).select(
@@ -88,17 +98,17 @@ def upgrade_plan(
     )
     is_installed = F.col("_installed").isNotNull()
     empty = F.col("_any").isNull()
-    all_products = empty & F.lit(not guard_empty)
-    added = F.col("product").isin(list(include)) if include else F.lit(False)
+    all_products = empty & ~guard_empty
+    added = F.array_contains(include, F.col("product"))
     uninstall = is_installed | all_products
-    install = is_installed | added | (all_products & F.lit(not include))
+    install = is_installed | added | (all_products & (F.size(include) == 0))
     steps = F.filter(
         F.array(F.when(uninstall, F.lit("uninstall")), F.when(install, F.lit("install"))),
         lambda s: s.isNotNull(),
     )
     kept = rows if not exclude else rows.filter(~F.col("product").isin(list(exclude)))
     return kept.withColumn("action", F.explode(steps)).select(
-        *scope, "release", "product", "version", "action"
+        *scope, *keep, "release", "product", "version", "action"
     )
 
 

@@ -50,12 +50,18 @@ def render_and_parse(
 
     Good rows are one per YAML document with ``doc_pos`` and ``json``.
     """
-    rendered, unrendered = render_templates(docs, text, params, on_error)
     kept = [c for c in docs.columns if c not in (text, params)]
-    parsed, unparsed = parse_yaml(
-        rendered.select(*kept, "rendered"), "rendered", on_error=on_error
+    # Every document passes the parser once; one that was not rendered passes as a single row.
+    rendered = render_templates(docs, text, params, on_error).rows.select(
+        *kept, F.when(F.col("error").isNull(), F.col("rendered")).otherwise("null").alias("rendered"),
+        F.col("error").alias("_unrendered"),
     )
-    rejects = unrendered.select(*kept, F.lit("template").alias("stage"), "error").unionByName(
-        unparsed.select(*kept, F.lit("yaml").alias("stage"), "error")
+    parsed = parse_yaml(rendered, "rendered", on_error=on_error).rows
+    bad = F.col("_unrendered").isNotNull()
+    rows = parsed.select(
+        *kept, F.when(~bad, F.col("doc_pos")).alias("doc_pos"), F.when(~bad, F.col("json")).alias("json"),
+        F.when(bad, "template").when(F.col("error").isNotNull(), "yaml").alias("stage"),
+        F.coalesce("_unrendered", "error").alias("error"),
     )
-    return Split(parsed, rejects)
+    good, rejects = split(rows, "error", on_error)
+    return Split.of(good.drop("stage"), rejects.select(*kept, "stage", "error"), rows)

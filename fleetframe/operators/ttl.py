@@ -33,9 +33,11 @@ SECOND = 1_000_000
 # --- lookups ---------------------------------------------------------------------------
 
 
-def _status(elapsed: Column, stored: Column, max_age: float) -> Column:
+def _status(time: Column, elapsed: Column, stored: Column, max_age: float) -> Column:
+    """A request without a time has no status, as in the replay."""
     return (
-        F.when(stored.isNull(), "Miss")
+        F.when(time.isNull(), F.lit(None).cast("string"))
+        .when(stored.isNull(), "Miss")
         .when(elapsed > int(max_age * SECOND), "Expired")
         .otherwise("Hit")
     )
@@ -55,7 +57,7 @@ def ttl_status(
     elapsed = F.col("_t") - F.col("_m")
     return split(
         joined.withColumns({
-            "status": _status(elapsed, F.col("_m"), max_age),
+            "status": _status(F.col("_t"), elapsed, F.col("_m"), max_age),
             "error": F.when(elapsed < 0, "FutureTimestamp"),
         }).drop("_t", "_m"),
         "error", on_error,
@@ -94,7 +96,7 @@ def ttl_status_asof(
         chunked = join_null_safe(chunked, carried, [*key, "_chunk"], "left")
         newest = F.coalesce(newest, F.col("_carry"))
     seen = chunked.withColumn("_m", newest).filter(F.col("_entry").isNull())
-    return seen.withColumn("status", _status(F.col("_t") - F.col("_m"), F.col("_m"), max_age)).select(
+    return seen.withColumn("status", _status(F.col("_t"), F.col("_t") - F.col("_m"), F.col("_m"), max_age)).select(
         *requests.columns, F.timestamp_micros("_m").alias("stored_at"), "status"
     )
 
@@ -109,7 +111,12 @@ def select_expired(
     open_entries = entries.filter(~F.col(name).isin(*protected)) if protected else entries
     if mode == "all":
         return open_entries
-    return open_entries.filter(now - micros(entries, modified) > int(max_age * SECOND))
+    return open_entries.filter(is_expired(micros(entries, modified), now, max_age))
+
+
+def is_expired(modified: Column, now: Column, max_age: float) -> Column:
+    """Whether an entry stored at ``modified`` (microseconds) is strictly older than ``max_age``."""
+    return now - modified > int(max_age * SECOND)
 
 
 def entry_ages(

@@ -114,10 +114,9 @@ def latest_release(
 
     Feed order decides, not the highest version. The prefix is removed repeatedly.
     """
-    published = feed.filter(
-        ~F.col("draft") & ~F.col("prerelease") & F.col("name").startswith(prefix)
-    )
-    first = published.groupBy(*by).agg(F.min_by("name", F.struct(*order)).alias("name"))
+    published = ~F.col("draft") & ~F.col("prerelease") & F.col("name").startswith(prefix)
+    # A feed without a published entry keeps its row, so that it can be rejected.
+    first = feed.groupBy(*by).agg(F.min_by("name", F.when(published, F.struct(*order))).alias("name"))
     latest = first.withColumn(
         "latest",
         F.regexp_replace("name", F.concat(F.lit(r"^(\Q"), F.lit(prefix), F.lit(r"\E)+")), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.maps import text_map
-from ..functions.quantity import cpu_millis, memory_bytes
+from ..functions.quantity import cpu_millis, memory_bytes, quantity_error
 from ..operators import capacity as P
 from .views import table, view
 
@@ -22,22 +22,19 @@ def nodes(spark, sf):
 
 
 def capacity(spark, sf):
-    total = P.cluster_capacity(nodes(spark, sf), SCOPE).good
-    return total.select("cluster", "nodes", "untainted_nodes", F.col("cpu_millis").cast("bigint").alias("cpu_millis"),
-                        F.col("memory_bytes").cast("bigint").alias("memory_bytes"))
-
-
-def _checked(spark, sf):
-    requests = view(spark, sf, "v_request").select("spec", "cluster", "cpu", "memory")
-    return P.check_capacity(requests, P.cluster_capacity(nodes(spark, sf), SCOPE).good, SCOPE)
+    total = P.cluster_capacity(nodes(spark, sf), SCOPE)
+    return total.good.select(
+        "cluster", "nodes", "untainted_nodes", F.col("cpu_millis").cast("bigint").alias("cpu_millis"),
+        F.col("memory_bytes").cast("bigint").alias("memory_bytes"),
+    ).unionByName(total.rejects.select("cluster", "name", "error"), allowMissingColumns=True)
 
 
 def capacity_check(spark, sf):
-    violations, rejects = _checked(spark, sf)
-    return violations.select(
-        "spec", "cluster", "violation", F.col("required").cast("bigint").alias("required"),
-        F.col("available").cast("bigint").alias("available"),
-    ).unionByName(rejects.select("spec", "cluster", F.col("error").alias("violation")), allowMissingColumns=True)
+    requests = view(spark, sf, "v_request").select("spec", "cluster", "cpu", "memory")
+    rows = P.checked_capacity(requests, P.cluster_capacity(nodes(spark, sf), SCOPE).good, SCOPE)
+    return rows.select(
+        "spec", "cluster", F.coalesce("error", "violation").alias("violation"),
+        F.col("required").cast("bigint").alias("required"), F.col("available").cast("bigint").alias("available"))
 
 
 def environment(spark, sf):
@@ -58,8 +55,24 @@ def quantities(spark, sf):
         (memory_bytes(text) * 1000).cast("bigint").alias("memory_milli"))
 
 
+# Long quantities: digits around the sizes that cluster exports print, and far beyond.
+WIDE = (("", 0, 27), ("m", 0, 28), ("u", 0, 30), ("n", 0, 30), ("Pi", 0, 16), ("Ki", 3, 20), ("", 3, 16))
+
+
+def quantities_wide(spark, sf):
+    """Quantities of 16 to 30 digits, with fractions and in every small form, exactly."""
+    key = F.col("p_partkey")
+    digits = lambda n: F.concat((key % 9 + 1).cast("string"), F.lpad((key * 7919).cast("string"), n - 1, "0"))
+    texts = F.array(*[
+        F.concat(digits(n), F.lit("." if places else ""), F.lpad((key % 1000).cast("string"), places, "0")
+                 if places else F.lit(""), F.lit(unit)) for unit, places, n in WIDE])
+    rows = table(spark, sf, "part").select(key.alias("id"), F.explode(texts).alias("text"))
+    value = memory_bytes(F.col("text"))
+    return rows.select("id", "text", value.cast("string").alias("value"), quantity_error(F.col("text"), value).alias("error"))
+
+
 QUERIES = {
-    "capacity": capacity, "capacity_check": capacity_check, "environment": environment,
+    "quantities_wide": quantities_wide, "capacity": capacity, "capacity_check": capacity_check, "environment": environment,
     "quantities": quantities,
 }
 
@@ -69,12 +82,35 @@ _CAPACITY = """
                 FILTER (coalesce(taint_count, 0) = 0), 0) AS BIGINT) AS cpu_millis,
            CAST(coalesce(sum(CASE memory WHEN '4Gi' THEN 4294967296 WHEN '512Mi' THEN 536870912
                 ELSE 1024000000 END) FILTER (coalesce(taint_count, 0) = 0), 0) AS BIGINT) AS memory_bytes
-    FROM {v_node} GROUP BY cluster"""
+    FROM {v_node} GROUP BY cluster
+    HAVING count(*) FILTER (cpu = 'two' AND coalesce(taint_count, 0) = 0) = 0"""
 _FACTORS = "CASE p_size % 10 WHEN 1 THEN 1 WHEN 2 THEN 1000000 WHEN 3 THEN 1000000000 WHEN 4 THEN 1000000000000 " \
            "WHEN 5 THEN 1024000 WHEN 6 THEN 1048576000 WHEN 7 THEN 1073741824000 WHEN 8 THEN 1000000 WHEN 0 THEN 1000 END"
 
+def _wide_sql():
+    """Whole numbers of thousandths; quantities below a thousandth are rounded half up."""
+    thousandths = {"": "v * 1000", "m": "v", "u": "(v + 500) // 1000", "n": "(v + 500000) // 1000000",
+                   "Pi": "v * 1125899906842624000", "Ki": "v * 1024000"}
+    parts = []
+    for unit, places, n in WIDE:
+        whole = f"CAST(p_partkey % 9 + 1 AS STRING) || left(lpad(CAST(p_partkey * 7919 AS STRING), {n - 1}, '0'), {n - 1})"
+        after = f"lpad(CAST(p_partkey % 1000 AS STRING), {places}, '0')"
+        value = {"Ki": "v * 1024", "": "v"}[unit] if places else thousandths[unit]
+        parts.append(f"""
+            SELECT id, text || '{unit}' AS text, {value} AS t FROM (
+              SELECT p_partkey AS id, {whole} || {f"'.' || {after}" if places else "''"} AS text,
+                     CAST({whole} || {after if places else "''"} AS HUGEINT) AS v FROM {{part}})""")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE = {
-    "capacity": _CAPACITY,
+    "quantities_wide": f"""
+        SELECT id, text, CAST(t // 1000 AS STRING) || '.' || lpad(CAST(t % 1000 AS STRING), 3, '0') AS value, CAST(NULL AS VARCHAR) AS error
+        FROM ({_wide_sql()})""",
+    "capacity": f"""
+        SELECT *, NULL AS name, NULL AS error FROM ({_CAPACITY})
+        UNION ALL SELECT cluster, NULL, NULL, NULL, NULL, name, 'ParseNodeCpuQuantity' FROM {{v_node}}
+        WHERE cpu = 'two' AND coalesce(taint_count, 0) = 0""",
     "capacity_check": f"""
         WITH r AS (SELECT spec, cluster, CASE WHEN cpu <> 'lots' THEN CAST(replace(cpu, 'm', '') AS BIGINT) END AS cpu,
                           CAST(replace(memory, 'Gi', '') AS BIGINT) * 1073741824 AS mem FROM {{v_request}}),
@@ -84,7 +120,9 @@ ORACLE = {
         UNION ALL
         SELECT spec, cluster, 'InsufficientMemory', mem, memory_bytes
         FROM r JOIN c USING (cluster) WHERE cpu IS NOT NULL AND mem > memory_bytes
-        UNION ALL SELECT spec, cluster, 'ParseCpuResourceRequirements', NULL, NULL FROM r WHERE cpu IS NULL""",
+        UNION ALL SELECT spec, cluster, 'ParseCpuResourceRequirements', NULL, NULL FROM r WHERE cpu IS NULL
+        UNION ALL SELECT spec, cluster, 'UnknownCapacity', NULL, NULL FROM r ANTI JOIN c USING (cluster)
+        WHERE cpu IS NOT NULL""",
     "environment": """
         WITH e AS (
           SELECT cluster, coalesce(arg_min(env, pos) FILTER (env IS NOT NULL), 'Unknown') AS environment FROM (

@@ -60,15 +60,27 @@ def dangling(spark, sf):
 
 def include_exclude(spark, sf):
     products = table(spark, sf, "part").select("p_partkey", F.lower("p_type").alias("product"))
-    run = lambda mode, inc, exc: C.filter_products(products, inc, exc).withColumn("mode", F.lit(mode))
-    return (
-        run("both", ["economy", "promo", "nosuch"], ["promo"])
-        .unionByName(run("all", [], ["promo", "large"])))
+    names = lambda *n: F.array(*[F.lit(x) for x in n]).cast("array<string>")
+    mode = lambda mode, inc, exc: F.struct(F.lit(mode).alias("mode"), inc.alias("inc"), exc.alias("exc"))
+    modes = F.array(mode("both", names("economy", "promo", "nosuch"), names("promo")),
+                    mode("all", names(), names("promo", "large")))
+    rows = products.withColumn("_m", F.explode(modes))
+    return rows.filter(C.included(F.col("product"), F.col("_m.inc"), F.col("_m.exc"))).select(
+        "p_partkey", "product", "_m.mode")
+
+
+def include_table(spark, sf):
+    """Names from tables: products of small parts, but for those of the last."""
+    products = table(spark, sf, "part").select("p_partkey", F.lower("p_type").alias("product"))
+    named = lambda keep: table(spark, sf, "part").filter(keep).select(F.lower("p_type").alias("product")).distinct()
+    return C.filter_products(products, named(F.col("p_size") < 20), named(F.col("p_type") == "PROMO"))
 
 
 def namespace_ok(spark, sf):
     requests = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("name"),
+        F.col("o_orderkey").alias("id"),
+        # Some requests are for specs that no catalog has.
+        F.when(F.col("o_orderkey") % 17 == 0, F.col("o_custkey") + 100000000).otherwise(F.col("o_custkey")).alias("name"),
         F.concat(F.lit("ns"), (F.col("o_orderkey") % 4).cast("string")).alias("namespace"))
     key = F.col("c_custkey")
     specs_ = table(spark, sf, "customer").select(
@@ -76,8 +88,7 @@ def namespace_ok(spark, sf):
         F.when(key % 3 == 0, F.array().cast("array<string>"))
         .when(key % 3 == 1, F.array(F.lit("ns1"))).otherwise(F.array(F.lit("ns0"), F.lit("ns2")))
         .alias("supported_namespaces"))
-    good, rejects = C.supports_namespace(requests, specs_)
-    return good.withColumn("error", F.lit(None).cast("string")).unionByName(rejects)
+    return C.supports_namespace(requests, specs_).rows
 
 
 def explode_items(spark, sf):
@@ -120,14 +131,12 @@ def describe(spark, sf):
 def lookup(spark, sf):
     requests = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("name"))
     specs_ = table(spark, sf, "customer").select(F.col("c_custkey").alias("name"), "c_mktsegment")
-    good, rejects = C.lookup(requests, specs_)
-    return good.withColumn("error", F.lit(None).cast("string")).unionByName(rejects)
+    return C.lookup(requests, specs_).rows
 
 
 def param_parse(spark, sf):
-    good, rejects = specs.parse_parameters(view(spark, sf, "v_text_param"), "text")
-    both = good.withColumn("error", F.lit(None).cast("string")).unionByName(rejects)
-    return both.select("event_id", "name", "value", "error")
+    return specs.parse_parameters(view(spark, sf, "v_text_param"), "text").rows.select(
+        "event_id", "name", "value", "error")
 
 
 def param_lists(spark, sf):
@@ -135,10 +144,9 @@ def param_lists(spark, sf):
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("a="), k, F.lit(" b="), k)).when(
         F.col("event_id") % 3 == 1, F.concat(F.lit("a="), k, F.lit("  b="), k)).otherwise(
         F.concat(F.lit("a="), k, F.lit(" b c=1")))
-    good, rejects = specs.parse_parameter_lists(
-        table(spark, sf, "events").select("event_id", text.alias("text")), "text")
-    both = good.withColumn("error", F.lit(None).cast("string")).unionByName(rejects, allowMissingColumns=True)
-    return both.select("event_id", F.col("pos").cast("int").alias("pos"), "name", "value", "error")
+    rows = specs.parse_parameter_lists(
+        table(spark, sf, "events").select("event_id", text.alias("text")), "text").rows
+    return rows.select("event_id", F.col("pos").cast("int").alias("pos"), "name", "value", "error")
 
 
 def param_overlay(spark, sf):
@@ -178,8 +186,7 @@ REQUESTS = """SELECT c_custkey AS id, 'Brand#' || CAST(c_custkey % 27 AS STRING)
 
 
 def branch_namespace(spark, sf):
-    good, rejects = C.release_branch(query(spark, sf, REQUESTS), query(spark, sf, RELEASES))
-    both = good.withColumn("error", F.lit(None).cast("string")).unionByName(rejects)
+    both = C.release_branch(query(spark, sf, REQUESTS), query(spark, sf, RELEASES)).rows
     target = C.effective_namespace(F.col("namespace"), F.lit("spec"), F.col("id") % 2 == 0)
     return both.select("id", F.when(F.col("error").isNull(), F.col("branch")).alias("branch"), "error",
                        target.alias("target"))
@@ -214,7 +221,7 @@ def page_audit(spark, sf):
 
 QUERIES = {
     "overlay": overlay, "source_order": source_order, "resolve_chain": resolve_chain,
-    "dangling": dangling, "include_exclude": include_exclude, "namespace_ok": namespace_ok,
+    "dangling": dangling, "include_exclude": include_exclude, "include_table": include_table, "namespace_ok": namespace_ok,
     "explode_items": explode_items, "join_lists": join_lists, "joined_items": joined_items,
     "describe": describe, "lookup": lookup, "param_parse": param_parse, "param_lists": param_lists,
     "param_overlay": param_overlay, "context_overlay": context_overlay,
@@ -250,13 +257,19 @@ ORACLE = {
         SELECT p_partkey, lower(p_type) AS product, 'both' AS mode FROM {part} WHERE p_type IN ('ECONOMY')
         UNION ALL
         SELECT p_partkey, lower(p_type), 'all' FROM {part} WHERE p_type NOT IN ('PROMO', 'LARGE')""",
+    "include_table": """
+        SELECT p_partkey, lower(p_type) AS product FROM {part}
+        WHERE p_type IN (SELECT p_type FROM {part} WHERE p_size < 20) AND p_type <> 'PROMO'""",
     "namespace_ok": """
-        SELECT o_orderkey AS id, o_custkey AS name, 'ns' || CAST(o_orderkey % 4 AS STRING) AS namespace,
-               CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'ns1' ELSE 'ns0, ns2' END AS supported,
-               CASE WHEN o_custkey % 3 = 1 AND o_orderkey % 4 <> 1
-                      OR o_custkey % 3 = 2 AND o_orderkey % 4 NOT IN (0, 2)
+        SELECT id, name, namespace,
+               CASE WHEN c_custkey IS NULL THEN '' ELSE CASE name % 3 WHEN 0 THEN '' WHEN 1 THEN 'ns1'
+                    ELSE 'ns0, ns2' END END AS supported,
+               CASE WHEN c_custkey IS NULL THEN 'NoSuchSpec'
+                    WHEN name % 3 = 1 AND id % 4 <> 1 OR name % 3 = 2 AND id % 4 NOT IN (0, 2)
                     THEN 'UnsupportedNamespace' END AS error
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+        FROM (SELECT o_orderkey AS id, 'ns' || CAST(o_orderkey % 4 AS STRING) AS namespace,
+                     CASE WHEN o_orderkey % 17 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS name
+              FROM {orders}) LEFT JOIN {customer} ON name = c_custkey""",
     "explode_items": """
         SELECT c_custkey AS name, CAST(i AS INT) AS pos,
                'p' || CAST(i AS STRING) || '-' || lower(c_mktsegment) AS item,

@@ -23,9 +23,8 @@ def installed(spark, sf):
 
 
 def install_plan(spark, sf):
-    wanted, have = view(spark, sf, "v_wanted"), view(spark, sf, "v_installed")
-    plan = lambda mode: S.install_plan(wanted, have, mode, ON).withColumn("mode", F.lit(mode))
-    return plan("install").unionByName(plan("upsert"))
+    wanted = view(spark, sf, "v_wanted").withColumn("mode", F.explode(F.array(F.lit("install"), F.lit("upsert"))))
+    return S.install_plan(wanted, view(spark, sf, "v_installed"), F.col("mode"), ON)
 
 
 def uninstall_plan(spark, sf):
@@ -40,16 +39,18 @@ def upgrade_plan(spark, sf):
         "release", F.posexplode(names).alias("pos", "product")).select(
         "release", "product", F.concat(F.length("release").cast("string"), F.lit("."),
                                        F.col("pos").cast("string"), F.lit(".0")).alias("version"))
-    chart = F.concat(F.get(F.array(*[F.lit(n) for n in (*OPERATORS, "grafana", "loki", "other")]),
-                           (F.col("o_orderkey") % 20).cast("int")), F.lit("-operator"))
+    # Nobody has zookeeper.
+    charts = ["other" if n == "zookeeper" else n for n in OPERATORS] + ["grafana", "loki", "other"]
+    chart = F.concat(F.get(F.array(*[F.lit(n) for n in charts]), (F.col("o_orderkey") % 20).cast("int")),
+                     F.lit("-operator"))
     have = table(spark, sf, "orders").select(F.col("o_custkey").alias("cluster"), chart.alias("name"))
-    have = have.filter(F.col("name") != "zookeeper-operator")
-    plan = lambda variant, inc, guard: S.upgrade_plan(
-        requests, products, have, OPERATORS, inc, ["hive"], guard, ["cluster"]
-    ).withColumn("variant", F.lit(variant))
-    return (
-        plan("guarded", [], True).unionByName(plan("open", [], False))
-        .unionByName(plan("include", ["trino"], False)))
+    variant = lambda name, inc, guard: F.struct(
+        F.lit(name).alias("variant"), F.array(*[F.lit(n) for n in inc]).cast("array<string>").alias("inc"),
+        F.lit(guard).alias("guard"))
+    variants = F.array(variant("guarded", [], True), variant("open", [], False), variant("include", ["trino"], False))
+    return S.upgrade_plan(
+        requests.withColumn("_v", F.explode(variants)).select("cluster", "release", "_v.*"), products, have, OPERATORS,
+        F.col("inc"), ["hive"], F.col("guard"), ["cluster"], ["variant"])
 
 
 DESIRED = """
@@ -79,13 +80,12 @@ def resources(spark):
 
 
 def state_diff(spark, sf):
-    good, rejects = S.object_identity(query(spark, sf, DESIRED), resources(spark), F.lit("target"))
+    rows = S.object_identity(query(spark, sf, DESIRED), resources(spark), F.lit("target")).rows
     actual = query(spark, sf, ACTUAL.replace('"group"', "`group`"))
     on = ("group", "version", "kind", "name")
-    plan = S.diff_objects(good, actual, "manifest", on).select("id", "group", "kind", "namespace", "action", "live_version")
-    return plan.unionByName(
-        rejects.select("id", "group", "kind", "namespace", F.col("error").alias("action")),
-        allowMissingColumns=True)
+    return S.diff_objects(rows, actual, "manifest", on).select(
+        "id", "group", "kind", "namespace", F.coalesce("error", "action").alias("action"),
+        F.when(F.col("error").isNull(), F.col("live_version")).alias("live_version"))
 
 
 def crd_diff(spark, sf):
@@ -102,12 +102,11 @@ def crd_diff(spark, sf):
 def label_overlay(spark, sf):
     key = F.col("c_custkey")
     objs = table(spark, sf, "customer").select(
-        key.alias("id"),
+        key.alias("id"), "c_custkey", "c_mktsegment",
         F.when(key % 3 == 0, text_map({"app": "a", "example.com/vendor": "old"}))
         .when(key % 3 == 1, text_map({"app": F.lower("c_mktsegment")})).alias("labels"))
     extra = S.demo_labels("example.com", "fleet", "Acme", F.concat(F.lit("d"), key.cast("string")),
                           F.lower("c_mktsegment"))
-    objs = objs.join(table(spark, sf, "customer").select(key.alias("id"), "c_custkey", "c_mktsegment"), "id")
     out = S.add_labels(objs, extra)
     cell = lambda name, alias: label(F.col("labels"), name).alias(alias)
     return out.select("id", cell("app", "app"), cell("example.com/vendor", "vendor"),

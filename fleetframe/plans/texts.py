@@ -20,9 +20,7 @@ def _templates(spark, sf):
 
 def render(spark, sf):
     docs = _templates(spark, sf).select("doc_id", F.concat(F.lit("{{ SOURCE }}: "), "body").alias("text"), "params")
-    good, rejects = R.render_templates(docs)
-    return good.select("doc_id", "rendered", F.lit(None).cast("string").alias("error")).unionByName(
-        rejects.select("doc_id", "rendered", "error"))
+    return R.render_templates(docs).rows.select("doc_id", "rendered", "error")
 
 
 def render_parse(spark, sf):
@@ -31,14 +29,11 @@ def render_parse(spark, sf):
         "doc_id",
         F.concat(F.lit("source: {{ SOURCE }}\nday: 2022-11-10\ndoc: "), quoted, F.lit("\n---\nversion: 23.10\n"))
         .alias("text"), "params")
-    good, rejects = R.render_and_parse(docs)
     cell = lambda path: F.get_json_object("json", path)
-    return good.select(
+    return R.render_and_parse(docs).rows.select(
         "doc_id", "doc_pos", cell("$.source").alias("source"), cell("$.day").alias("day"),
         cell("$.doc.body").alias("body"), cell("$.version").alias("version"),
-        F.lit(None).cast("string").alias("error"),
-    ).unionByName(rejects.select("doc_id", F.concat("stage", F.lit(": "), "error").alias("error")),
-                  allowMissingColumns=True)
+        F.concat("stage", F.lit(": "), "error").alias("error"))
 
 
 QUERIES = {"render": render, "render_parse": render_parse}

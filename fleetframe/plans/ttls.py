@@ -15,10 +15,9 @@ def ttl_status(spark, sf):
         F.col("l_orderkey").alias("key"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").alias("ts"))
     entries = table(spark, sf, "orders").select(
         (F.col("o_orderkey") * 2).alias("key"), F.col("o_orderdate").alias("modified"))
-    good, rejects = T.ttl_status(requests, entries, 400 * DAY)
-    both = good.withColumn("error", F.lit(None).cast("string")).unionByName(
-        rejects.withColumn("status", F.lit(None).cast("string")))
-    return both.select("key", "l_linenumber", "l_partkey", "l_suppkey", "status", "error")
+    rows = T.ttl_status(requests, entries, 400 * DAY).rows
+    status = F.when(F.col("error").isNull(), F.col("status")).alias("status")
+    return rows.select("key", "l_linenumber", "l_partkey", "l_suppkey", status, "error")
 
 
 def ttl_asof(spark, sf):
@@ -52,8 +51,11 @@ def now():
 
 
 def expired_entries(spark, sf):
-    pick = lambda mode: T.select_expired(_entries(spark, sf), now(), 300 * DAY, mode).withColumn("mode", F.lit(mode))
-    return pick("all").unionByName(pick("expired")).select("o_orderkey", "mode")
+    # One pass: what a purge of all removes, and of these what is expired as well.
+    old = T.is_expired(F.unix_micros(F.col("modified").cast("timestamp")), now(), 300 * DAY)
+    modes = F.when(old, F.array(F.lit("all"), F.lit("expired"))).otherwise(F.array(F.lit("all")))
+    return T.select_expired(_entries(spark, sf), now(), 300 * DAY, "all").select(
+        "o_orderkey", F.explode(modes).alias("mode"))
 
 
 def entry_ages(spark, sf):

@@ -74,9 +74,10 @@ def channel_compare(spark, sf):
 
 
 def latest_outdated(spark, sf):
-    latest = V.latest_release(view(spark, sf, "v_feed"), "tool-", ["repo"]).good
-    rows = V.outdated(view(spark, sf, "v_tool"), latest, ["repo"], only_outdated=False)
-    return rows.select("id", "repo", "version", "latest", "state")
+    latest = V.latest_release(view(spark, sf, "v_feed"), "tool-", ["repo"])
+    rows = V.outdated(view(spark, sf, "v_tool"), latest.good, ["repo"], only_outdated=False)
+    return rows.select("id", "repo", "version", "latest", "state").unionByName(
+        latest.rejects.select("repo", F.col("error").alias("state")), allowMissingColumns=True)
 
 
 def index_explode(spark, sf):
@@ -93,7 +94,7 @@ def index_explode(spark, sf):
 
 
 def crd_url(spark, sf):
-    rows = view(spark, sf, "v_version").filter(F.col("version").isNotNull())
+    rows = view(spark, sf, "v_version")
     template = "https://example.com/%1$s-operator/%2$s/deploy/helm/%1$s-operator/crds/crds.yaml"
     return rows.select("id", locations.crd_url(F.lower("product"), F.col("version"), template).alias("url"))
 
@@ -117,9 +118,8 @@ def spec_validate(spark, sf):
         .when(key % 8 == 6, F.concat(F.lit("  zookeeper=1."), F.col("p_size").cast("string"), F.lit(".3 ")))
         .otherwise(F.concat(F.lit("trino=0."), F.col("p_size").cast("string"), F.lit(".0-rc1")))
     )
-    good, rejects = specs.parse_operator_specs(
-        table(spark, sf, "part").select(key.alias("id"), text.alias("text")), "text")
-    both = good.withColumn("error", F.lit(None).cast("string")).unionByName(rejects)
+    both = specs.parse_operator_specs(
+        table(spark, sf, "part").select(key.alias("id"), text.alias("text")), "text").rows
     spec = specs.format_operator_spec(F.col("name"), F.col("version"))
     return both.select("id", "name", "version", "error", spec.alias("spec"))
 
@@ -173,12 +173,14 @@ ORACLE = {
     "latest_outdated": """
         WITH latest AS (
           SELECT repo, regexp_replace(arg_min(name, pos), '^(tool-)+', '') AS latest FROM {v_feed}
-          WHERE NOT draft AND NOT prerelease AND starts_with(name, 'tool-') GROUP BY repo)
+          WHERE NOT draft AND NOT prerelease AND starts_with(name, 'tool-') GROUP BY repo),
+        feeds AS (SELECT DISTINCT repo FROM {v_feed})
         SELECT id, repo, version, latest,
                CASE WHEN [CAST(split_part(latest, '.', 1) AS INT), CAST(split_part(latest, '.', 2) AS INT)]
                        > [CAST(split_part(version, '.', 1) AS INT), CAST(split_part(version, '.', 2) AS INT)]
                     THEN 'out-of-date' ELSE 'up-to-date' END AS state
-        FROM {v_tool} JOIN latest USING (repo)""",
+        FROM {v_tool} JOIN latest USING (repo)
+        UNION ALL SELECT NULL, repo, NULL, NULL, 'FindLatestRelease' FROM feeds ANTI JOIN latest USING (repo)""",
     "index_explode": """
         SELECT c_custkey AS repo, chart, CAST(pos AS INT) AS pos, chart AS name,
                CAST(major AS STRING) || '.' || CAST(c_custkey % 7 AS STRING) || '.0' AS version
@@ -189,7 +191,7 @@ ORACLE = {
         SELECT id, 'https://example.com/' || lower(product) || '-operator/'
                || CASE WHEN version LIKE '%-dev' THEN 'main' ELSE version END
                || '/deploy/helm/' || lower(product) || '-operator/crds/crds.yaml' AS url
-        FROM {v_version} WHERE version IS NOT NULL""",
+        FROM {v_version}""",
     "location_kind": """
         SELECT page_id,
                CASE WHEN starts_with(url, 'oci://') THEN 'Oci'

@@ -48,7 +48,7 @@ VIEWS = {
                CASE WHEN p_partkey % 3 = 0 THEN 'other-' WHEN p_partkey % 11 = 0 THEN 'tool-tool-'
                     ELSE 'tool-' END
                || CAST(p_size % 9 AS STRING) || '.' || CAST(p_partkey % 10 AS STRING) || '.0' AS name,
-               p_size % 5 = 0 AS draft, p_size % 7 = 0 AS prerelease
+               p_size % 5 = 0 OR p_partkey % 25 = 24 AS draft, p_size % 7 = 0 AS prerelease
         FROM {part}""",
     "v_tool": """
         SELECT s_suppkey AS id, s_nationkey AS repo,
@@ -101,6 +101,10 @@ VIEWS = {
         FROM {orders}""",
     "v_port": """
         SELECT CAST(o_custkey % 5 AS INT) AS cluster, 'ns' || CAST(o_custkey % 3 AS STRING) AS namespace,
+               'obj-' || CAST(o_custkey AS STRING) AS owner,
+               CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'obj-' || CAST(o_custkey AS STRING) ELSE '' END
+               || 'obj-' || CAST(o_custkey AS STRING)
+               || '-s' || CAST(o_orderkey AS STRING) AS name,
                o_orderkey AS pos, l_linenumber AS port_pos,
                CASE l_linenumber % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'https-x' WHEN 2 THEN 'ui' END
                AS port_name,
@@ -120,7 +124,8 @@ VIEWS = {
         SELECT s_nationkey AS cluster, CAST(s_suppkey % 5 AS INT) AS zone,
                'node-' || CAST(s_suppkey AS STRING) AS name, s_suppkey AS pos,
                CASE s_suppkey % 4 WHEN 0 THEN 1 WHEN 1 THEN NULL ELSE 0 END AS taint_count,
-               CASE s_suppkey % 3 WHEN 0 THEN '2' WHEN 1 THEN '1500m' ELSE '0.5' END AS cpu,
+               CASE WHEN s_suppkey % 97 = 5 THEN 'two'
+                    ELSE CASE s_suppkey % 3 WHEN 0 THEN '2' WHEN 1 THEN '1500m' ELSE '0.5' END END AS cpu,
                CASE s_suppkey % 3 WHEN 0 THEN '4Gi' WHEN 1 THEN '512Mi' ELSE '1000000Ki' END AS memory,
                CASE s_suppkey % 6 WHEN 0 THEN 'kind://x' WHEN 1 THEN 'k3s://x' WHEN 2 THEN 'ionos://x'
                     WHEN 3 THEN 'aws://x' END AS provider_id,

@@ -10,19 +10,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..errors import Split, split
 from ..schemas import ARTIFACT_PAGE, ARTIFACT_PAGE_SIZE, REPOSITORY_PAGE_SIZE
 
-_PAGE_FILE = r"([^/]+)/([^/]+)/([0-9]+)\.json$"
+_PAGE_FILE = r"/([0-9]+)\.json$"
 
 
 def read_artifact_pages(spark: SparkSession, path: str, on_error: str = "quarantine") -> Split:
-    """Pages ``<project>/<repository>/<page>.json`` as one row per artifact.
+    """Pages ``<project>/<repository>/<page>.json`` under ``path`` as one row per artifact.
 
-    An empty page keeps one row with null ``pos``, so the audit still sees it.
+    A repository name may itself hold slashes. An empty page keeps one row with null
+    ``pos``, so the audit still sees it.
     """
     file = F.col("_metadata.file_path")
+    # All between the root and the page number; the root may be written with or without a scheme.
+    root = path.split("://", 1)[-1].split("/", 1)[-1].strip("/")
+    name = F.regexp_replace(
+        F.substring_index(F.concat(F.lit("/"), file), "/" + root + "/", -1) if root else file, _PAGE_FILE, "")
     pages = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        F.concat_ws("/", F.regexp_extract(file, _PAGE_FILE, 1),
-                    F.regexp_extract(file, _PAGE_FILE, 2)).alias("repository"),
-        F.regexp_extract(file, _PAGE_FILE, 3).try_cast("int").alias("page"),
+        name.alias("repository"), F.regexp_extract(file, _PAGE_FILE, 1).try_cast("int").alias("page"),
         F.from_json("value", ARTIFACT_PAGE).alias("artifacts"),
     ).withColumn("error", F.when(F.col("artifacts").isNull(), "ParseArtifacts"))
     good, rejects = split(pages, "error", on_error)
@@ -64,13 +67,22 @@ def audit_repositories(
     )
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """A release feed (JSON arrays) as rows (file, pos, name, prerelease, draft)."""
+def read_feed(spark: SparkSession, path: str, on_error: str = "quarantine") -> Split:
+    """Release feeds (JSON arrays) as rows (file, pos, name, prerelease, draft); unreadable files rejected.
+
+    An empty feed keeps one row with null ``pos``.
+    """
     entry = "ARRAY<STRUCT<name: STRING, prerelease: BOOLEAN, draft: BOOLEAN>>"
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.posexplode(F.from_json("value", entry)).alias("pos", "e"),
-    ).select("file", "pos", "e.name", "e.prerelease", "e.draft")
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.from_json("value", entry).alias("entries"),
+    ).withColumn("error", F.when(F.col("entries").isNull(), "ParseFeed"))
+    good, rejects = split(files, "error", on_error)
+    return Split(
+        good.select("file", F.posexplode_outer("entries").alias("pos", "e")).select(
+            "file", "pos", "e.name", F.coalesce("e.prerelease", F.lit(False)).alias("prerelease"),
+            F.coalesce("e.draft", F.lit(False)).alias("draft")),
+        rejects.select("file", "error"),
+    )
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:

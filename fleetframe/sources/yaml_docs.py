@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ def parse_yaml(
 
     With ``root``, the mapping under that key is unfolded: one row per entry with its
     ``name`` and 0-based ``pos`` in the document. Scalars stay text, so ``23.10`` keeps its
-    zero and dates are not rewritten. A bad document rejects its whole text.
+    zero and dates are not rewritten; only null values are null. A bad document rejects its whole text.
     """
     kept = [c for c in df.columns if c != text]
     extra = [StructField("doc_pos", IntegerType())]
@@ -33,7 +34,11 @@ def parse_yaml(
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import yaml
 
-        loader = getattr(yaml, "CBaseLoader", yaml.BaseLoader)
+        class loader(getattr(yaml, "CBaseLoader", yaml.BaseLoader)):
+            """Scalars stay text, but an absent value is absent."""
+
+        loader.add_implicit_resolver("tag:yaml.org,2002:null", re.compile("^(?:~|null|Null|NULL|)$"), ["~", "n", "N", ""])
+        loader.add_constructor("tag:yaml.org,2002:null", lambda self, node: None)
         for batch in batches:
             source, cells = [], {n: [] for n in names}
             for i, value in enumerate(batch.column(text).to_pylist()):

@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from fleetframe.functions.quantity import cpu_millis, memory_bytes
+from fleetframe.functions.quantity import cpu_millis, memory_bytes, quantity_error
 from fleetframe.operators import capacity as P
 
 NODES = ("cluster STRING, name STRING, pos INT, taints ARRAY<STRING>, provider_id STRING, "
@@ -62,3 +62,27 @@ def test_environment(spark):
     assert {r.cluster: r.p for r in preset.collect()} == {
         "k": "stable-nodes", "m": "stable-nodes", "u": "ephemeral-nodes", "i": "ephemeral-nodes"}
     assert {r.o for r in preset.collect()} == {"none"}
+
+
+@pytest.mark.parametrize("text, size", [
+    ("1000000000000000", "1000000000000000.000"), ("1125899906842624", "1125899906842624.000"),
+    ("1099511627776000m", "1099511627776.000"), ("123456789012345678901234567890", "123456789012345678901234567890.000"),
+    ("123456789012345678901234567890u", "123456789012345678901234.568"), ("1n", "0.000"), ("500000n", "0.001"),
+    ("-1500m", "-1.500"), ("0.5Ki", "512.000"), (".5m", "0.001"), ("9007199254740993Ki", "9223372036854776832.000"),
+])
+def test_long_quantities_are_exact(spark, text, size):
+    frame = spark.createDataFrame([(text,)], "q STRING").select(memory_bytes(F.col("q")).alias("v"))
+    assert frame.first().v == Decimal(size)
+
+
+def test_overflow_is_not_malformed(spark):
+    frame = spark.createDataFrame([("9" * 34 + "Ei",), ("4GiB",), ("1",), (None,)], "q STRING")
+    errors = [r.e for r in frame.select(quantity_error(F.col("q"), memory_bytes(F.col("q"))).alias("e")).collect()]
+    assert errors == ["Overflow", "Malformed", None, None]
+
+
+def test_request_without_total_is_rejected(spark):
+    requests = spark.createDataFrame([(1, "s", "1", "1Gi"), (2, "s", "1", "1Gi")], "c INT, spec STRING, cpu STRING, memory STRING")
+    total = spark.createDataFrame([(1, Decimal(5000), Decimal(1 << 40))], "c INT, cpu_millis DECIMAL(38,3), memory_bytes DECIMAL(38,3)")
+    good, rejects = P.check_capacity(requests, total, ["c"])
+    assert good.count() == 0 and [(r.c, r.error) for r in rejects.collect()] == [(2, "UnknownCapacity")]

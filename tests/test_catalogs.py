@@ -223,3 +223,11 @@ def test_operator_specs(spark, text, name, version, error):
     else:
         row = good.select("name", "version", specs.format_operator_spec(F.col("name"), F.col("version")).alias("s")).first()
         assert (row.name, row.version, row.s) == (name, version, text)
+
+
+def test_namespace_of_unknown_spec_is_rejected(spark):
+    requests = spark.createDataFrame([("a", "x"), ("b", "x")], "name STRING, namespace STRING")
+    known = spark.createDataFrame([("a", None)], "name STRING, supported_namespaces ARRAY<STRING>")
+    good, rejects = C.supports_namespace(requests, known)
+    assert [r.name for r in good.collect()] == ["a"]
+    assert [(r.name, r.error) for r in rejects.collect()] == [("b", "NoSuchSpec")]

@@ -227,7 +227,7 @@ def test_pages_and_audit(spark, tmp_path):
 
 def test_feed(spark, tmp_path):
     path = put(tmp_path, "feed.json", '[{"name": "b", "prerelease": false, "draft": true}, {"name": "a", "prerelease": true, "draft": false}]')
-    assert [(r.pos, r.name, r.draft) for r in G.read_feed(spark, path).orderBy("pos").collect()] == [(0, "b", True), (1, "a", False)]
+    assert [(r.pos, r.name, r.draft) for r in G.read_feed(spark, path).good.orderBy("pos").collect()] == [(0, "b", True), (1, "a", False)]
 
 
 def test_sink(spark, tmp_path):
@@ -238,3 +238,25 @@ def test_sink(spark, tmp_path):
     assert G.to_json_rows(df).first().json == '{"id":1,"l":["a"]}'
     with pytest.raises(ValueError):
         G.write_result(df, str(tmp_path / "x"), "yaml")
+
+
+def test_unreadable_and_empty_feeds(spark, tmp_path):
+    put(tmp_path, "bad.json", "not json")
+    put(tmp_path, "empty.json", "[]")
+    good, rejects = G.read_feed(spark, str(tmp_path))
+    assert [(r.pos, r.name) for r in good.collect()] == [(None, None)]
+    assert [r.error for r in rejects.collect()] == ["ParseFeed"]
+
+
+def test_repository_names_keep_their_slashes(spark, tmp_path):
+    folder = tmp_path / "pages" / "charts" / "deep" / "tool"
+    folder.mkdir(parents=True)
+    (folder / "1.json").write_text('[{"digest": "d", "tags": []}]')
+    good, _ = G.read_artifact_pages(spark, str(tmp_path / "pages"))
+    assert [(r.repository, r.page) for r in good.collect()] == [("charts/deep/tool", 1)]
+
+
+def test_absent_yaml_values(spark):
+    frame = spark.createDataFrame([("a: null\nb: ~\nc:\nd: 'null'\ne: 1.10\n",)], "text STRING")
+    row = json.loads(Y.parse_yaml(frame).good.first().json)
+    assert row == {"a": None, "b": None, "c": None, "d": "null", "e": "1.10"}

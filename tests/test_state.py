@@ -102,3 +102,10 @@ def test_group_suffix(spark):
     crds = spark.createDataFrame(
         [("a.example.tech", "n1"), ("xexample.tech", "n2"), ("example.org", "n3"), ("b.example.tech", None)], "group STRING, name STRING")
     assert sorted(r.name for r in S.select_by_group_suffix(crds, "example.tech").collect()) == ["n1", "n2"]
+
+
+def test_release_of_unknown_version_exists(spark):
+    have = spark.createDataFrame([("a", None)], "release STRING, version STRING")
+    want = spark.createDataFrame([("a", "1.0.0"), ("b", "1.0.0")], "release STRING, version STRING")
+    assert {r.release: r.action for r in S.install_plan(want, have, "upsert", ["release"]).collect()} == {"a": "replace", "b": "install"}
+    assert {r.release: r.action for r in S.uninstall_plan(want, have, ["release"]).collect()} == {"a": "uninstall", "b": "not_installed"}

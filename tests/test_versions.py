@@ -142,3 +142,17 @@ def test_urls_and_keys(spark):
     assert got == ["https://x/hive/1.2.3", "https://x/hive/main"]
     key = texts(spark, ["https://x.y/z?q=1"]).select(cache_key(F.col("v"))).first()[0]
     assert key.startswith("https---x-y-z-q-1-") and len(key) == len("https---x-y-z-q-1-") + 64
+
+
+def test_feed_without_release_is_rejected(spark):
+    feed = spark.createDataFrame([(1, 0, "tool-1.0.0", True, False), (2, 0, "tool-2.0.0", False, False)],
+                                 "repo INT, pos INT, name STRING, draft BOOLEAN, prerelease BOOLEAN")
+    good, rejects = V.latest_release(feed, "tool-", ["repo"])
+    assert [(r.repo, r.latest) for r in good.collect()] == [(2, "2.0.0")]
+    assert [(r.repo, r.error) for r in rejects.collect()] == [(1, "FindLatestRelease")]
+
+
+def test_no_url_without_version(spark):
+    rows = spark.createDataFrame([("a", None), (None, "1.0.0"), ("a", "1.0.0")], "p STRING, v STRING")
+    urls = [r.u for r in rows.select(crd_url(F.col("p"), F.col("v"), "%s/%s").alias("u")).collect()]
+    assert urls == [None, None, "a/1.0.0"]
