@@ -183,25 +183,6 @@ def overlay_parameters(
     )
 
 
-def parameter_map(params: DataFrame, by: Sequence[str], limit: int = 10_000) -> DataFrame:
-    """Fold unique (name, value) rows into one map per group, as templates take them.
-
-    A map is one cell, so a group of more than ``limit`` parameters fails the job instead
-    of growing without bound.
-    """
-    sizes = params.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    checked = params.join(
-        sizes.filter(F.col("_n") > limit), list(by), "left"
-    ).filter(
-        F.when(F.col("_n").isNull(), F.lit(True)).otherwise(
-            F.raise_error(F.lit(f"more than {limit} parameters in one group")).cast("boolean")
-        )
-    )
-    return checked.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("params")
-    )
-
-
 def add_context(params: Column, namespace: Column, stack: Column, demo: Column | None = None):
     """Overlay the reserved names STACK, DEMO (only for demos) and NAMESPACE."""
     reserved = {"STACK": stack}

@@ -23,15 +23,18 @@ def enumerate_rows(
 ) -> DataFrame:
     """Add a 1-based number in ``order``, restarting for every group ``by``.
 
-    ``order`` must be total. The input is read twice, first to count the groups, so hand
-    in a table rather than a costly plan (see ``sizing.shared_table``). Groups that fit one task use a window. Otherwise the rows are
-    range-partitioned by (by, order), numbered within partitions, and shifted by the rows
-    that the same group has in earlier partitions, so no task holds a whole group.
+    ``order`` must be total. Without groups, or where a group does not fit one task, the rows
+    are range-partitioned by (by, order), numbered within partitions, and shifted by the rows
+    that the same group has in earlier partitions, so no task holds a whole group. Groups that
+    fit one task use a window; to find out, the input is read twice, so hand in a table
+    rather than a costly plan (see ``sizing.shared_table``).
     """
     by = list(by)
+    if not by:
+        return _number_by_ranges(df, order, by, name, 1)
     total, top = group_sizes(df, by)
     if top <= rows_per_task:
-        window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        window = Window.partitionBy(*by)
         return df.withColumn(name, F.row_number().over(window.orderBy(*order)).cast("long"))
     return _number_by_ranges(df, order, by, name, math.ceil(total / rows_per_task))
 
@@ -50,9 +53,18 @@ def _number_by_ranges(df, order, by, name, tasks):
     starts = placed.groupBy(*by, "_part").agg(
         F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    earlier = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(
-        "_part"
-    ).rowsBetween(Window.unboundedPreceding, -1)
+    if not by:
+        # One row for each partition: their starts are a few literals.
+        before, shifts = 0, []
+        for row in sorted(starts.collect(), key=lambda r: r["_part"]):
+            shifts += [F.lit(row["_part"]), F.lit(before - row["_first"] + 1).cast("long")]
+            before += row["_rows"]
+        if not shifts:
+            return df.withColumn(name, F.lit(None).cast("long"))
+        return placed.select(
+            *df.columns, (F.col("_at") + F.element_at(F.create_map(*shifts), F.col("_part"))).alias(name)
+        )
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(
         *by, "_part",
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),

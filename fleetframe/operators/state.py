@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import Split, split
+from ..functions.locations import crd_url
 from ..functions.maps import label, overlay_map, text_map
 from ..schemas import DEFAULT_CHART_VERSION, SCOPE
 from .catalog import overlay_last_wins
@@ -112,6 +113,24 @@ def upgrade_plan(
     )
 
 
+def definition_upgrades(
+    plan: DataFrame, template: str, keys: Sequence[str] = (*SCOPE, "release", "product", "version")
+) -> DataFrame:
+    """The step between uninstall and install: the definitions of every product to be installed.
+
+    ``plan`` comes from :func:`upgrade_plan`; the result adds a row with action
+    ``upgrade_definitions`` for each install, with the ``url`` of the product's definitions, in
+    the order of ``step`` (uninstall 0, upgrade_definitions 1, install 2).
+    """
+    installs = F.col("action") == "install"
+    steps = F.when(installs, F.array(F.lit("upgrade_definitions"), F.lit("install"))).otherwise(F.array("action"))
+    others = [c for c in plan.columns if c not in (*keys, "action")]
+    rows = plan.select(*keys, *others, F.explode(steps).alias("action"))
+    url = F.when(F.col("action") == "upgrade_definitions", crd_url(F.col("product"), F.col("version"), template))
+    step = F.when(F.col("action") == "uninstall", 0).when(F.col("action") == "install", 2).otherwise(1)
+    return rows.withColumns({"url": url, "step": step})
+
+
 def api_group(api_version: Column) -> Column:
     slash = F.instr(api_version, F.lit("/"))
     return F.when(slash == 0, "").otherwise(F.substr(api_version, F.lit(1), slash - 1))

@@ -31,6 +31,15 @@ def uninstall_plan(spark, sf):
     return S.uninstall_plan(view(spark, sf, "v_wanted"), view(spark, sf, "v_installed"), ON)
 
 
+CRDS = "https://example.com/%1$s-operator/%2$s/deploy/helm/%1$s-operator/crds/crds.yaml"
+
+
+def upgrade_steps(spark, sf):
+    """The guarded upgrade of every cluster with its definition step."""
+    plan = upgrade_plan(spark, sf).filter(F.col("variant") == "guarded").drop("variant")
+    return S.definition_upgrades(plan, CRDS, ("cluster", "release", "product", "version"))
+
+
 def upgrade_plan(spark, sf):
     requests = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("cluster"), F.col("c_mktsegment").alias("release"))
@@ -140,7 +149,7 @@ def group_suffix(spark, sf):
 
 QUERIES = {
     "installed": lambda s, d: installed(s, d), "install_plan": install_plan,
-    "uninstall_plan": uninstall_plan, "upgrade_plan": upgrade_plan, "state_diff": state_diff,
+    "uninstall_plan": uninstall_plan, "upgrade_plan": upgrade_plan, "upgrade_steps": upgrade_steps, "state_diff": state_diff,
     "crd_diff": crd_diff, "label_overlay": label_overlay, "teardown": teardown,
     "group_suffix": group_suffix,
 }
@@ -149,6 +158,22 @@ _OPS20 = "[" + ", ".join(f"'{n}'" for n in (*OPERATORS, "grafana", "loki", "othe
 _OPS = "[" + ", ".join(f"'{n}'" for n in OPERATORS) + "]"
 _HAVE = f"SELECT o_custkey AS cluster, {_OPS20}[o_orderkey % 20 + 1] AS product, o_orderkey FROM {{orders}}"
 
+_UPGRADE = f"""
+        WITH have AS (SELECT DISTINCT cluster, product FROM ({_HAVE})
+                      WHERE product NOT IN ('grafana', 'loki', 'other', 'zookeeper')),
+        ops AS (SELECT CAST(i AS INT) AS i, {_OPS}[i + 1] AS product FROM generate_series(0, {len(OPERATORS) - 1}) g(i)),
+        rows AS (
+          SELECT c_custkey AS cluster, c_mktsegment AS release, o.product,
+                 CAST(length(c_mktsegment) AS STRING) || '.' || CAST(o.i AS STRING) || '.0' AS version,
+                 h.product IS NOT NULL AS here,
+                 c_custkey NOT IN (SELECT cluster FROM have) AS bare
+          FROM {{customer}} CROSS JOIN ops o LEFT JOIN have h ON h.cluster = c_custkey AND h.product = o.product
+          WHERE o.product <> 'hive')
+        SELECT cluster, release, product, version, action, variant FROM rows,
+             (VALUES ('uninstall'), ('install')) a(action), (VALUES ('guarded'), ('open'), ('include')) v(variant)
+        WHERE here OR (action = 'install' AND variant = 'include' AND product = 'trino')
+           OR (bare AND (variant = 'open' OR variant = 'include' AND action = 'uninstall'))"""
+
 ORACLE = {
     "installed": f"""
         SELECT cluster, 'ns' || CAST(o_orderkey % 2 AS STRING) AS namespace, product || '-operator' AS name,
@@ -167,21 +192,14 @@ ORACLE = {
         SELECT w.*, i.version AS current_version,
                CASE WHEN i.version IS NULL THEN 'not_installed' ELSE 'uninstall' END AS action
         FROM {v_wanted} w LEFT JOIN {v_installed} i USING (cluster, namespace, release)""",
-    "upgrade_plan": f"""
-        WITH have AS (SELECT DISTINCT cluster, product FROM ({_HAVE})
-                      WHERE product NOT IN ('grafana', 'loki', 'other', 'zookeeper')),
-        ops AS (SELECT CAST(i AS INT) AS i, {_OPS}[i + 1] AS product FROM generate_series(0, {len(OPERATORS) - 1}) g(i)),
-        rows AS (
-          SELECT c_custkey AS cluster, c_mktsegment AS release, o.product,
-                 CAST(length(c_mktsegment) AS STRING) || '.' || CAST(o.i AS STRING) || '.0' AS version,
-                 h.product IS NOT NULL AS here,
-                 c_custkey NOT IN (SELECT cluster FROM have) AS bare
-          FROM {{customer}} CROSS JOIN ops o LEFT JOIN have h ON h.cluster = c_custkey AND h.product = o.product
-          WHERE o.product <> 'hive')
-        SELECT cluster, release, product, version, action, variant FROM rows,
-             (VALUES ('uninstall'), ('install')) a(action), (VALUES ('guarded'), ('open'), ('include')) v(variant)
-        WHERE here OR (action = 'install' AND variant = 'include' AND product = 'trino')
-           OR (bare AND (variant = 'open' OR variant = 'include' AND action = 'uninstall'))""",
+    "upgrade_plan": _UPGRADE,
+    "upgrade_steps": f"""
+        SELECT cluster, release, product, version, s.action, CAST(s.step AS INT) AS step,
+               CASE WHEN s.step = 1 THEN 'https://example.com/' || product || '-operator/' || version
+                 || '/deploy/helm/' || product || '-operator/crds/crds.yaml' END AS url
+        FROM ({_UPGRADE}) p JOIN (VALUES ('uninstall', 'uninstall', 0), ('install', 'upgrade_definitions', 1),
+             ('install', 'install', 2)) s(of_action, action, step) ON p.action = s.of_action
+        WHERE variant = 'guarded'""",
     "state_diff": f"""
         WITH d AS (SELECT *, CASE c_custkey % 4 WHEN 1 THEN 'apps' WHEN 2 THEN 'rbac.example.com'
                                   WHEN 0 THEN '' END AS grp,

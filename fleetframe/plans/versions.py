@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import channels, locations, specs
 from ..operators import versions as V
 from ..operators.ordering import enumerate_rows
+from ..schemas import CHANNELS
 from ..sizing import shared_table
 from .views import table, view
 
@@ -80,17 +81,32 @@ def latest_outdated(spark, sf):
         latest.rejects.select("repo", F.col("error").alias("state")), allowMissingColumns=True)
 
 
-def index_explode(spark, sf):
+def _chart_indexes(spark, sf):
+    """One chart index for each customer."""
     rows = table(spark, sf, "customer")
     key = F.col("c_custkey")
     entry = lambda chart, i: F.struct(
         chart.alias("name"), F.concat(F.lit(f"{i}."), (key % 7).cast("string"), F.lit(".0")).alias("version"))
     chart_a, chart_b = F.lit("a-operator"), F.concat(F.lower("c_mktsegment"), F.lit("-operator"))
-    meta = rows.select(
+    return rows.select(
         key.alias("repo"),
         F.create_map(chart_a, F.array(entry(chart_a, 1), entry(chart_a, 2)),
                      chart_b, F.array(entry(chart_b, 3))).alias("entries"))
-    return V.explode_index(meta)
+
+
+def index_explode(spark, sf):
+    return V.explode_index(_chart_indexes(spark, sf))
+
+
+def chart_matrix(spark, sf):
+    """The operator list from chart repositories, of which each serves one channel."""
+    rows = V.explode_index(_chart_indexes(spark, sf))
+    channel = F.get(F.array(*[F.lit(c) for c in CHANNELS]), (F.col("repo") % 3).cast("int"))
+    found = V.version_index(rows, channel=channel).good
+    names = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("operator")).union(
+        spark.sql("SELECT * FROM VALUES ('a'), ('none') AS t(operator)")).distinct()
+    return V.version_matrix(names, found).select(
+        "operator", "channel", "version", F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"))
 
 
 def crd_url(spark, sf):
@@ -127,10 +143,17 @@ def spec_validate(spark, sf):
 QUERIES = {
     "version_matrix": version_matrix, "version_report": version_report,
     "artifact_versions": artifact_versions, "channel_compare": channel_compare,
-    "latest_outdated": latest_outdated, "index_explode": index_explode, "crd_url": crd_url,
+    "latest_outdated": latest_outdated, "index_explode": index_explode, "chart_matrix": chart_matrix, "crd_url": crd_url,
     "location_kind": location_kind, "cache_key": cache_key, "spec_validate": spec_validate,
 }
 
+_INDEX_ROWS = """
+        SELECT c_custkey AS repo, chart, CAST(pos AS INT) AS pos, chart AS name,
+               CAST(major AS STRING) || '.' || CAST(c_custkey % 7 AS STRING) || '.0' AS version
+        FROM (SELECT c_custkey, 'a-operator' AS chart, 0 AS pos, 1 AS major FROM {customer}
+              UNION ALL SELECT c_custkey, 'a-operator', 1, 2 FROM {customer}
+              UNION ALL SELECT c_custkey, lower(c_mktsegment) || '-operator', 0, 3 FROM {customer})"""
+
 ORACLE = {
     "version_matrix": f"""
         SELECT operator, channel, version, CAST(coalesce(copies, 0) AS BIGINT) AS copies,
@@ -181,12 +204,13 @@ ORACLE = {
                     THEN 'out-of-date' ELSE 'up-to-date' END AS state
         FROM {v_tool} JOIN latest USING (repo)
         UNION ALL SELECT NULL, repo, NULL, NULL, 'FindLatestRelease' FROM feeds ANTI JOIN latest USING (repo)""",
-    "index_explode": """
-        SELECT c_custkey AS repo, chart, CAST(pos AS INT) AS pos, chart AS name,
-               CAST(major AS STRING) || '.' || CAST(c_custkey % 7 AS STRING) || '.0' AS version
-        FROM (SELECT c_custkey, 'a-operator' AS chart, 0 AS pos, 1 AS major FROM {customer}
-              UNION ALL SELECT c_custkey, 'a-operator', 1, 2 FROM {customer}
-              UNION ALL SELECT c_custkey, lower(c_mktsegment) || '-operator', 0, 3 FROM {customer})""",
+    "index_explode": _INDEX_ROWS,
+    "chart_matrix": f"""
+        SELECT o.operator, c.channel, i.version, CAST(coalesce(i.copies, 0) AS BIGINT) AS copies
+        FROM (SELECT DISTINCT lower(c_mktsegment) AS operator FROM {{customer}} UNION SELECT 'a' UNION SELECT 'none') o
+        CROSS JOIN (VALUES ('stable'), ('test'), ('dev')) c(channel)
+        LEFT JOIN (SELECT [{', '.join(repr(c) for c in CHANNELS)}][repo % 3 + 1] AS channel, chart, version, count(*) AS copies
+                   FROM ({_INDEX_ROWS}) GROUP BY ALL) i ON i.channel = c.channel AND i.chart = o.operator || '-operator'""",
     "crd_url": """
         SELECT id, 'https://example.com/' || lower(product) || '-operator/'
                || CASE WHEN version LIKE '%-dev' THEN 'main' ELSE version END

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampNTZType
 
 ROWS_PER_TASK = 4_000_000
-BINS_PER_CHUNK = 256
+STEPS_PER_CHUNK = 4
+MIN_STEPS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,11 +64,11 @@ def micros(df: DataFrame, name: str) -> Column:
 
 
 def hot_keys(df: DataFrame, by: list[str], t: str, rows_per_task: int) -> DataFrame | None:
-    """Keys of more than ``rows_per_task`` timed rows with count and range; None if none."""
-    stats = df.groupBy(*by).agg(
-        F.count(t).alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi")
-    ).filter(F.col("_n") > rows_per_task)
-    return None if stats.isEmpty() else shared_table(stats)
+    """Keys of more than ``rows_per_task`` timed rows with their count; None if there are none."""
+    stats = shared_table(
+        df.groupBy(*by).agg(F.count(t).alias("_n")).filter(F.col("_n") > rows_per_task)
+    )
+    return None if stats.isEmpty() else stats
 
 
 def time_chunks(
@@ -76,32 +77,27 @@ def time_chunks(
 ) -> DataFrame:
     """Add a chunk number that cuts ``hot`` keys along the long column ``t``.
 
-    Other keys keep chunk 0; rows without a time get chunk -1. A hot key's time line is
-    counted in fine bins, and bins are packed into chunks by their running row count, so
-    only a burst of more than ``BINS_PER_CHUNK`` times the key's mean rate makes a chunk
-    large. Equal times always share a chunk.
+    Other keys keep chunk 0; rows without a time get chunk -1. A hot key is cut at quantiles of
+    its own times, so a far outlier or a burst makes no chunk large. Equal times always share
+    a chunk.
     """
     untimed = F.when(F.col(t).isNull(), F.lit(-1))
     if hot is None:
         return df.withColumn(name, F.coalesce(untimed, F.lit(0)))
-    bins = F.ceil(F.col("_n") / rows_per_task) * BINS_PER_CHUNK
-    ranges = hot.select(
-        *by, "_lo",
-        F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / bins)).cast("long")
-        .alias("_width"),
-    )
-    binned = join_null_safe(df, ranges, by, "left").withColumn(
-        "_bin", F.floor((F.col(t) - F.col("_lo")) / F.col("_width"))
-    )
-    counts = binned.filter(F.col("_bin").isNotNull()).groupBy(*by, "_bin").agg(
-        F.count(t).alias("_rows")
+    top = hot.agg(F.max("_n")).first()[0]
+    steps = max(MIN_STEPS, STEPS_PER_CHUNK * -(-top // rows_per_task))
+    quantiles = join_null_safe(df.select(*by, t), hot, by, "left_semi").groupBy(*by).agg(
+        F.percentile_approx(t, [i / steps for i in range(1, steps)], 20 * steps).alias("_q")
     )
-    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    packed = shared_table(counts.select(
-        *by, "_bin",
-        F.floor(F.coalesce(F.sum("_rows").over(before), F.lit(0)) / rows_per_task).cast("int")
-        .alias("_packed"),
-    ))
-    return join_null_safe(binned, packed, [*by, "_bin"], "left").select(
-        *df.columns, F.coalesce(untimed, F.col("_packed"), F.lit(0)).alias(name)
+    # Every key takes as many of the quantiles as it has chunks.
+    chunks = F.ceil(F.col("_n") / rows_per_task).cast("int")
+    cuts = shared_table(join_null_safe(hot, quantiles, by, "inner").select(*by, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), chunks - 1),
+        lambda i: F.get("_q", F.greatest(F.lit(0), F.floor(i * steps / chunks).cast("int") - 1)),
+    )).alias("_cuts")))
+    placed = join_null_safe(df, cuts, by, "left")
+    chunk = F.size(F.filter("_cuts", lambda c: c < F.col(t)))
+    return placed.select(
+        *df.columns,
+        F.coalesce(untimed, F.when(F.col("_cuts").isNotNull(), chunk), F.lit(0)).cast("int").alias(name),
     )

@@ -25,9 +25,15 @@ def read_artifact_pages(spark: SparkSession, path: str, on_error: str = "quarant
     name = F.regexp_replace(
         F.substring_index(F.concat(F.lit("/"), file), "/" + root + "/", -1) if root else file, _PAGE_FILE, "")
     pages = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
-        name.alias("repository"), F.regexp_extract(file, _PAGE_FILE, 1).try_cast("int").alias("page"),
-        F.from_json("value", ARTIFACT_PAGE).alias("artifacts"),
-    ).withColumn("error", F.when(F.col("artifacts").isNull(), "ParseArtifacts"))
+        name.alias("repository"), F.regexp_extract(file, _PAGE_FILE, 1).try_cast("int").alias("page"), "value",
+    )
+    return parse_artifact_pages(pages, on_error)
+
+
+def parse_artifact_pages(pages: DataFrame, on_error: str = "quarantine") -> Split:
+    """Pages (repository, page, JSON ``value``) as one row per artifact; see above."""
+    pages = pages.select("repository", "page", F.from_json("value", ARTIFACT_PAGE).alias("artifacts")).withColumn(
+        "error", F.when(F.col("artifacts").isNull(), "ParseArtifacts"))
     good, rejects = split(pages, "error", on_error)
     return Split(
         good.select("repository", "page", F.posexplode_outer("artifacts").alias("pos", "a"))

@@ -131,10 +131,6 @@ def test_parameter_overlay(spark):
     assert [(r.request, r.parameter, r.expected) for r in bad] == [("q", "param2", "param1")]
     with pytest.raises(Exception, match="InvalidParameter"):
         C.overlay_parameters(defaults, given, on_error="fail").good.collect()
-    maps = {r.request: r.params for r in C.parameter_map(good, ["request"]).collect()}
-    assert maps["r"] == {"a": "8", "b": "2"}
-    with pytest.raises(Exception, match="more than 1"):
-        C.parameter_map(good, ["request"], limit=1).collect()
 
 
 def test_overlay_with_random_order(spark):

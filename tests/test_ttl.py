@@ -80,11 +80,6 @@ def test_replay_of_dense_keys(spark, span, spread, gaps):
     assert passed == {i: s != "Hit" for i, s in brute(rows, span, strict=False).items()}
 
 
-def test_dense_keys_are_found(spark):
-    hot = spark.createDataFrame([("d", 1000, 0, 5000), ("s", 1000, 0, 5000000)], "key STRING, _n LONG, _lo LONG, _hi LONG")
-    assert [r.key for r in T._dense_keys(hot, 1000, 100).collect()] == ["d"]
-
-
 def test_hot_key_is_split(spark):
     from fleetframe.sizing import hot_keys, time_chunks
 
@@ -96,6 +91,27 @@ def test_hot_key_is_split(spark):
     assert max(sizes.values()) <= 320 and chunked.count() == df.count()
 
 
+@pytest.mark.parametrize("limit", [500, 1000])
+def test_an_outlier_does_not_undo_the_split(spark, limit):
+    from fleetframe.sizing import hot_keys, time_chunks
+
+    rows = [("k", 0)] + [("k", 10**8 + i) for i in range(20000)]
+    df = log_frame(spark, rows).withColumn("_t", F.unix_micros("ts"))
+    chunked = time_chunks(df, ["key"], "_t", limit, hot_keys(df, ["key"], "_t", limit))
+    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 20001 and max(sizes) <= 1.5 * limit
+
+
+def test_one_instant_is_one_chunk(spark):
+    from fleetframe.sizing import hot_keys, time_chunks
+
+    df = log_frame(spark, [("k", 5)] * 3000).withColumn("_t", F.unix_micros("ts"))
+    chunked = time_chunks(df, ["key"], "_t", 100, hot_keys(df, ["key"], "_t", 100))
+    assert chunked.select("_chunk").distinct().count() == 1
+    got = [r.status for r in T.ttl_replay(df.drop("_t"), ["key"], "ts", 10, ["id"], 100).collect()]
+    assert sorted(got) == ["Hit"] * 2999 + ["Miss"]
+
+
 def test_null_times(spark):
     df = spark.createDataFrame([("k", None, 0), ("k", at(5), 1), ("k", at(6), 2)], "key STRING, ts TIMESTAMP, id LONG")
     got = T.ttl_replay(df, ["key"], "ts", 60, ["id"]).orderBy("id").collect()
