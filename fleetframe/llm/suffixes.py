@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sizing import shared_table
 from . import textarrays as ta
-from .substrings import ddl, exchanged, gathered, groups, hit_table, joined_ids, keyed, longs, per_document
+from .exchange import ddl, exchanged, gathered, groups, hit_table, joined_ids, keyed, longs, per_document, seen_keys, touched
 
 LENGTH = 100
 ANCHOR = 32
@@ -40,7 +41,8 @@ ANCHORS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.bin
 CONTEXTS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("anchor", pa.binary()),
                       ("row", pa.binary()), ("first", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
 RUN = np.dtype([("first", "<u4"), ("count", "<u4")])
-REFINE_BYTES = 16 << 20
+REFINE_BYTES = 1 << 20
+CHUNK = 1 << 20
 REFINE = 1 << 31
 """Set in ``count`` of a hit that asks for the bytes of its context."""
 
@@ -84,7 +86,8 @@ def anchors(chunk: ta.Chunk) -> tuple[np.ndarray, ...] | None:
         whole[place] * np.uint64(0xA24BAED4963EE407) + whole[place + count - 1] * np.uint64(0x9FB21C651E98DF25)
         + (count * 256 + (at - place)).astype(np.uint64)
     )
-    return short[at], context, text[first], place - chunk.offsets[text[first]], count
+    # The smallest names are small numbers: spread them again before they choose a hash range.
+    return ta.mix(short[at] + np.uint64(0x2545F4914F6CDD1D)), context, text[first], place - chunk.offsets[text[first]], count
 
 
 def runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -96,7 +99,7 @@ def runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def anchor_rows(batch: pa.RecordBatch, parts: int):
     """First occurrence in the batch of each context; later ones are decided here."""
     keys, ids, found = longs(batch, "key"), longs(batch, "ord"), []
-    for chunk in ta.chunks(batch.column("text")):
+    for chunk in ta.chunks(batch.column("text"), CHUNK):
         if (got := anchors(chunk)) is not None:
             found.append((got[0], got[1], (chunk.first + got[2]).astype(np.uint32), got[3].astype(np.uint32), got[4].astype(np.uint8)))
     if not found:
@@ -107,7 +110,8 @@ def anchor_rows(batch: pa.RecordBatch, parts: int):
     later = behind_first(ids[row], keys[row], first, context)
     for key, packed in per_document(row[later], runs(first[later], count[later]), keys):
         yield {"part": parts + key % parts, "keys": np.int64(key).tobytes(), "context": packed}
-    lead = ~later
+    lead = np.flatnonzero(~later)
+    lead = lead[np.argsort(row[lead], kind="stable")]
     yield from ta.pieces(
         ta.part_of(anchor[lead], parts),
         {"anchor": anchor[lead].astype(np.uint32), "context": context[lead], "row": row[lead], "first": first[lead], "count": count[lead]},
@@ -152,7 +156,7 @@ def context_rows(batch: pa.RecordBatch, parts: int):
     """Bytes of the contexts that resolve_anchors asked for."""
     keys, ids = longs(batch, "key"), longs(batch, "ord")
     asked = batch.column("hits")
-    for chunk in ta.chunks(batch.column("text")):
+    for chunk in ta.chunks(batch.column("text"), CHUNK):
         got = anchors(chunk)
         if got is None:
             continue
@@ -259,17 +263,13 @@ def removed_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             yield from ta.batches_of(context_rows(batch, parts), CONTEXTS)
 
-    met = exchanged(texts.mapInArrow(send_anchors, ddl(ANCHORS)), resolve_anchors, parts)
-    near = texts.join(gathered(met), "key")
-    met_parts = exchanged(near.mapInArrow(send_contexts, ddl(CONTEXTS)), resolve_contexts, parts)
-    return met, met_parts
+    met = shared_table(exchanged(texts.mapInArrow(send_anchors, ddl(ANCHORS)), resolve_anchors, parts))
+    near = touched(texts, seen_keys(met)).join(gathered(met), "key")
+    return met, shared_table(exchanged(near.mapInArrow(send_contexts, ddl(CONTEXTS)), resolve_contexts, parts))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """Every document with its removed bytes: counts, maximal removed spans, remaining bytes."""
-    met, refined_hits = removed_bytes(docs)
-    hits = gathered(met.unionByName(refined_hits))
-
     def apply(batches):
         for batch in batches:
             docs_, sizes, removed, spans, kept = [], [], [], [], []
@@ -294,10 +294,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()),
             ], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    joined = keyed(docs).join(hits, "key", "left").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "hits"
-    )
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    met, parts = removed_bytes(docs)
+    found = met.unionByName(parts)
+    texts = keyed(docs).select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    seen = seen_keys(found)
+    joined = touched(texts, seen).join(gathered(found), "key", "left").select("doc_id", "text", "hits")
+    rest = touched(texts, seen, False).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("hits"))
+    done = "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary"
+    return joined.mapInArrow(apply, done).unionByName(rest.mapInArrow(apply, done))
 
 
 def op9_bucket_pointer_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
