@@ -150,8 +150,9 @@ def param_lists(spark, sf):
 
 
 def param_overlay(spark, sf):
-    parsed = specs.parse_parameters(view(spark, sf, "v_text_param"), "text").good
-    given = parsed.select("request", "name", "value", F.col("event_id").alias("pos"))
+    parsed = specs.parse_parameters(view(spark, sf, "v_text_param"), "text").rows
+    unread = parsed.filter(F.col("error").isNotNull()).select("request", F.col("error").alias("state"))
+    given = parsed.filter(F.col("error").isNull()).select("request", "name", "value", F.col("event_id").alias("pos"))
     defaults = table(spark, sf, "events").select(F.col("user_id").alias("request")).distinct().select(
         "request", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).select(
         "request", F.concat(F.lit("k"), F.col("pos").cast("string")).alias("name"),
@@ -159,7 +160,7 @@ def param_overlay(spark, sf):
     good, rejects = C.overlay_parameters(defaults, given)
     return good.select("request", "name", "value", F.lit("ok").alias("state")).unionByName(
         rejects.select("request", F.col("parameter").alias("name"), F.col("expected").alias("value"),
-                       F.col("error").alias("state")))
+                       F.col("error").alias("state"))).unionByName(unread, allowMissingColumns=True)
 
 
 def context_overlay(spark, sf):
@@ -319,7 +320,9 @@ ORACLE = {
         SELECT d.request, d.name, coalesce(l.value, d.value) AS value, 'ok' AS state
         FROM defaults d LEFT JOIN last l ON d.request = l.request AND d.name = l.name
         WHERE d.request NOT IN (SELECT request FROM bad)
-        UNION ALL SELECT request, name, 'k0, k1, k2, k3', 'InvalidParameter' FROM bad""",
+        UNION ALL SELECT request, name, 'k0, k1, k2, k3', 'InvalidParameter' FROM bad
+        UNION ALL SELECT request, NULL, NULL, CASE event_id % 9 WHEN 0 THEN 'EmptyInput' WHEN 2 THEN 'EmptyValue'
+          WHEN 3 THEN 'EmptyName' ELSE 'InvalidEqualSignCount' END FROM {v_text_param} WHERE event_id % 9 <= 4""",
     "context_overlay": """
         SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS k, event_type AS stack,
                CASE WHEN event_id % 2 = 0 THEN 'demo-' || CAST(user_id AS STRING) END AS demo,

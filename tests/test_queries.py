@@ -39,5 +39,17 @@ def test_plan(spark, sf_dir, name):
     assert bool(re.search("Python|InArrow|InPandas", plan)) == (name in SCANS)
 
 
+@pytest.mark.parametrize("name", [
+    "namespace_ok", "lookup", "param_parse", "param_lists", "spec_validate", "state_diff", "node_ips", "ttl_status",
+    "render", "render_parse", "install_plan", "include_exclude", "expired_entries", "label_overlay",
+])
+def test_one_pass(spark, sf_dir, name):
+    """Rejects and variants come with the rows: every table is read once, every document parsed once."""
+    plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"\[file:[^\]]*/(\w+)\.parquet\]", plan)
+    assert scans and len(scans) == len(set(scans))
+    assert plan.count("InArrow") == (name == "render_parse")
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
