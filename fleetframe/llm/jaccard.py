@@ -4,8 +4,8 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|. A set of n shingles that
 at least ceil(3n/4) of them, so in any common order the first n - ceil(3n/4) + 1 + m
 shingles (an extended prefix) of two linked sets share at least m + 1.
 
-1. Sets are collapsed to one representative of equal sets. In hash order, a set none of
-   whose prefix shingles occurs in another prefix links with nothing and is done.
+1. Sets are collapsed to one representative of equal sets. In hash order, a set links with
+   nothing and is done if too few shingles of its extended prefix occur in other prefixes.
 2. A sketch of fixed size estimates how frequent each shingle is; the rest is ordered rare
    first. Rare shingles of the extended prefix are indexed alone. Frequent ones fall into m
    classes, and the 2-combinations within a class are indexed: m + 1 shared frequent
@@ -38,14 +38,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sizing import shared_table
 from . import textarrays as ta
-from .exchange import SKETCH_BITS, ddl, groups, joined_ids, keyed, longs, sketch_of
+from .exchange import SKETCH_BITS, ddl, groups, joined_ids, keyed, longs, seen_keys, sketch_of, touched
 
 SHINGLE = 5
-RARE = 16
+RARE = 256
+"""A shingle that fewer sets hold is indexed alone, whatever the corpus."""
 BUCKET_ROWS = 4096
 FAMILY_ROWS = 2000
-SETS = "doc_id long, ord long, key long, n_shingles long, sig long, prefix binary"
-PREFIX_ROWS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("hash", pa.binary()), ("row", pa.binary())])
+PREFIXES = pa.schema([("doc_id", pa.int64()), ("ord", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()),
+                      ("part", pa.int32()), ("keys", pa.binary()), ("hash", pa.binary()), ("row", pa.binary())])
 BUCKETS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("size", pa.binary()), ("width", pa.binary()),
                      ("hist", pa.binary()), ("hash", pa.binary()), ("row", pa.binary())])
 
@@ -78,71 +79,91 @@ def signature(values: np.ndarray) -> int:
     return int(ta.mix(total).astype(np.int64)[0])
 
 
-def prefix_table(docs: DataFrame) -> DataFrame:
-    """Size, signature and hash-order prefix of each document's set."""
+def extension(n):
+    """Shingles that extend the hash-order prefix of a set of ``n``."""
+    return n // 8
+
+
+def prefix_table(docs: DataFrame, parts: int) -> DataFrame:
+    """One row for each document (``part`` is null): size and signature of its set. Beside them the
+    extended hash-order prefixes of each batch, packed by hash range; a shingle that several sets
+    of a batch share goes out once, and what the batch knows is counted here (``hash`` is null)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in ta.slices(whole, "text")):
             sizes, sigs, prefixes = [], [], []
             for values in shingle_sets(batch.column("text")):
                 n = len(values)
                 sizes.append(n)
                 sigs.append(signature(values) if n else None)
-                prefixes.append(values[:n - overlap_needed(n) + 1].tobytes() if n else b"")
+                prefixes.append(values[:n - overlap_needed(n) + 1 + extension(n)].copy())
+            n = len(sizes)
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(c) for c in ("doc_id", "ord", "key")), pa.array(sizes, pa.int64()),
-                pa.array(sigs, pa.int64()), pa.array(prefixes, pa.binary()),
-            ], ["doc_id", "ord", "key", "n_shingles", "sig", "prefix"])
+                *(batch.column(c) for c in ("doc_id", "ord", "key")), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()),
+                *(pa.nulls(n, f.type) for f in list(PREFIXES)[5:]),
+            ], schema=PREFIXES)
+            lengths = np.array([len(p) for p in prefixes], np.int64)
+            if not lengths.sum():
+                continue
+            own = np.array([0 if v is None else v for v in sigs], np.int64)
+            rows = np.repeat(np.arange(n, dtype=np.uint32), lengths)
+            for out in ta.batches_of(packed(np.concatenate(prefixes), rows, own), PREFIXES):
+                yield out
+
+    def packed(hashes, rows, sigs):
+        order = np.argsort(hashes)
+        hashes, rows = hashes[order], rows[order]
+        starts, many = several(hashes, sigs[rows])
+        local = np.repeat(many, np.diff(np.append(starts, len(hashes))))
+        shared = np.bincount(rows[local], minlength=len(sigs))
+        known = np.flatnonzero(shared)
+        yield {"part": -1, "keys": sigs[known].tobytes(), "row": shared[known].astype(np.uint32).tobytes()}
+        one, first = hashes[starts], rows[starts]
+        order = np.argsort(first, kind="stable")
+        yield from ta.pieces(
+            ta.part_of(one[order], parts), {"hash": one[order].astype(np.uint32), "row": first[order]}, {"keys": sigs.tobytes()},
+        )
 
     lean = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "ord", "key", "text")
-    return shared_table(lean.mapInArrow(run, SETS))
+    return shared_table(lean.mapInArrow(run, ddl(PREFIXES)))
 
 
-def shared_prefixes(table: DataFrame, parts: int) -> DataFrame:
-    """Signatures of the sets one of whose prefix shingles is in the prefix of another set."""
+def several(hashes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal (sorted) hashes, and which of them hold more than one signature."""
+    starts = groups(hashes)
+    return starts, np.minimum.reduceat(sigs, starts) != np.maximum.reduceat(sigs, starts)
 
-    def several(hashes, sigs):
-        """Groups of equal hashes, and which of them hold more than one signature."""
-        starts = groups(hashes) if len(hashes) else np.zeros(0, np.int64)
-        if not len(starts):
-            return starts, np.zeros(0, bool)
-        return starts, np.minimum.reduceat(sigs, starts) != np.maximum.reduceat(sigs, starts)
 
-    def send(batches):
-        for batch in batches:
-            sigs = longs(batch, "sig")
-            hashes, sizes = ta.unpack(batch.column("prefix"), "<u8")
-            rows = np.repeat(np.arange(len(sigs), dtype=np.uint32), sizes)
-            order = np.argsort(hashes)
-            hashes, rows = hashes[order], rows[order]
-            starts, many = several(hashes, sigs[rows])
-            local = np.repeat(many, np.diff(np.append(starts, len(hashes))))
-            # Known within the batch: straight on, in ranges of their own. One entry for each hash goes out.
-            decided = np.unique(sigs[rows[local]])
-            for part in range(min(len(decided), 16)):
-                yield {"part": parts + part, "keys": decided[part::16].tobytes(), "hash": b"", "row": b""}
-            one = hashes[starts]
-            yield from ta.pieces(
-                ta.part_of(one, parts), {"hash": one, "row": rows[starts]}, {"keys": sigs.tobytes()},
-            )
+def candidate_sets(table: DataFrame, parts: int) -> DataFrame:
+    """Signatures of the sets that may link with another.
+
+    Of the extended prefixes of two linked sets, the smaller of which has at least ceil(3n/4)
+    shingles, as many are common as the smaller prefix is extended by, and one more. A set with
+    fewer prefix shingles that any other prefix holds has no link.
+    """
 
     def resolve(key, data):
-        if key[0].as_py() >= parts:
-            return pa.table({"sig": joined_ids(data, "keys")[0]})
         sigs, base = joined_ids(data, "keys")
-        hashes, sizes = ta.unpack(data.column("hash"), "<u8")
-        mine = sigs[ta.unpack(data.column("row"), "<u4")[0] + np.repeat(base, sizes)]
+        if key[0].as_py() < 0:
+            return pa.table({"sig": sigs, "shared": ta.unpack(data.column("row"), "<u4")[0].astype(np.int64)})
+        hashes, sizes = ta.unpack(data.column("hash"), "<u4")
+        rows = ta.unpack(data.column("row"), "<u4")[0] + np.repeat(base.astype(np.uint32), sizes)
         order = np.argsort(hashes)
-        hashes, mine = hashes[order], mine[order]
-        starts, many = several(hashes, mine)
-        return pa.table({"sig": np.unique(mine[np.repeat(many, np.diff(np.append(starts, len(hashes))))])})
-
-    def packed(batches):
-        for batch in batches:
-            yield from ta.batches_of(send([batch]), PREFIX_ROWS)
-
-    sent = table.filter("sig is not null").select("sig", "prefix").mapInArrow(packed, ddl(PREFIX_ROWS))
-    return sent.groupBy("part").applyInArrow(resolve, "sig long").distinct()
+        same = np.diff(hashes[order]) == 0
+        # A batch sends a shingle once, so a second entry is another batch's.
+        again = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        shared = np.bincount(rows[order[again]], minlength=len(sigs))
+        found = np.flatnonzero(shared)
+        return pa.table({"sig": sigs[found], "shared": shared[found]})
+
+    sent = table.filter("part is not null").select(
+        F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("keys"), F.lit(parts)).cast("int")).otherwise(F.col("part")).alias("part"),
+        "keys", "hash", "row",
+    )
+    counts = sent.groupBy("part").applyInArrow(resolve, "sig long, shared long").groupBy("sig").agg(F.sum("shared").alias("shared"))
+    sizes = table.filter("sig is not null").groupBy("sig").agg(F.first("n_shingles").alias("n"))
+    least = F.expr("floor(floor((3 * n + 3) / 4) / 8) + 1")
+    return counts.join(sizes, "sig").filter(F.col("shared") >= least).select("sig")
 
 
 def band(n: int) -> int:
@@ -383,26 +404,28 @@ def verified_edges(sets: DataFrame, family: DataFrame) -> DataFrame:
         at = np.array(families(np.arange(len(sigs)), test), np.int64).reshape(-1, 2)
         return pa.table({"a": sigs[at[:, 0]], "b": sigs[at[:, 1]]})
 
-    return sets.join(placed, "sig").groupBy("root", "low", "high").applyInArrow(verify, "a long, b long")
+    return sets.join(placed.hint("merge"), "sig").groupBy("root", "low", "high").applyInArrow(verify, "a long, b long")
 
 
 def link(docs: DataFrame) -> DataFrame:
     """Every document with ``n_shingles``, its component and ``root``, which differs between components
     even where different texts carry one id; null for documents without shingles."""
-    table = prefix_table(docs)
-    parts = ta.range_count(table, "prefix")
+    parts = ta.range_count(docs)
+    table = prefix_table(docs, parts)
+    rows = table.filter("part is null").select("doc_id", "ord", "key", "n_shingles", "sig")
     # The representative of equal sets is the text with the smallest id.
-    members = table.filter("sig is not null").groupBy("sig").agg(F.min(F.struct("ord", "key")).alias("_m")).select(
+    members = rows.filter("sig is not null").groupBy("sig").agg(F.min(F.struct("ord", "key")).alias("_m")).select(
         "sig", F.col("_m.ord").alias("least"), F.col("_m.key").alias("key")
     )
-    alive = members.join(shared_prefixes(table, parts), "sig").select("sig", "key")
+    alive = shared_table(members.join(candidate_sets(table, parts), "sig").select("sig", "key"))
 
     def sets_of(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in ta.slices(whole, "text")):
             cells = [v.tobytes() for v in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(cells, pa.binary())], ["sig", "set"])
 
-    texts = keyed(docs).select("key", "text").join(alive, "key").select("sig", "text")
+    # Neither side is bounded, so neither is ever broadcast: the plan is one at every size.
+    texts = touched(keyed(docs).select("key", "text"), seen_keys(alive)).join(alive.hint("merge"), "key").select("sig", "text")
     sets = shared_table(texts.mapInArrow(sets_of, "sig long, set binary"))
     family = components(candidate_edges(sets, ta.range_count(sets, "set")))
     found = components(verified_edges(sets, family))
@@ -412,7 +435,7 @@ def link(docs: DataFrame) -> DataFrame:
     )
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
     known = labelled.join(least, "root").select("sig", "root", "component")
-    out = table.drop("prefix").join(known, "sig", "left")
+    out = rows.join(known, "sig", "left")
     component = F.coalesce("component", "ord")
     return out.select(
         "doc_id", "key", "ord", "n_shingles", "root",
