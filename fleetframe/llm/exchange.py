@@ -77,7 +77,9 @@ def exchanged(sent: DataFrame, resolve, parts: int) -> DataFrame:
     """Packed rows to one task for each hash range, and what it finds for each document."""
 
     def run(key, table):
-        return resolve(key[0].as_py(), table, parts)
+        out = resolve(key[0].as_py(), table, parts)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return sent.groupBy("part").applyInArrow(run, HIT)
 

@@ -8,7 +8,7 @@ thirteen words that hold it are compared exactly (by 96-bit hashes), and runs th
 join to maximal repeats. A run is kept in the document with the smallest id.
 
 Hashes move in packed arrays by hash range, never one row each. Before they move, each batch
-is reduced: of a hash that several of its documents share only one entry goes out, and what
+of about 4 MB of text is reduced: of a hash that several of its documents share only one entry goes out, and what
 the batch can decide by itself goes straight back to its documents. So a passage in a third
 of all documents makes one entry for each batch, not for each document. Texts are joined
 with their hits by a key of their own, which is never hot.
@@ -26,63 +26,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sizing import shared_table
 from . import textarrays as ta
+from .exchange import (
+    ddl, direct_rows, exchanged, gathered, groups, hit_table, joined_ids, keyed, longs, per_document, seen_keys, touched,
+)
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 CHECK_SEED = 0x9FB21C651E98DF25
-HIT = "key long, hits binary"
-ARROW_HIT = pa.schema([("key", pa.int64()), ("hits", pa.binary())])
-PROBES = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("hash", pa.binary()),
-                    ("row", pa.binary()), ("flag", pa.binary())])
+PROBES = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("hash", pa.binary()), ("row", pa.binary())])
 RUNS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("hash", pa.binary()),
                   ("check", pa.binary()), ("row", pa.binary()), ("place", pa.binary())])
 
 
-def ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
-    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
-
-
 def codes(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Hash range and lower half of the hash: what the first exchange compares."""
-    return (ta.part_of(hashes, parts).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """Key of each different (id, text), order of the ids, text."""
-    return docs.select(
-        ta.text_key("doc_id", "text").alias("key"), ta.order_id("doc_id").alias("ord"), F.col("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
-
-
-def groups(*columns: np.ndarray) -> np.ndarray:
-    """Where a new group begins in columns sorted together."""
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
-
-
-def per_document(rows: np.ndarray, values: np.ndarray, keys: np.ndarray):
-    """(key, packed values) of each document among ``rows``."""
-    order = np.argsort(rows, kind="stable")
-    rows, values = rows[order], values[order]
-    starts = groups(rows) if len(rows) else np.zeros(0, np.int64)
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
-        yield int(keys[rows[a]]), values[a:b].tobytes()
-
-
-def direct_rows(rows, values, keys, parts: int):
-    """What a batch has decided, sent along in hash ranges of its own behind the others."""
-    for key, packed in per_document(rows, values, keys):
-        yield {"part": parts + key % parts, "keys": np.int64(key).tobytes(), "hash": packed}
-
-
-def longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+    """Hash range and lower half of the hash but its last bit: what the first exchange compares."""
+    return (ta.part_of(hashes, parts).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFE))
 
 
 def probe_rows(batch: pa.RecordBatch, parts: int):
@@ -110,31 +70,19 @@ def probe_rows(batch: pa.RecordBatch, parts: int):
     sizes = np.diff(np.append(starts, len(hashes)))
     local = np.repeat(several, sizes)
     yield from direct_rows(rows[local], hashes[local], keys, parts)
-    one = hashes[starts]
+    one = hashes[starts].astype(np.uint32) | flags.astype(np.uint32)
+    # In the order of rows, which then take next to no room.
+    order = np.argsort(low, kind="stable")
     yield from ta.pieces(
-        (one >> np.uint64(32)).astype(np.uint32),
-        {"hash": one.astype(np.uint32), "row": low, "flag": flags.astype(np.uint8)},
-        {"keys": keys.tobytes(), "ids": b""},
+        (hashes[starts] >> np.uint64(32)).astype(np.uint32)[order], {"hash": one[order], "row": low[order]},
+        {"keys": keys.tobytes()},
     )
 
 
-def joined_ids(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 8-byte values of all rows in one array, and where each row's begin."""
-    values, sizes = ta.unpack(table.column(name), "<i8")
-    return values, np.cumsum(sizes) - sizes
-
-
-def passed_on(table: pa.Table):
-    return pa.table([
-        pa.array([int(np.frombuffer(k.as_buffer(), "<i8")[0]) for k in table.column("keys")], pa.int64()),
-        table.column("hash").cast(pa.binary()).combine_chunks(),
-    ], schema=ARROW_HIT)
-
-
-def hit_table(rows) -> pa.Table:
-    rows = list(rows)
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                    schema=ARROW_HIT)
+def passed_on(table: pa.Table) -> pa.Table:
+    return hit_table(
+        (int(np.frombuffer(k.as_buffer(), "<i8")[0]), h.as_py()) for k, h in zip(table.column("keys"), table.column("hash"))
+    )
 
 
 def resolve_probes(part: int, table: pa.Table, parts: int) -> pa.Table:
@@ -143,10 +91,15 @@ def resolve_probes(part: int, table: pa.Table, parts: int) -> pa.Table:
         return passed_on(table)
     keys, base = joined_ids(table, "keys")
     hashes, sizes = ta.unpack(table.column("hash"), "<u4")
-    rows = ta.unpack(table.column("row"), "<u4")[0] + np.repeat(base, sizes)
-    flags = ta.unpack(table.column("flag"), "u1")[0]
+    rows = ta.unpack(table.column("row"), "<u4")[0] + np.repeat(base.astype(np.uint32), sizes)
     order = np.argsort(hashes)
-    hashes, rows, flags = hashes[order], rows[order], flags[order]
+    ordered = hashes[order]
+    same = ordered[1:] >> np.uint32(1) == ordered[:-1] >> np.uint32(1)
+    # A batch sends a hash once: what stands alone is of no other batch.
+    again = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    flags, hashes, rows = ordered[again] & np.uint32(1), ordered[again] & np.uint32(0xFFFFFFFE), rows[order[again]]
+    if not len(hashes):
+        return hit_table(())
     starts = groups(hashes)
     count = np.diff(np.append(starts, len(hashes)))
     shared = (count > 1) & (np.maximum.reduceat(flags, starts) > 0)
@@ -213,35 +166,24 @@ def resolve_runs(part: int, table: pa.Table, parts: int) -> pa.Table:
     return hit_table(per_document(rows[later], places[later], keys))
 
 
-def exchanged(sent: DataFrame, resolve, parts: int) -> DataFrame:
-    """Packed rows to one task for each hash range, and what it finds for each document."""
-
-    def run(key, table):
-        return resolve(key[0].as_py(), table, parts)
-
-    return sent.groupBy("part").applyInArrow(run, HIT)
-
-
-def gathered(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("key").agg(F.collect_list("hits").alias("hits"))
-
-
 def removed_words(docs: DataFrame) -> DataFrame:
-    """``key``, and packed first words of the runs to be removed from that text."""
-    texts = keyed(docs)
-    parts = ta.range_count(texts)
+    """``key``, and packed first words of runs to be removed from that text."""
+    texts = keyed(docs).select("key", "ord", "text")
+    parts = ta.range_count(texts, limit=ta.RANGE_BYTES // 2)
 
     def probe(batches):
         for batch in batches:
-            yield from ta.batches_of(probe_rows(batch, parts), PROBES)
+            for part in ta.slices(batch, "text"):
+                yield from ta.batches_of(probe_rows(part, parts), PROBES)
 
     def run(batches):
         for batch in batches:
-            yield from ta.batches_of(run_rows(batch, parts), RUNS)
+            for part in ta.slices(batch, "text"):
+                yield from ta.batches_of(run_rows(part, parts), RUNS)
 
-    hits = gathered(exchanged(texts.select("key", "text").mapInArrow(probe, ddl(PROBES)), resolve_probes, parts))
-    near = texts.select("key", "ord", "text").join(hits, "key")
-    return gathered(exchanged(near.mapInArrow(run, ddl(RUNS)), resolve_runs, parts))
+    hits = shared_table(exchanged(texts.select("key", "text").mapInArrow(probe, ddl(PROBES)), resolve_probes, parts))
+    near = touched(texts, seen_keys(hits)).join(gathered(hits), "key")
+    return shared_table(exchanged(near.mapInArrow(run, ddl(RUNS)), resolve_runs, parts))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -269,12 +211,14 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 pa.array(out["kept"], pa.binary()),
             ], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    joined = keyed(docs).join(removed_words(docs), "key", "left").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", "hits"
+    removed = removed_words(docs)
+    texts, seen = keyed(docs).select("key", F.col("doc_id").cast("long").alias("doc_id"), "text"), seen_keys(removed)
+    joined = touched(texts, seen).join(gathered(removed), "key", "left").select("doc_id", "text", "hits")
+    rest = touched(texts, seen, False).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("hits"))
+    done = "doc_id long, n_words long, n_removed long, spans array<array<long>>, kept binary"
+    return joined.mapInArrow(apply, done).unionByName(rest.mapInArrow(apply, done)).withColumn(
+        "kept", F.col("kept").cast("string")
     )
-    return joined.mapInArrow(
-        apply, "doc_id long, n_words long, n_removed long, spans array<array<long>>, kept binary"
-    ).withColumn("kept", F.col("kept").cast("string"))
 
 
 def op6_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,7 +253,7 @@ def resolve_contexts(part: int, table: pa.Table, parts: int) -> pa.Table:
 def removed_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs of removed strings (first start, number of starts) by text: of whole contexts, of parts."""
     texts = keyed(docs).select("key", "ord", "text")
-    parts = ta.range_count(texts)
+    parts = ta.range_count(texts, limit=ta.RANGE_BYTES // 2)
 
     def send_anchors(batches):
         for batch in batches:

@@ -15,10 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 NULL_ID = -(2**63)
 """A missing doc_id sorts before all others and counts as this number."""
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 32 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _SEED = 20240229
@@ -40,10 +41,10 @@ def order_id(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
 
 
-def range_count(texts: DataFrame, column: str = "text") -> int:
-    """Hash ranges for an exchange over all texts: one for each ``RANGE_BYTES``, at least 8."""
+def range_count(texts: DataFrame, column: str = "text", limit: int = RANGE_BYTES) -> int:
+    """Hash ranges for an exchange over all texts: one for each ``limit`` bytes, at least 8."""
     total = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(8, -(-int(total) // RANGE_BYTES))
+    return max(8, -(-int(total) // limit))
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
@@ -61,6 +62,17 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         row = end
 
 
+def slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``limit`` bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(ends):
+        before = ends[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of an unsigned 64-bit array, in place."""
     x ^= x >> U(33)
@@ -185,3 +197,5 @@ def batches_of(rows: Iterable[dict], schema: pa.Schema, limit: int = 8 << 20) ->
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
+    # Workers live on in later stages; what a batch took must not stay with them.
+    pa.default_memory_pool().release_unused()
