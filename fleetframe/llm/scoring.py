@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sizing import shared_table
 from . import textarrays as ta
 
-DEPTH = 4
+DEPTH = 5
 BLOCK_BYTES = 32 << 20
 CHUNK = 4 << 20
 TREE_GROUPS = 128
@@ -282,7 +282,7 @@ def score(docs: DataFrame) -> tuple[DataFrame, int]:
     train_tokens, distinct = int(size[0]), int(size[1])
 
     grams = counts.filter(F.col("kind") == GRAM).withColumn(
-        "group", F.pmod(F.xxhash64(F.col("key").bitwiseAND(F.lit(0xFFFF00))), F.lit(TREE_GROUPS))
+        "group", F.pmod(F.xxhash64(F.col("key").bitwiseAND(F.lit(0xFFFF00))), F.lit(max(TREE_GROUPS, 2 * blocks)))
     )
     tree = shared_table(grams.groupBy("group").applyInArrow(tree_rows, TREE))
     nodes = tree.filter("kind = 1").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "weighted")]).toArrow()
