@@ -108,8 +108,9 @@ def resolve_probes(part: int, table: pa.Table, parts: int) -> pa.Table:
     return hit_table(per_document(rows[own], code, keys))
 
 
-def run_rows(batch: pa.RecordBatch, parts: int, window: int = WINDOW):
-    """Runs of thirteen words around hits; runs that repeat within the batch are decided here."""
+def run_rows(batch: pa.RecordBatch, parts: int, ranges: int, window: int = WINDOW):
+    """Runs of thirteen words around hits, for ``ranges`` hash ranges; runs that repeat within the
+    batch are decided here."""
     keys, ids, found = longs(batch, "key"), longs(batch, "ord"), []
     hits = batch.column("hits")
     for chunk in ta.chunks(batch.column("text")):
@@ -134,10 +135,10 @@ def run_rows(batch: pa.RecordBatch, parts: int, window: int = WINDOW):
     order = np.lexsort((ids[rows], check, runs))
     runs, check, rows, places = runs[order], check[order], rows[order], places[order]
     later = after_first(ids[rows], runs, check)
-    yield from direct_rows(rows[later], places[later], keys, parts)
+    yield from direct_rows(rows[later], places[later], keys, ranges)
     keep = ~later
     yield from ta.pieces(
-        ta.part_of(runs[keep], parts),
+        ta.part_of(runs[keep], ranges),
         {"hash": runs[keep], "check": check[keep], "row": rows[keep], "place": places[keep]},
         {"keys": keys.tobytes(), "ids": ids.tobytes()},
     )
@@ -170,6 +171,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
     """``key``, and packed first words of runs to be removed from that text."""
     texts = keyed(docs).select("key", "ord", "text")
     parts = ta.range_count(texts, limit=ta.RANGE_BYTES // 2)
+    ranges = max(8, parts // 4)  # runs around hits are fewer, and each range answers a text with a row
 
     def probe(batches):
         for batch in batches:
@@ -179,11 +181,11 @@ def removed_words(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in ta.slices(batch, "text"):
-                yield from ta.batches_of(run_rows(part, parts), RUNS)
+                yield from ta.batches_of(run_rows(part, parts, ranges), RUNS)
 
     hits = shared_table(exchanged(texts.select("key", "text").mapInArrow(probe, ddl(PROBES)), resolve_probes, parts))
     near = touched(texts, seen_keys(hits)).join(gathered(hits), "key")
-    return shared_table(exchanged(near.mapInArrow(run, ddl(RUNS)), resolve_runs, parts))
+    return shared_table(exchanged(near.mapInArrow(run, ddl(RUNS)), resolve_runs, ranges))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
