@@ -11,7 +11,9 @@ inside the string, which equal strings share at the same offset. Anchors with th
 that occurs before removes all its strings at once. Only where one anchor has several
 contexts do the bytes of the first occurrence of each context move; there suffixes are sorted
 in buckets that are refined on the bucket numbers of later offsets, on the bytes themselves,
-and buckets of one suffix drop out.
+and buckets of one suffix drop out. An anchor whose contexts may be more than ``REFINE_BYTES``
+is divided: each of its strings moves by itself, under a 128-bit name, to a range chosen by
+that name. So no task holds the bytes of all texts around one passage.
 
 As each batch sends the first occurrence of a context only, a passage in a third of all
 documents makes one entry for each batch.
@@ -41,15 +43,20 @@ ANCHORS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.bin
 CONTEXTS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("anchor", pa.binary()),
                       ("row", pa.binary()), ("first", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
 RUN = np.dtype([("first", "<u4"), ("count", "<u4")])
+NAME = np.dtype([("name", "<u8"), ("other", "<u8")])
 REFINE_BYTES = 1 << 20
+STRINGS = 1 << 19
 CHUNK = 1 << 20
 REFINE = 1 << 31
 """Set in ``count`` of a hit that asks for the bytes of its context."""
+SPLIT = 1 << 30
+"""Set besides ``REFINE`` where the anchor is divided: asks for the names of its strings."""
+OTHER = 0x8CB92BA72F3D8DD7
 
 
-def names(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+def names(data: np.ndarray, lengths: tuple[int, ...], salt: int = 0) -> list[np.ndarray]:
     """64-bit names of the bytes at each place, for rising ``lengths``, each refined from the last."""
-    name, covers, out = ta.byte_values()[data], 1, []
+    name, covers, out = (ta.byte_values() ^ np.uint64(salt))[data], 1, []
     for length in lengths:
         while covers < length:
             step = min(covers, length - covers)  # the second half overlaps the first at the end
@@ -146,28 +153,38 @@ def resolve_anchors(part: int, table: pa.Table, parts: int) -> pa.Table:
     new_context[groups(context, anchor)] = True
     starts = groups(anchor)
     contexts = np.add.reduceat(new_context.astype(np.int64), starts) if len(anchor) else np.zeros(0, np.int64)
-    several = np.repeat(contexts > 1, np.diff(np.append(starts, len(anchor))))
+    contexts = np.repeat(contexts, np.diff(np.append(starts, len(anchor))))
+    several = contexts > 1
     count[several & ~later] |= REFINE
+    count[(contexts * (LENGTH + STARTS - 1) > REFINE_BYTES) & several & ~later] |= SPLIT
     out = later | several
     return hit_table(per_document(row[out], runs(first[out], count[out]), keys))
 
 
 def context_rows(batch: pa.RecordBatch, parts: int):
-    """Bytes of the contexts that resolve_anchors asked for."""
+    """Bytes of the contexts that resolve_anchors asked for, or names of their strings."""
     keys, ids = longs(batch, "key"), longs(batch, "ord")
-    asked = batch.column("hits")
+    asked, strings = batch.column("hits"), []
     for chunk in ta.chunks(batch.column("text"), CHUNK):
         got = anchors(chunk)
         if got is None:
             continue
         anchor, _, text, first, count = got
         cuts = np.searchsorted(text, np.arange(len(chunk.offsets)))
-        found = []
+        found, divided = [], []
         for t in range(len(chunk.offsets) - 1):
             hits = np.unique(ta.unpack(asked[chunk.first + t], RUN)[0])
             a, b = cuts[t], cuts[t + 1]
             own = a + np.flatnonzero(np.isin(first[a:b], hits["first"][hits["count"] >= REFINE]))
-            found.append(own)
+            alone = np.isin(first[own], hits["first"][hits["count"] >= REFINE | SPLIT])
+            found.append(own[~alone])
+            divided.append(own[alone])
+        own = np.concatenate(divided) if divided else np.zeros(0, np.int64)
+        if len(own):
+            strings.append(string_names(chunk, text[own], first[own], count[own]))
+            if sum(len(x[0]) for x in strings) >= STRINGS:
+                yield from string_rows(strings, keys, ids, parts)
+                strings = []
         own = np.concatenate(found) if found else np.zeros(0, np.int64)
         if not len(own):
             continue
@@ -189,6 +206,41 @@ def context_rows(batch: pa.RecordBatch, parts: int):
                 "first": first[mine].astype(np.uint32).tobytes(), "size": size[a:b].astype(np.uint32).tobytes(),
                 "bytes": body[ends[a]:ends[b]].tobytes(),
             }
+    if strings:
+        yield from string_rows(strings, keys, ids, parts)
+
+
+def string_names(chunk: ta.Chunk, text, first, count) -> tuple[np.ndarray, ...]:
+    """Name, row of the batch and place of every string of the contexts."""
+    size = count + LENGTH - 1
+    begin = np.cumsum(size) - size
+    body = chunk.data[np.arange(size.sum()) + np.repeat(chunk.offsets[text] + first - begin, size)]
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = inside + np.repeat(begin, count)
+    name = np.zeros(len(at), NAME)
+    name["name"], name["other"] = names(body, (LENGTH,))[0][at], names(body, (LENGTH,), OTHER)[0][at]
+    return name, np.repeat(chunk.first + text, count), np.repeat(first, count) + inside
+
+
+def string_rows(strings: list[tuple], keys: np.ndarray, ids: np.ndarray, parts: int):
+    """First occurrence of each string among these; later ones are decided here."""
+    name, row, first = (np.concatenate(x) for x in zip(*strings))
+    order = np.lexsort((first, keys[row], ids[row], name["other"], name["name"]))
+    name, row, first = name[order], row[order], first[order]
+    later = behind_first(ids[row], keys[row], first, name["name"], name["other"])
+    for key, packed in per_document(row[later], runs(first[later], np.ones(int(later.sum()))), keys):
+        yield {"part": 2 * parts + key % parts, "keys": np.int64(key).tobytes(), "bytes": packed}
+    # Sorted by name, and so by range.
+    name, row, first = name[~later], row[~later], first[~later]
+    part = ta.part_of(name["name"], parts)
+    starts = groups(part)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        rows = np.unique(row[a:b])
+        yield {
+            "part": parts + int(part[a]), "keys": keys[rows].tobytes(), "ids": ids[rows].tobytes(),
+            "row": np.searchsorted(rows, row[a:b]).astype(np.uint32).tobytes(),
+            "first": first[a:b].astype(np.uint32).tobytes(), "bytes": name[a:b].tobytes(),
+        }
 
 
 def refined(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -216,15 +268,22 @@ def refined(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.nd
 
 def resolve_contexts(part: int, table: pa.Table, parts: int) -> pa.Table:
     """Strings of differing contexts under one anchor that occur before."""
+    if part >= 2 * parts:
+        return hit_table(
+            (int(np.frombuffer(k.as_buffer(), "<i8")[0]), c.as_py()) for k, c in zip(table.column("keys"), table.column("bytes"))
+        )
     keys, base = joined_ids(table, "keys")
     ids, _ = joined_ids(table, "ids")
-    anchor, sizes = ta.unpack(table.column("anchor"), "<u4")
-    row = ta.unpack(table.column("row"), "<u4")[0] + np.repeat(base, sizes)
+    row, sizes = ta.unpack(table.column("row"), "<u4")
+    row = row + np.repeat(base, sizes)
     first = ta.unpack(table.column("first"), "<u4")[0].astype(np.int64)
+    if part >= parts:
+        return resolve_strings(ta.unpack(table.column("bytes"), NAME)[0], row, first, keys, ids)
+    anchor = ta.unpack(table.column("anchor"), "<u4")[0]
     size = ta.unpack(table.column("size"), "<u4")[0].astype(np.int64)
     data = ta.unpack(table.column("bytes"), "u1")[0]
     begin = np.cumsum(size) - size
-    # Anchors of one range in slices of bounded bytes; an anchor is never divided.
+    # Anchors of one range in slices of bounded bytes; those that would not fit are divided before.
     order = np.argsort(anchor, kind="stable")
     total = np.cumsum(size[order])
     slice_of = total // REFINE_BYTES
@@ -250,6 +309,22 @@ def resolve_contexts(part: int, table: pa.Table, parts: int) -> pa.Table:
     return hit_table(per_document(owner, runs(place, np.ones(len(place))), keys))
 
 
+def resolve_strings(name: np.ndarray, row, first, keys, ids) -> pa.Table:
+    """Strings of divided anchors that occur before, in slices of whole names."""
+    order = np.argsort(name["name"])
+    head = groups(name["name"][order]) if len(order) else np.zeros(0, np.int64)
+    cuts = head[groups(head // STRINGS)] if len(head) else head
+    out = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        own = order[a:b]
+        own = own[np.lexsort((first[own], keys[row[own]], ids[row[own]], name["other"][own], name["name"][own]))]
+        owner, place = row[own], first[own]
+        later = behind_first(ids[owner], keys[owner], place, name["name"][own], name["other"][own])
+        out.append((owner[later], place[later]))
+    owner, place = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+    return hit_table(per_document(owner, runs(place, np.ones(len(place))), keys))
+
+
 def removed_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs of removed strings (first start, number of starts) by text: of whole contexts, of parts."""
     texts = keyed(docs).select("key", "ord", "text")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fleetframe.llm import archives, decontamination, jaccard, packing, privacy, registry, scoring, sharding
+from fleetframe.llm import archives, decontamination, jaccard, packing, privacy, registry, scoring, sharding, suffixes
 from tests.compare import compare, connect
 
 from . import corpora
@@ -215,6 +215,31 @@ def test_bytes(spark, folder, rows):
     assert found == want
 
 
+def test_bytes_around_a_hot_passage(spark, tmp_path, monkeypatch):
+    """A passage between different texts: its anchors are divided, and no string is lost."""
+    import random
+
+    whole, most, rng = suffixes.refined, 1 << 14, random.Random(4)
+
+    def bounded(data, starts, length=suffixes.LENGTH):
+        if len(data) > 2 * most:
+            raise MemoryError(f"{len(data)} bytes of contexts at once")
+        return whole(data, starts, length)
+
+    monkeypatch.setattr(suffixes, "refined", bounded)
+    monkeypatch.setattr(suffixes, "REFINE_BYTES", most)
+    letters = lambda k: "".join(rng.choice("abcdeé ") for _ in range(k))
+    passage, sides = letters(150), [letters(70) for _ in range(3)]
+    rows = [(i, rng.choice([*sides, letters(90), letters(9)]) + passage + rng.choice([*sides, letters(80)]), "en", "s", 1) for i in range(900)]
+    rows += [rows[3], (None, rows[8][1], "en", "s", 1), (1000, passage * 3, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = corpora.byte_repeats([(suffixes.ta.NULL_ID if r[0] is None else r[0], *r[1:]) for r in rows])
+    found = {suffixes.ta.NULL_ID if r["doc_id"] is None else r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+             for r in QUERIES[name_of(9)](spark, str(tmp_path)).collect()}
+    assert found == want
+
+
 def test_shards(spark, folder, rows):
     found = QUERIES[name_of(10)](spark, folder).collect()
     assert len(found) == len(rows)
