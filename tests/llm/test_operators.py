@@ -295,6 +295,22 @@ def test_warc_round_trip():
     assert first["WARC-Payload-Digest"] == second["WARC-Payload-Digest"]
 
 
+def test_lines_above_the_limits_same_as_sql(spark, tmp_path):
+    """Planted lines: removed and depleting in the host where both limits are passed, kept in the others."""
+    line = " Terms of  use apply to all PAGES here "
+    own = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    rows = [(i, own(i, 30 if i % 3 else 4) + ("\n" + line + ("\n" + line if i % 2 else "") if i < 90 else ""), "en", "hot", 1) for i in range(300)]
+    rows += [(1000 + i, own(1000 + i, 12) + "\n" + line, "en", "small", 1) for i in range(40)]
+    rows += [(2000 + i, own(2000 + i, 12) + ("\n" + line if i < 60 else ""), "en", "large", 1) for i in range(400)]
+    path, name = write(spark, tmp_path, rows, []), name_of(8)
+    difference, _ = compare(spark, con_of(path), name, QUERIES[name], registry.ORACLE[name], path)
+    assert difference is None
+    found = {r["doc_id"]: r for r in QUERIES[name](spark, path).collect()}
+    assert {d for d, r in found.items() if r["n_removed_words"]} == set(range(90))
+    depleted = {d for d, r in found.items() if not r["kept"] and not r["base_failed"]}
+    assert depleted == set(range(0, 90, 6))  # the line twice is a repeat, which fails the base rules
+
+
 def test_benchmark_in_blocks(spark, folder):
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {(r["doc_id"], r["text"], str(r["contamination"])) for r in decontamination.mark(docs, items).collect()}
