@@ -7,7 +7,7 @@ number of digits, its shape, its checksum, and what stands beside it. A dynamic
 the region chooses boundaries and types together; between candidates all is text. Regions are
 independent, since no candidate crosses them, so the programme is exact for a whole text.
 
-The field is trained here by maximum likelihood on a sample of ``SAMPLE_REGIONS`` regions in
+The field is trained here by maximum likelihood on ``SAMPLE_REGIONS`` different regions, in
 hash order with the base spans as labels (the bound is a parameter). It adds spans where it
 finds an entity that overlaps no base span; base spans always stay.
 
@@ -289,9 +289,24 @@ def region_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit(docs: DataFrame, sample_regions: int = SAMPLE_REGIONS) -> Field:
-    """A field from at most ``sample_regions`` regions, the first of all in hash order."""
-    sample = region_rows(docs).orderBy(F.xxhash64("region"), "region").limit(sample_regions).collect()
-    return fit_field([r["region"] for r in sample])
+    """A field from at most ``sample_regions`` different regions, the first of all in hash order.
+
+    Copies of a region count once, so copying alone does not decide what the field learns.
+    """
+
+    def first(batches):
+        kept: set[tuple[int, str]] = set()
+        for batch in batches:
+            kept.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            if len(kept) > sample_regions:
+                kept = set(sorted(kept)[:sample_regions])
+        yield pa.RecordBatch.from_pylist([{"hash": h, "region": r} for h, r in kept],
+                                         schema=pa.schema([("hash", pa.int64()), ("region", pa.string())]))
+
+    # What is first among all is first in its task: no more than that moves.
+    hashed = region_rows(docs).select(F.xxhash64("region").alias("hash"), "region")
+    sample = hashed.mapInArrow(first, "hash long, region string").distinct().orderBy("hash", "region").limit(sample_regions)
+    return fit_field([r["region"] for r in sample.collect()])
 
 
 def mark(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:

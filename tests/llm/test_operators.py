@@ -205,6 +205,17 @@ def test_field_finds_whole_spans_and_bounds():
     assert privacy.find("version 2.0 of 17 words, item 12345", field) == ([], [])
 
 
+def test_field_learns_from_different_regions(spark, monkeypatch):
+    """Copies fill no place of the sample; without copies it is what it was."""
+    monkeypatch.setattr(privacy, "fit_field", lambda sample: sample)
+    texts = [f"call +1 (826) 555-{4000 + i} now" for i in range(50)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(t for i, t in enumerate(texts) for _ in range(60 if i % 3 == 0 else 1))]
+    found = privacy.fit(spark.createDataFrame(rows, DOCS).repartition(3), 20)
+    once = privacy.region_rows(spark.createDataFrame([(0, t, "en", "s", 1) for t in texts], DOCS))
+    assert found == [r["region"] for r in once.orderBy(privacy.F.xxhash64("region"), "region").limit(20).collect()]
+    assert len(set(found)) == 20
+
+
 def test_masking():
     assert privacy.masked("a 1 b 22 c", [("ip", 2, 3), ("card", 6, 8), ("phone", 7, 8)]) == "a [IP] b [CARD] c"
 
