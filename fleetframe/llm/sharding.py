@@ -2,7 +2,8 @@
 
 Each dimension is quantised to ``bits`` bits, the cell's place on the Hilbert curve orders
 the rows, and the order is cut into runs of equal row counts. Rows near each other on the
-curve are near in every dimension, so the minimum and maximum of each dimension prune files.
+curve are near in every dimension, so the minimum and maximum of each dimension prune files:
+every dimension keeps its order, source, language and id by rank among cuts of their values.
 
 The order is made global without one task seeing all rows: quantiles of the curve index cut
 it into ranges, rows are counted per range, numbered inside their range, and the counts of
@@ -12,17 +13,21 @@ in one (source, language, size) cell still spreads over many curve cells.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType
 
 from ..sizing import shared_table
+from . import textarrays as ta
 
 BITS = 10
 ROWS_PER_RANGE = 1_000_000
 MIN_RANGES = 64
 MAX_RANGES = 100_000
+VALUES_PER_CUT = 16
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 
 
@@ -67,14 +72,36 @@ def hilbert_column(axes: list[Column], bits: int = BITS) -> Column:
     return place(F.struct(*[a.cast("long").alias(f"a{i}") for i, a in enumerate(axes)]))
 
 
+def cuts_of(docs: DataFrame, value: Column, most: int) -> list:
+    """At most ``most`` values in order that cut the different values evenly.
+
+    Of many values the first in hash order are looked at, so the cuts do not depend on the run.
+    """
+    values = docs.select(value.alias("value")).distinct().orderBy(F.xxhash64("value"), "value").limit(VALUES_PER_CUT * most)
+    found = sorted(r["value"] for r in values.collect())
+    return found if len(found) <= most else [found[i * len(found) // most] for i in range(most)]
+
+
+def rank_column(docs: DataFrame, value: Column, top: int) -> Column:
+    """Place of a value among the cuts, spread over 0 to ``top - 1`` in order."""
+    cuts = cuts_of(docs, value, top - 1)
+
+    @F.pandas_udf(LongType())
+    def place(values: pd.Series) -> pd.Series:
+        places = {v: bisect_right(cuts, v) * top // (len(cuts) + 1) for v in values.unique().tolist()}
+        return values.map(places).astype("int64")
+
+    return place(value)
+
+
 def quantised(docs: DataFrame, bits: int = BITS) -> list[Column]:
-    """Source and language by hash, size by its logarithm, id by its place in a fixed hash order."""
+    """Source, language and id by rank (a null is the empty word or sorts first), size by its logarithm."""
     top = 1 << bits
     return [
-        F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(top)),
-        F.pmod(F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit(""))), F.lit(top)),
+        rank_column(docs, F.coalesce(F.col("source"), F.lit("")), top),
+        rank_column(docs, F.coalesce(F.col("lang"), F.lit("")), top),
         F.least(F.floor(F.log2(F.col("size")) * (top / 40)), F.lit(top - 1)),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(top)),
+        rank_column(docs, ta.order_id("doc_id"), top),
     ]
 
 

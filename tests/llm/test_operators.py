@@ -281,6 +281,15 @@ def test_shard_files_prune(spark, folder, tmp_path, rows):
     assert sum(b["n_rows"] for b in bounds) == len(rows)
 
 
+def test_ranges_skip_shards(spark):
+    """A range of ids or of sources lies outside the bounds of most shards."""
+    rows = [(i * 7, "x" * (1 + i * 37 % 900), ("de", "en", "fr")[i % 3], f"src{i * 11 % 40:02}", 1) for i in range(2000)]
+    bounds = sharding.shard_bounds(sharding.hilbert_shards(spark.createDataFrame(rows, DOCS), 64)).collect()
+    assert len(bounds) == 64
+    for name, low, high in (("doc_id", 0, 1400), ("source", "src00", "src03")):
+        assert sum(b[f"min_{name}"] > high or b[f"max_{name}"] < low for b in bounds) >= 32
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     bodies = [b"HTTP/1.1 200 OK\r\n\r\n<p>\n", b"", "é\n".encode() * 9]
