@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fleetframe.functions import specs
 from fleetframe.functions.maps import overlay_map, text_map
 from fleetframe.operators import catalog as C
-from fleetframe.operators.ordering import enumerate_rows, join_text
+from fleetframe.operators.ordering import enumerate_rows, join_text, range_number
 from fleetframe.sources.registry import with_source_order
 
 
@@ -42,6 +42,24 @@ def test_numbering_of_hot_groups(spark, by):
         map(str, enumerate_rows(df, [F.col("o").desc(), "id"], by, "n").collect()))
 
 
+def test_numbering_by_histogram(spark):
+    """Against a plain sort: struct keys, nulls last, ties of a third of all rows; no group in one task."""
+    rows = [(i % 3 if i % 2 else None, [i % 4, i % 3], None if i % 5 == 0 else i % 7, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g INT, k ARRAY<INT>, o INT, id INT").repartition(7).withColumn(
+        "s", F.struct("k", F.lit("x").alias("t")))
+    order = ["s", F.col("o").desc_nulls_last(), F.col("id").asc_nulls_first()]
+    got = enumerate_rows(df, order, ["g"], "n", rows_per_task=100)
+    assert "InMemory" not in got._jdf.queryExecution().toString() and len(got.inputFiles()) == 0
+    want = {}
+    ranked = sorted(rows, key=lambda r: (r[1], r[2] is None, -(r[2] or 0), r[3]))
+    for g in {r[0] for r in rows}:
+        want |= {r[3]: i + 1 for i, r in enumerate(r for r in ranked if r[0] == g)}
+    assert {r.id: r.n for r in got.collect()} == want
+    sizes = df.groupBy(range_number(df, order, 3000, 100).alias("range")).count().collect()
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) < 400
+    assert enumerate_rows(df.limit(0), order, ["g"], "n").isEmpty()
+
+
 def test_text_of_hot_groups(spark):
     df = spark.createDataFrame([("a", i) for i in range(25)] + [("b", 1)], "g STRING, i INT").withColumn(
         "t", F.col("i").cast("string"))
