@@ -1,6 +1,8 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import archives, decontamination, jaccard, packing, privacy, quality, scoring, sharding, substrings, suffixes
+from . import (
+    archives, decontamination, jaccard, packing, privacy, quality, scoring, sharding, spelling, substrings, suffixes,
+)
 
 QUERIES = {
     "op1_wu_manber": decontamination.op1_wu_manber,
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_bucket_pointer_refinement": suffixes.op9_bucket_pointer_refinement,
     "op10_hilbert_shards": sharding.op10_hilbert_shards,
+    "op11_dense_prefix_suffix": spelling.op11_dense_prefix_suffix,
 }
 ORACLE = {
     "op1_wu_manber": decontamination.SQL,
