@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
 from . import (
-    archives, decontamination, jaccard, packing, privacy, quality, scoring, sharding, spelling, substrings, suffixes,
+    archives, decontamination, innerproducts, jaccard, merkle, packing, privacy, quality, scoring, sharding, spelling, substrings, suffixes,
 )
 
 QUERIES = {
@@ -16,10 +16,15 @@ QUERIES = {
     "op9_bucket_pointer_refinement": suffixes.op9_bucket_pointer_refinement,
     "op10_hilbert_shards": sharding.op10_hilbert_shards,
     "op11_dense_prefix_suffix": spelling.op11_dense_prefix_suffix,
+    "op12_dag_descent": merkle.op12_dag_descent,
+    "op13_norm_sorted_products": innerproducts.op13_norm_sorted_products,
 }
 ORACLE = {
     "op1_wu_manber": decontamination.SQL,
     "op6_fixed_block_anchors": substrings.SQL,
     "op7_arc_to_warc": archives.SQL,
     "op8_quality_rules": quality.SQL,
+    "op11_dense_prefix_suffix": spelling.SQL,
+    "op12_dag_descent": merkle.SQL,
+    "op13_norm_sorted_products": innerproducts.SQL,
 }

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sizing import shared_table
 from . import textarrays as ta
+from .merkle import LOWER, UPPER, crc32_sql
 
 MIN_LETTERS = 5
 MIN_COUNT = 3
@@ -330,3 +331,33 @@ def spelling_variants(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFram
 def op11_dense_prefix_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their forms and roots."""
     return spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_CODES = ("flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda x: "
+          "CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x) - 64] END))")
+SQL = f"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS n, {crc32_sql(_CODES)} AS h FROM tokens GROUP BY doc_id, run),
+words AS MATERIALIZED (
+  SELECT CASE WHEN doc_id IS NOT NULL AND h % {DELETE_MODULUS} = 0
+      THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM runs GROUP BY 1 HAVING length(word) >= {MIN_LETTERS} AND sum(n) >= {MIN_COUNT}),
+places AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+replaced AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS pattern FROM places),
+deleted AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM replaced a JOIN replaced b ON a.pattern = b.pattern AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT d.word, w.word, w.n FROM deleted d JOIN words w ON d.rest = w.word
+  UNION ALL SELECT w.word, d.word, d.n FROM deleted d JOIN words w ON d.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY word),
+judged AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN most >= {FORM_RATIO} * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.n = most) END AS form,
+    CASE WHEN most >= {FORM_RATIO} * w.n THEN most END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root, form AS further FROM judged
+  UNION ALL SELECT w.word, j.word, j.form FROM walk w JOIN judged j ON w.further = j.word)
+SELECT j.word, j.form, w.root, j.n, j.n_near, j.form_n FROM judged j JOIN walk w ON w.word = j.word AND w.further IS NULL
+"""

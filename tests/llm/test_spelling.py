@@ -8,6 +8,9 @@ from collections import Counter
 import pytest
 
 from fleetframe.llm import registry, spelling
+from tests.compare import compare, connect
+
+from .test_operators import con_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -118,3 +121,12 @@ def test_query_and_empty_table(spark, sf_dir, tmp_path):
     assert listed(got) == brute_force(rows)[0]
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert query(spark, str(tmp_path)).isEmpty()
+
+
+def test_same_as_sql(spark, sf_dir, tmp_path):
+    name = "op11_dense_prefix_suffix"
+    difference, _ = compare(spark, connect(sf_dir), name, registry.QUERIES[name], registry.ORACLE[name], sf_dir)
+    assert difference is None
+    spark.createDataFrame(odd_texts(), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    difference, _ = compare(spark, con_of(tmp_path), name, registry.QUERIES[name], registry.ORACLE[name], str(tmp_path))
+    assert difference is None
