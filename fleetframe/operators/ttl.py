@@ -2,10 +2,11 @@
 
 A cached entry answers requests until it is older than ``max_age``; then the next request
 stores it anew. Which requests store depends on the previous store, so the batch replay is
-a sequential scan per key. Keys are spread by hash; a hot key is cut into time chunks that
-are scanned in parallel: each chunk first reports which anchor it would leave behind for
-any anchor it may receive, those short reports are chained, and the scan starts every chunk
-from its true anchor.
+a sequential scan per key. Keys are spread by hash; a hot key is cut along (time, order) into
+chunks that are scanned in parallel, even inside one instant: each chunk first reports which
+anchor it would leave behind for any anchor it may receive. Reports are step functions and
+compose, so neighbouring ones are merged in rounds until one task can follow what is left, and
+the anchors found are handed back down until every chunk starts from its true one.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import (
-    BooleanType, IntegerType, LongType, StructField, StructType,
-)
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..errors import Split, split
 from ..schemas import PROTECTED_ENTRIES
 from ..sizing import (
     ROWS_PER_TASK, hot_keys, join_null_safe, micros, shared_table, time_chunks,
 )
+from .asof import following, least_of
+from .ordering import range_number
 
 SECOND = 1_000_000
 
@@ -132,6 +133,35 @@ def entry_ages(
     return open_entries.withColumn("age_seconds", age.cast("long"))
 
 
+def purge_replay(
+    events: DataFrame, entries: DataFrame, interval: float, max_age: float, scope: Sequence[str] = ("cluster",),
+    name: str = "name", ts: str = "ts", modified: str = "modified", order: Sequence[str] = (),
+    entry_order: Sequence[str] = (), protected: Sequence[str] = PROTECTED_ENTRIES, rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """What becomes of each stored entry when the gate's passing events purge what is expired.
+
+    An event passes as in :func:`interval_gate`, and then removes the entries of its scope stored more
+    than ``max_age`` before it, but for protected names. Storing a name again replaces its entry;
+    a purge at the very time of the next store still finds the old one. Adds ``removed_at`` and
+    ``fate``: removed, replaced or kept. Entries without a time are kept.
+    """
+    scope = list(scope)
+    passed = interval_gate(events.select(*scope, ts, *order), scope, ts, interval, order, rows_per_task).filter("passed")
+    marks = passed.select(*scope, micros(passed, ts).alias("_t"), micros(passed, ts).alias("_mark"))
+    stored = entries.withColumn("_m", micros(entries, modified))
+    again = Window.partitionBy(*scope, name).orderBy("_m", *entry_order)
+    stored = stored.withColumns({"_next": F.lead("_m").over(again), "_t": F.col("_m") + int(max_age * SECOND)})
+    both = stored.withColumns({"_mark": F.lit(None).cast("long"), "_entry": F.lit(True)}).unionByName(marks, allowMissingColumns=True)
+    # An event at the very end of the age does not see the entry as expired: it comes first, so it counts for none.
+    found = following(both, scope, "_t", F.col("_entry").isNotNull(), {"_due": least_of(F.col("_mark"))}, rows_per_task).filter("_entry")
+    open_entry = ~F.col(name).isin(*protected) if protected else F.lit(True)
+    removed = F.coalesce(open_entry, F.lit(True)) & F.col("_due").isNotNull() & (F.col("_next").isNull() | (F.col("_due") <= F.col("_next")))
+    return found.select(
+        *entries.columns, F.when(removed, F.timestamp_micros("_due")).alias("removed_at"),
+        F.when(removed, "removed").when(F.col("_next").isNotNull(), "replaced").otherwise("kept").alias("fate"),
+    )
+
+
 # --- sequential replay -----------------------------------------------------------------
 
 
@@ -171,17 +201,35 @@ def _mark_anchors(df, key, ts, span, order, rows_per_task):
     """Add ``_anchor`` (row is later than the previous anchor + span) and ``_first``."""
     timed = df.withColumn("_t", micros(df, ts))
     hot = hot_keys(timed, key, "_t", rows_per_task)
-    return _mark_by_chunks(timed, key, span, order, rows_per_task, hot)
-
-
-def _mark_by_chunks(timed, key, span, order, rows_per_task, hot):
-    """Scan every key in time order; hot keys in chunks that start from a carried anchor."""
-    chunked = time_chunks(timed, key, "_t", rows_per_task, hot)
+    chunked = _order_chunks(timed, key, order, rows_per_task, hot)
     if hot is None:
         chunked = chunked.withColumn("_carry", F.lit(None).cast("long"))
     else:
-        carried = _carried_anchors(join_null_safe(chunked, hot, key, "left_semi"), key, span)
+        carried = _carried_anchors(join_null_safe(chunked, hot, key, "left_semi"), key, span, rows_per_task)
         chunked = join_null_safe(chunked, carried, [*key, "_chunk"], "left")
+    return _mark_by_chunks(chunked, key, span, order)
+
+
+def _order_chunks(timed, key, order, rows_per_task, hot):
+    """Add ``_chunk``: 0, but the number of a range of (time, order) for hot keys and -1 without a time.
+
+    Rows of one instant may lie in several chunks; only the first of them can be an anchor, and the
+    chunks after it receive that anchor. Rows equal in time and order share a chunk.
+    """
+    untimed = F.when(F.col("_t").isNull(), F.lit(-1))
+    ranges = None
+    if hot is not None:
+        placed = [F.col("_t"), *order]
+        busy = join_null_safe(timed, hot, key, "left_semi").filter(F.col("_t").isNotNull())
+        ranges = range_number(busy, placed, hot.agg(F.sum("_n")).first()[0], rows_per_task)
+    if ranges is None:
+        return timed.withColumn("_chunk", F.coalesce(untimed, F.lit(0)))
+    marked = join_null_safe(timed, hot.select(*key, F.lit(True).alias("_hot")), key, "left")
+    return marked.withColumn("_chunk", F.coalesce(untimed, F.when(F.col("_hot"), ranges), F.lit(0))).drop("_hot")
+
+
+def _mark_by_chunks(chunked, key, span, order):
+    """Scan every chunk in time order, from the anchor it receives."""
     placed = chunked.repartition(*key, "_chunk").sortWithinPartitions(*key, "_chunk", "_t", *order)
     schema = StructType(
         placed.schema.fields
@@ -266,57 +314,94 @@ def _group_starts(batch: pa.RecordBatch, groups: list[str], last) -> np.ndarray:
     return starts
 
 
-def _carried_anchors(hot_rows, key, span):
+def _carried_anchors(hot_rows, key, span, rows_per_task):
     """(key, _chunk, _carry): the last anchor before each chunk of a hot key."""
-    times = hot_rows.filter(F.col("_t").isNotNull()).select(*key, "_chunk", "_t")
-    placed = times.repartition(*key, "_chunk").sortWithinPartitions(*key, "_chunk", "_t")
-    key_fields = [f for f in times.schema.fields if f.name in key]
     groups = [*key, "_chunk"]
-    report = StructType(
-        key_fields + [StructField("_chunk", IntegerType()), StructField("_until", LongType()),
-                      StructField("_leaves", LongType())]
-    )
+    # Only the first of equal times can be an anchor, so a chunk needs each time once.
+    times = hot_rows.filter(F.col("_t").isNotNull()).select(*groups, "_t").distinct()
+    placed = times.repartition(*groups).sortWithinPartitions(*groups, "_t")
+    fields = [f for f in times.schema.fields if f.name in groups]
 
     def transfer(batches):
         """Per chunk: for any due time before ``_until``, the chunk leaves anchor ``_leaves``."""
         for head, t in _whole_groups(batches, groups, ["_t"]):
             yield _spread(head, groups, ["_until", "_leaves"], _exits(t, span))
 
-    reports = placed.mapInArrow(transfer, report)
-    chained = reports.repartition(*key).sortWithinPartitions(*key, "_chunk", "_until")
-    carry = StructType(
-        key_fields + [StructField("_chunk", IntegerType()), StructField("_carry", LongType())]
-    )
+    report = StructType(fields + [StructField("_until", LongType()), StructField("_leaves", LongType())])
+    reports = shared_table(placed.mapInArrow(transfer, report))
+    return shared_table(_incoming(reports, key, span, rows_per_task))
 
-    def chain(batches):
-        """Follow the anchor through the chunk reports of each key, in time order."""
-        last_key = last_chunk = None
-        anchor, open_chunk = None, False
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            new_key = _group_starts(batch, key, last_key)
-            new_chunk = _group_starts(batch, groups, last_chunk)
-            keep, carried = [], []
-            until, leaves = batch.column("_until").to_pylist(), batch.column("_leaves").to_pylist()
-            for i in range(batch.num_rows):
-                if new_key[i]:
-                    anchor = None
-                if new_chunk[i]:
-                    keep.append(i)
-                    carried.append(anchor)
-                    open_chunk = True
-                if open_chunk and (anchor is None or until[i] > anchor + span):
-                    anchor, open_chunk = leaves[i], False
-            last_key = batch.slice(batch.num_rows - 1).select(key)
-            last_chunk = batch.slice(batch.num_rows - 1).select(groups)
-            rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(g) for g in groups] + [pa.array(carried, pa.int64())],
-                names=groups + ["_carry"],
-            )
 
-    return shared_table(chained.mapInArrow(chain, carry))
+def _incoming(reports, key, span, limit):
+    """Anchor that each chunk of a key receives, from the chunks' reports.
+
+    Neighbouring chunks with at most ``limit`` steps together (or two) form a block, whose reports compose to
+    one. The blocks' anchors are found in the same way, and each block then hands its own on to
+    its chunks. Where composing does not halve the steps, because anchors are farther apart than
+    chunks are long, the reports are followed as a stream, a chunk at a time.
+    """
+    groups = [*key, "_chunk"]
+    sizes = reports.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = shared_table(sizes.select(*groups, "_n", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / limit).alias("_block")))
+    steps, blocked, chunks = blocks.agg(F.sum("_n"), F.countDistinct(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in key], "_block"),
+                                        F.count(F.lit(1))).first()
+    carry = StructType([f for f in reports.schema.fields if f.name in groups] + [StructField("_carry", LongType())])
+
+    def followed(rows):
+        """Reports of each (key, block) in order, started from the block's own anchor."""
+        by = [*key, "_block"]
+        placed = rows.repartition(*by).sortWithinPartitions(*by, "_chunk", "_until")
+
+        def follow(batches):
+            anchor, last = None, None
+            for head, until, leaves, start in _whole_groups(batches, [*by, "_chunk"], ["_until", "_leaves", "_start"]):
+                at = head.select(by)
+                if last is None or not at.equals(last):
+                    anchor, last = (None if np.isnan(start[0]) else int(head.column("_start")[0].as_py())), at
+                yield pa.RecordBatch.from_arrays(
+                    [*head.select(groups).columns, pa.array([anchor], pa.int64())], names=[*groups, "_carry"])
+                anchor = int(_outcomes(until, leaves, np.array([anchor + span]), np.array([anchor]))[0]) if anchor is not None else int(leaves[0])
+
+        return placed.mapInArrow(follow, carry)
+
+    alone = reports.withColumns({"_block": F.lit(0).cast("long"), "_start": F.lit(None).cast("long")})
+    if not steps or blocked >= chunks or steps <= limit:
+        return followed(alone)
+    rows = join_null_safe(reports, blocks.drop("_n"), groups, "inner")
+    schema = StructType([f for f in rows.schema.fields if f.name in [*key, "_block", "_until", "_leaves"]])
+
+    def compose(group, table):
+        table = table.sort_by([("_chunk", "ascending"), ("_until", "ascending")])
+        chunk, until, leaves = (table.column(c).to_numpy() for c in ("_chunk", "_until", "_leaves"))
+        cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+        u, l = until[:cuts[1]], leaves[:cuts[1]]
+        for lo, hi in zip(cuts[1:-1], cuts[2:]):
+            u, l = _composed(u, l, until[lo:hi], leaves[lo:hi], span)
+        out = {name: pa.array([group[i].as_py()] * len(u), table.schema.field(name).type) for i, name in enumerate([*key, "_block"])}
+        return pa.table({f.name: out.get(f.name, pa.array(u if f.name == "_until" else l)) for f in schema.fields})
+
+    composed = shared_table(rows.groupBy(*key, "_block").applyInArrow(compose, schema).withColumnRenamed("_block", "_chunk"))
+    if 2 * composed.count() > steps:
+        return followed(alone)
+    starts = shared_table(_incoming(composed, key, span, limit)).select(*key, F.col("_chunk").alias("_block"), F.col("_carry").alias("_start"))
+    return followed(join_null_safe(rows, starts, [*key, "_block"], "left"))
+
+
+def _outcomes(until, leaves, due, anchors):
+    """Anchors that a report leaves for incoming ``anchors`` with their ``due`` times."""
+    at = np.searchsorted(until, due, side="right")
+    return np.where(at < len(until), leaves[np.minimum(at, len(until) - 1)], anchors)
+
+
+def _composed(until, leaves, until2, leaves2, span):
+    """Report of a stretch and the one after it as one report."""
+    out = _outcomes(until2, leaves2, leaves + span, leaves)
+    # Due times that the first stretch has no row after meet the second as they are.
+    tail = until2 > until[-1]
+    u, l = np.concatenate([until, until2[tail]]), np.concatenate([out, leaves2[tail]])
+    keep = np.append(l[1:] != l[:-1], True)
+    return u[keep], l[keep]
 
 
 def _whole_groups(batches, groups, columns):
@@ -360,7 +445,7 @@ def _exits(t: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Step function from an incoming due time to the last anchor within sorted times ``t``.
 
     The first time after the due time becomes an anchor, then the first one more than
-    ``span`` after it, and so on. Only due times before ``t[0] + span`` can arrive, and
+    ``span`` after it, and so on. Only due times up to ``t[0] + span`` can arrive, and
     equal outcomes are folded, so the function is short when chains merge.
     """
     n = len(t)
@@ -371,7 +456,7 @@ def _exits(t: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         if np.array_equal(further, end):
             break
         end = further
-    entries = min(n, int(np.searchsorted(t, t[0] + span, side="left")) + 1)
+    entries = min(n, int(np.searchsorted(t, t[0] + span, side="right")) + 1)
     leaves = t[end[:entries]]
     keep = np.append(leaves[1:] != leaves[:-1], True)
     return t[:entries][keep], leaves[keep]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.maps import text_map
 from ..functions.quantity import cpu_millis, memory_bytes, quantity_error
 from ..operators import capacity as P
-from .views import table, view
+from .views import query, table, view
 
 SCOPE = ("cluster",)
 
@@ -60,18 +60,36 @@ WIDE = (("", 0, 27), ("m", 0, 28), ("u", 0, 30), ("n", 0, 30), ("Pi", 0, 16), ("
 
 
 def quantities_wide(spark, sf):
-    """Quantities of 16 to 30 digits, with fractions and in every small form, exactly."""
+    """Quantities of 16 to 30 digits, with fractions, in every small form and with exponents, exactly; too large and malformed ones."""
     key = F.col("p_partkey")
     digits = lambda n: F.concat((key % 9 + 1).cast("string"), F.lpad((key * 7919).cast("string"), n - 1, "0"))
     texts = F.array(*[
         F.concat(digits(n), F.lit("." if places else ""), F.lpad((key % 1000).cast("string"), places, "0")
                  if places else F.lit(""), F.lit(unit)) for unit, places, n in WIDE])
-    rows = table(spark, sf, "part").select(key.alias("id"), F.explode(texts).alias("text"))
+    digit = (key % 9 + 1).cast("string")
+    odd = F.array(F.concat(digit, F.lit("e30")), F.concat(digit, F.lit("5e-1")),
+                  *[F.concat(F.repeat(digit, F.lit(20)), F.lit(unit)) for unit in ("E", "Ei", "e17", "Xi")])
+    rows = table(spark, sf, "part").select(key.alias("id"), F.explode(F.concat(texts, odd)).alias("text"))
     value = memory_bytes(F.col("text"))
     return rows.select("id", "text", value.cast("string").alias("value"), quantity_error(F.col("text"), value).alias("error"))
 
 
+FLEET = """
+    SELECT c_custkey AS cluster, c_custkey * 37 % 997 * 100 AS cpu_millis, c_custkey * 91 % 1009 * 67108864 AS memory_bytes
+    FROM {customer}"""
+
+
+def fitting_clusters(spark, sf):
+    """Where each request would fit, among clusters as many as customers."""
+    fleet = query(spark, sf, FLEET).withColumns({c: F.col(c).cast("decimal(38,3)") for c in ("cpu_millis", "memory_bytes")})
+    requests = view(spark, sf, "v_request").select("spec", "cpu", "memory")
+    return P.fitting_clusters(requests, fleet, SCOPE).select(
+        "spec", "clusters", F.col("smallest.cluster").alias("smallest"), F.col("smallest_cpu").cast("bigint").alias("smallest_cpu"),
+        F.col("smallest_memory").cast("bigint").alias("smallest_memory"), "error")
+
+
 QUERIES = {
+    "fitting_clusters": fitting_clusters,
     "quantities_wide": quantities_wide, "capacity": capacity, "capacity_check": capacity_check, "environment": environment,
     "quantities": quantities,
 }
@@ -104,9 +122,22 @@ def _wide_sql():
 
 
 ORACLE = {
+    "fitting_clusters": f"""
+        WITH f AS ({FLEET}),
+        r AS (SELECT spec, CASE WHEN cpu <> 'lots' THEN CAST(replace(cpu, 'm', '') AS BIGINT) END AS cpu,
+                     CAST(replace(memory, 'Gi', '') AS BIGINT) * 1073741824 AS mem FROM {{v_request}}),
+        fits AS (SELECT spec, count(*) AS clusters, min(row(cpu_millis, memory_bytes, cluster)) AS least FROM r JOIN f
+                 ON cpu_millis >= cpu AND memory_bytes >= mem GROUP BY spec)
+        SELECT spec, CASE WHEN cpu IS NOT NULL THEN coalesce(clusters, 0) END AS clusters, least[3] AS smallest, least[1] AS smallest_cpu,
+               least[2] AS smallest_memory, CASE WHEN cpu IS NULL THEN 'ParseCpuResourceRequirements' END AS error
+        FROM r LEFT JOIN fits USING (spec)""",
     "quantities_wide": f"""
         SELECT id, text, CAST(t // 1000 AS STRING) || '.' || lpad(CAST(t % 1000 AS STRING), 3, '0') AS value, CAST(NULL AS VARCHAR) AS error
-        FROM ({_wide_sql()})""",
+        FROM ({_wide_sql()})
+        UNION ALL SELECT p_partkey, CAST(p_partkey % 9 + 1 AS STRING) || 'e30', CAST(p_partkey % 9 + 1 AS STRING) || repeat('0', 30) || '.000', NULL FROM {{part}}
+        UNION ALL SELECT p_partkey, CAST(p_partkey % 9 + 1 AS STRING) || '5e-1', CAST(p_partkey % 9 + 1 AS STRING) || '.500', NULL FROM {{part}}
+        UNION ALL SELECT p_partkey, repeat(CAST(p_partkey % 9 + 1 AS STRING), 20) || unit, NULL, error
+        FROM {{part}}, (VALUES ('E', 'Overflow'), ('Ei', 'Overflow'), ('e17', 'Overflow'), ('Xi', 'Malformed')) u(unit, error)""",
     "capacity": f"""
         SELECT *, NULL AS name, NULL AS error FROM ({_CAPACITY})
         UNION ALL SELECT cluster, NULL, NULL, NULL, NULL, name, 'ParseNodeCpuQuantity' FROM {{v_node}}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ttl as T
-from .views import table
+from .views import query, table
 
 DAY = 86400
 
@@ -62,7 +62,19 @@ def entry_ages(spark, sf):
     return T.entry_ages(_entries(spark, sf), now()).select("o_orderkey", "age_seconds")
 
 
+VISITS = "SELECT CAST(l_suppkey % 25 AS INT) AS cluster, l_shipdate AS ts FROM {lineitem}"
+STORED = """
+    SELECT o_orderkey, CAST(o_custkey % 25 AS INT) AS cluster, o_orderdate AS modified,
+           CASE WHEN o_orderkey % 50 = 0 THEN '.cache-last-purge' ELSE 'c' || CAST(o_custkey AS STRING) END AS name FROM {orders}"""
+
+
+def purge_replay(spark, sf):
+    out = T.purge_replay(query(spark, sf, VISITS), query(spark, sf, STORED), 30 * DAY, 90 * DAY, entry_order=["o_orderkey"])
+    return out.select("o_orderkey", "cluster", "name", F.unix_seconds("removed_at").alias("removed_at"), "fate")
+
+
 QUERIES = {
+    "purge_replay": purge_replay,
     "ttl_status": ttl_status, "ttl_asof": ttl_asof, "ttl_replay": ttl_replay,
     "interval_gate": interval_gate, "expired_entries": expired_entries, "entry_ages": entry_ages,
 }
@@ -84,6 +96,21 @@ def _replay(key: str, due: str, out: str) -> str:
 
 
 ORACLE = {
+    "purge_replay": f"""
+        WITH RECURSIVE days AS (
+          SELECT cluster, ts, row_number() OVER (PARTITION BY cluster ORDER BY ts) AS rn FROM (SELECT DISTINCT cluster, ts FROM ({VISITS}))),
+        walk AS (
+          SELECT cluster, rn, ts AS anchor, true AS passed FROM days WHERE rn = 1
+          UNION ALL
+          SELECT d.cluster, d.rn, CASE WHEN d.ts - w.anchor >= INTERVAL 30 DAY THEN d.ts ELSE w.anchor END, d.ts - w.anchor >= INTERVAL 30 DAY
+          FROM walk w JOIN days d ON d.cluster = w.cluster AND d.rn = w.rn + 1),
+        passes AS (SELECT cluster, anchor AS day FROM walk WHERE passed),
+        stored AS (SELECT *, modified + INTERVAL 90 DAY AS due, lead(modified) OVER (PARTITION BY cluster, name ORDER BY modified, o_orderkey) AS again FROM ({STORED})),
+        found AS (
+          SELECT s.*, CASE WHEN name <> '.cache-last-purge' AND (again IS NULL OR p.day <= again) THEN p.day END AS removed
+          FROM stored s ASOF LEFT JOIN passes p ON s.cluster = p.cluster AND s.due < p.day)
+        SELECT o_orderkey, cluster, name, CAST(epoch(removed) AS BIGINT) AS removed_at,
+               CASE WHEN removed IS NOT NULL THEN 'removed' WHEN again IS NOT NULL THEN 'replaced' ELSE 'kept' END AS fate FROM found""",
     "ttl_status": """
         SELECT l_orderkey AS key, l_linenumber, l_partkey, l_suppkey,
                CASE WHEN o_orderkey IS NULL THEN 'Miss' WHEN l_shipdate < o_orderdate THEN NULL

@@ -49,8 +49,9 @@ def compare(spark, con, name, run, sql, sf_dir):
         return f"{name}: types {wrong}", times
     a, b = _rows(df.columns, got), _rows(columns, want)
     if a != b:
-        extra = [r for r in a if r not in set(b)][:2]
-        missing = [r for r in b if r not in set(a)][:2]
+        ours, theirs = set(a), set(b)
+        extra = [r for r in a if r not in theirs][:2]
+        missing = [r for r in b if r not in ours][:2]
         return (f"{name}: {len(a)} <> {len(b)} rows; columns {sorted(columns)}\n"
                 f"  only spark {extra}\n  only duckdb {missing}"[:1500]), times
     return None, times

@@ -86,3 +86,42 @@ def test_request_without_total_is_rejected(spark):
     total = spark.createDataFrame([(1, Decimal(5000), Decimal(1 << 40))], "c INT, cpu_millis DECIMAL(38,3), memory_bytes DECIMAL(38,3)")
     good, rejects = P.check_capacity(requests, total, ["c"])
     assert good.count() == 0 and [(r.c, r.error) for r in rejects.collect()] == [(2, "UnknownCapacity")]
+
+
+@pytest.mark.parametrize("text, millis, size", [
+    ("1e30", 10**33, 10**30), ("5e-1", 500, "0.5"), ("1.5e-4", "0.15", "0"), ("0e999999999999", 0, 0), ("1e999999999999", None, None),
+    ("1e-999999999999", 0, 0), ("-.25Mi", -262144000, -262144), ("99999999999999999999E", None, None), ("+7", 7000, 7), (".", None, None),
+    ("12345678901234567890123456789.125", "12345678901234567890123456789125", "12345678901234567890123456789.125"),
+])
+def test_exponents_and_limits(spark, text, millis, size):
+    got = spark.createDataFrame([(text,)], "t STRING").select(cpu_millis(F.col("t")), memory_bytes(F.col("t"))).first()
+    assert tuple(got) == tuple(None if v is None else Decimal(v) for v in (millis, size))
+
+
+def test_overflow_is_not_malformed(spark):
+    df = spark.createDataFrame([("1e99",), ("1x",), ("1",), (None,)], "t STRING")
+    got = [r[0] for r in df.select(quantity_error(F.col("t"), memory_bytes(F.col("t")))).collect()]
+    assert got == ["Overflow", "Malformed", None, None]
+
+
+@pytest.mark.parametrize("limit", [7, 10**6])
+def test_fitting_clusters(spark, limit):
+    """Against all pairs: ties in both sizes, requests nothing holds, unread ones, clusters without a total."""
+    import random
+
+    rng = random.Random(5)
+    fleet = [(i, Decimal(rng.choice([0, 500, 1000, 1500, 4000])), Decimal(rng.randrange(8) * 2**30)) for i in range(45)] + [(99, None, None)]
+    asked = [(i, rng.choice(["0", "500m", "1", "1200m", "4", "4001m", "x"]), rng.choice(["0", "1Gi", "3Gi", "7Gi", "8Gi", "?"])) for i in range(120)]
+    capacity = spark.createDataFrame(fleet, "cluster INT, cpu_millis DECIMAL(38,3), memory_bytes DECIMAL(38,3)")
+    got = {r.spec: r for r in P.fitting_clusters(spark.createDataFrame(asked, "spec INT, cpu STRING, memory STRING"), capacity, ["cluster"], limit).collect()}
+    millis = {"0": 0, "500m": 500, "1": 1000, "1200m": 1200, "4": 4000, "4001m": 4001}
+    for spec, cpu, memory in asked:
+        r = got[spec]
+        if cpu == "x" or memory == "?":
+            assert r.error == ("ParseCpuResourceRequirements" if cpu == "x" else "ParseMemoryResourceRequirements") and r.clusters is None
+            continue
+        holds = [(c, m, i) for i, c, m in fleet if c is not None and c >= millis[cpu] and m >= int(memory.replace("Gi", "")) * 2**30]
+        assert r.clusters == len(holds) and r.error is None
+        assert (None if r.smallest is None else (r.smallest_cpu, r.smallest_memory, r.smallest.cluster)) == min(holds, default=None)
+    empty = P.fitting_clusters(spark.createDataFrame(asked[:9], "spec INT, cpu STRING, memory STRING"), capacity.limit(0), ["cluster"], limit)
+    assert {r.clusters for r in empty.collect()} <= {0, None}

@@ -9,7 +9,7 @@ from fleetframe import plans
 from tests.compare import compare, connect
 
 NAMES = sorted(plans.QUERIES)
-SCANS = {"ttl_replay", "interval_gate", "render_parse"}
+SCANS = {"ttl_replay", "interval_gate", "purge_replay", "render_parse"}
 
 
 @pytest.fixture(scope="module")

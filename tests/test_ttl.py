@@ -199,3 +199,73 @@ def test_overlay_stream(spark, tmp_path):
     assert sorted(map(tuple, read_overlay(spark, table).collect())) == want
     compact(spark, table, str(tmp_path / "small"))
     assert sorted(map(tuple, read_overlay(spark, str(tmp_path / "small")).collect())) == want
+
+
+def test_one_instant_in_many_chunks(spark):
+    """All rows of a hot key at two instants: no chunk holds them all, and only the first row of each can store."""
+    rows = [("k", 5)] * 2000 + [("k", 40)] * 1500 + [("k", 41)] * 30
+    df = log_frame(spark, rows).repartition(7)
+    timed = df.withColumn("_t", F.unix_micros("ts"))
+    from fleetframe.sizing import hot_keys
+
+    chunked = T._order_chunks(timed, ["key"], ["id"], 100, hot_keys(timed, ["key"], "_t", 100))
+    sizes = [r["count"] for r in chunked.groupBy("key", "_chunk").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 400
+    got = {r.id: r.status for r in T.ttl_replay(df, ["key"], "ts", 35, ["id"], 100).collect()}
+    assert got == brute(rows, 35) and sorted(set(got.values())) == ["Expired", "Hit", "Miss"] and got[3500] == "Expired"
+    got = {r.id: r.status for r in T.ttl_replay(df, ["key"], "ts", 10, ["id"], 100).collect()}
+    assert got == brute(rows, 10)
+
+
+@pytest.mark.parametrize("span, spread", [(3, 9000), (700, 9000), (4500, 9000), (10**6, 9000), (40, 300)])
+def test_reports_compose(spark, span, spread):
+    """Periods from much shorter than a chunk to longer than the whole log; groups stay near the limit."""
+    rnd = random.Random(span)
+    rows = [("hot", rnd.randrange(spread)) for _ in range(4000)] + [(None, rnd.randrange(spread)) for _ in range(1500)]
+    df = log_frame(spark, rows).repartition(5)
+    compose = T._composed
+    got = {r.id: r.status for r in T.ttl_replay(df, ["key"], "ts", span, ["id"], 60).collect()}
+    assert got == brute(rows, span)
+    # Composition is associative and follows every anchor as the single reports do.
+    import numpy as np
+
+    times = np.unique(np.array([s for k, s in rows if k == "hot"]) * T.SECOND)
+    parts = [T._exits(p, span * T.SECOND) for p in np.array_split(times, 8)]
+    left = parts[0]
+    for p in parts[1:]:
+        left = compose(*left, *p, span * T.SECOND)
+    right = parts[-1]
+    for p in parts[-2::-1]:
+        right = compose(*p, *right, span * T.SECOND)
+    for start in (times[0] - 1, times[0] - span * T.SECOND // 2, times[0] - span * T.SECOND):
+        one = np.array([start])
+        for u, l in parts:
+            one = T._outcomes(u, l, one + span * T.SECOND, one)
+        for u, l in (left, right):
+            assert T._outcomes(u, l, np.array([start + span * T.SECOND]), np.array([start]))[0] == one[0]
+
+
+@pytest.mark.parametrize("limit", [40, 10**6])
+def test_purge_replay(spark, limit):
+    rnd = random.Random(limit)
+    visits = [(rnd.choice("aab"), rnd.randrange(2000)) for _ in range(500)]
+    stored = [(rnd.choice("aabc"), f"n{rnd.randrange(40)}", rnd.randrange(2000)) for _ in range(400)] + [("a", ".cache-last-purge", 0), ("a", "n1", None)]
+    events = spark.createDataFrame([(c, at(s)) for c, s in visits], "cluster STRING, ts TIMESTAMP")
+    entries = spark.createDataFrame([(i, c, n, None if s is None else at(s)) for i, (c, n, s) in enumerate(stored)],
+                                    "id INT, cluster STRING, name STRING, modified TIMESTAMP")
+    got = {r.id: r for r in T.purge_replay(events, entries, 50, 100, entry_order=["id"], rows_per_task=limit).collect()}
+    passes = {}
+    for c in "abc":
+        last = None
+        for s in sorted(s for k, s in visits if k == c):
+            if last is None or s - last >= 50:
+                passes.setdefault(c, []).append(s)
+                last = s
+    for i, (c, n, s) in enumerate(stored):
+        later = [(t, j) for j, (c2, n2, t) in enumerate(stored) if (c2, n2) == (c, n) and s is not None and t is not None and (t, j) > (s, i)]
+        again = min(later)[0] if later else None
+        due = next((p for p in passes.get(c, []) if s is not None and p - s > 100), None)
+        removed = n != ".cache-last-purge" and due is not None and (again is None or due <= again)
+        assert got[i].removed_at == (at(due) if removed else None), (i, stored[i])
+        if s is not None:
+            assert got[i].fate == ("removed" if removed else "replaced" if again is not None else "kept")
