@@ -46,6 +46,12 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "offset long, tier int, step_group long")
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file with their ids: each is one id wherever its text stands."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def byte_ranks(path: str) -> dict[bytes, int]:
     """Token bytes with their ids from a byte-level BPE file, whose ids follow the merge order."""
     with open(path, encoding="utf-8") as f:
@@ -54,7 +60,7 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     as_byte = {chr(b): b for b in printable}
     as_byte |= {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in as_byte.values())}
-    special = {t["content"] for t in model["added_tokens"]}
+    special = special_tokens(path)
     return {bytes(as_byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
 
 
@@ -74,6 +80,10 @@ class WordTokenizer(dict):
         self.single = tiktoken.Encoding(
             "own", pat_str=PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={}
         ).encode_ordinary
+        special = special_tokens(path)
+        self.special = {text: array("I", [i]).tobytes() for text, i in special.items()}
+        # The longest first, where one begins with another.
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def __missing__(self, unit: str) -> bytes:
         ids = self[unit] = array("I", self.single(unit)).tobytes()
@@ -83,7 +93,10 @@ class WordTokenizer(dict):
         """Little-endian 32-bit ids of a text."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        return b"".join(map(self.__getitem__, UNITS.findall(text)))
+        if self.cuts is None or not any(map(text.__contains__, self.special)):
+            return b"".join(map(self.__getitem__, UNITS.findall(text)))
+        parts = self.cuts.split(text)
+        return b"".join(self.special[p] if i % 2 else b"".join(map(self.__getitem__, UNITS.findall(p))) for i, p in enumerate(parts))
 
 
 class Piece:
