@@ -223,3 +223,21 @@ def select_by_label(
 def select_by_group_suffix(crds: DataFrame, suffix: str) -> DataFrame:
     """Definitions whose group ends with the suffix (no dot boundary) and that have a name."""
     return crds.filter(F.col("group").endswith(suffix) & F.col("name").isNotNull())
+
+
+def longest_group_suffix(crds: DataFrame, suffixes: DataFrame, key: Sequence[str] = ("name",), suffix: str = "suffix") -> DataFrame:
+    """Definitions (key, group, suffix) whose group ends with a wanted suffix, with the longest one.
+
+    Every tail of a group that is as long as some wanted suffix is looked up by equality, so many suffixes
+    cost no more than the lengths they have. Definitions without a name are left out, as for one suffix.
+    """
+    wanted = suffixes.select(suffix).filter(F.col(suffix).isNotNull()).distinct()
+    # At most as many lengths as a group name has characters.
+    lengths = wanted.agg(F.sort_array(F.collect_set(F.length(suffix)))).first()[0]
+    group = F.col("group")
+    tails = F.transform(
+        F.filter(F.lit(lengths).cast("array<int>") if lengths else F.array().cast("array<int>"), lambda n: n <= F.length(group)),
+        lambda n: F.substr(group, F.length(group) - n + 1))
+    named = crds.filter(F.col("name").isNotNull())
+    found = named.select(*[F.col(k) for k in key], "group", F.explode(tails).alias(suffix)).join(wanted, suffix)
+    return found.groupBy(*key, "group").agg(F.max_by(suffix, F.length(suffix)).alias(suffix))

@@ -10,7 +10,7 @@ from ..operators import catalog as C
 from ..operators.ordering import enumerate_rows, join_text
 from ..schemas import OPERATORS
 from ..sizing import shared_table
-from ..sources.registry import audit_pages, with_source_order
+from ..sources.registry import audit_pages, page_gaps, with_source_order
 from .views import query, table, view
 
 
@@ -220,8 +220,15 @@ def page_audit(spark, sf):
                       F.col("last_count").cast("bigint").alias("last_count"), "problem")
 
 
+LISTED = """SELECT o_custkey % 97 AS repository, CAST(floor(o_orderkey / 300.0) AS INT) + 1 AS page, o_orderkey % 120 AS pos FROM {orders}"""
+
+
+def page_gap_intervals(spark, sf):
+    return page_gaps(query(spark, sf, LISTED))
+
+
 QUERIES = {
-    "overlay": overlay, "source_order": source_order, "resolve_chain": resolve_chain,
+    "page_gap_intervals": page_gap_intervals, "overlay": overlay, "source_order": source_order, "resolve_chain": resolve_chain,
     "dangling": dangling, "include_exclude": include_exclude, "include_table": include_table, "namespace_ok": namespace_ok,
     "explode_items": explode_items, "join_lists": join_lists, "joined_items": joined_items,
     "describe": describe, "lookup": lookup, "param_parse": param_parse, "param_lists": param_lists,
@@ -232,6 +239,14 @@ QUERIES = {
 _NAMES = "[" + ", ".join(f"'{n}'" for n in OPERATORS) + "]"
 
 ORACLE = {
+    "page_gap_intervals": f"""
+        WITH listed AS ({LISTED}), pages AS (SELECT DISTINCT repository, page FROM listed),
+        gaps AS (SELECT *, coalesce(lag(page) OVER (PARTITION BY repository ORDER BY page), 0) AS before FROM pages),
+        doubled AS (SELECT repository, page, max(n) AS copies FROM (
+            SELECT repository, page, pos, count(*) AS n FROM listed GROUP BY ALL) GROUP BY ALL HAVING max(n) > 1)
+        SELECT repository, CAST(before + 1 AS INT) AS first_page, CAST(page - 1 AS INT) AS last_page, 'MissingPages' AS problem, CAST(NULL AS BIGINT) AS copies
+        FROM gaps WHERE page > before + 1
+        UNION ALL SELECT repository, page, page, 'DoubledPage', copies FROM doubled""",
     "overlay": """
         SELECT *, row_number() OVER (ORDER BY source_ord, pos) AS row_no FROM (
           SELECT name, CAST(place // 1000000000000 AS INT) AS source_ord, place % 1000000000000 AS pos, value FROM (

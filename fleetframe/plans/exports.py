@@ -32,10 +32,17 @@ def exported_nodes(spark, sf):
         F.struct(text_map({"cpu": text(key % 9)}).alias("allocatable")).alias("status"))
     path = _folder(spark)
     rows.write.partitionBy("kind", "cluster_id", "snapshot_date").json(path)
-    nodes = O.read_objects(spark, path, "Node")
+    # Beside them lines that an export cut off, or whose position is no number.
+    cut = F.when(key % 9 == 4, F.concat(F.lit('{"pos": '), text(key), F.lit(', "metadata": {"name": "'), "s_name")).when(
+        key % 9 == 7, F.concat(F.lit('{"pos": "at '), text(key), F.lit('"}')))
+    rows.withColumn("s_suppkey", F.col("pos").cast("long")).withColumn("s_name", F.col("metadata.name")).select(
+        "kind", "cluster_id", "snapshot_date", cut.alias("value")).filter(F.col("value").isNotNull()).write.mode(
+        "append").partitionBy("kind", "cluster_id", "snapshot_date").text(path)
+    nodes, rejects = O.read_objects_checked(spark, path, "Node")
     return nodes.select(
         "cluster_id", "pos", "name", "product", "owner", "resource_version", F.size("taints").alias("taints"),
-        "provider_id", F.try_element_at("allocatable", F.lit("cpu")).alias("cpu"))
+        "provider_id", F.try_element_at("allocatable", F.lit("cpu")).alias("cpu"),
+    ).unionByName(rejects.select("cluster_id", "line", "error"), allowMissingColumns=True)
 
 
 def exported_releases(spark, sf):
@@ -48,8 +55,12 @@ def exported_releases(spark, sf):
         F.when(key % 5 == 0, "unknown").otherwise(F.lit("2022-09-15 09:52:59.123 +0000 UTC")).alias("lastUpdated"))
     path = _folder(spark)
     rows.write.partitionBy("cluster_id").json(path)
-    return O.read_releases(spark, path).select(
-        "cluster_id", "pos", "name", "namespace", "version", "last_updated", F.unix_seconds("updated_at").alias("updated"))
+    bad = rows.filter(F.col("pos") % 1000 == 17).select("cluster_id", F.concat(F.lit("[truncated "), F.col("name")).alias("value"))
+    bad.write.mode("append").partitionBy("cluster_id").text(path)
+    good, rejects = O.read_releases_checked(spark, path)
+    return good.select(
+        "cluster_id", "pos", "name", "namespace", "version", "last_updated", F.unix_seconds("updated_at").alias("updated"),
+    ).unionByName(rejects.select("cluster_id", "line", "error"), allowMissingColumns=True)
 
 
 def exported_pages(spark, sf):
@@ -66,10 +77,9 @@ def exported_pages(spark, sf):
     cut = (F.col("page") == 2) & F.col("repository").endswith("-13")
     value = F.when(cut, "no list").otherwise(F.to_json("list"))
     path = _folder(spark)
-    # The page number is the name of a folder here; the reader takes the file's place from it.
-    pages.select("repository", "page", value.alias("value")).write.partitionBy("repository", "page").text(path)
-    read = spark.read.text(path, wholetext=True)
-    good, rejects = G.parse_artifact_pages(read.select("repository", "page", "value"))
+    # Many pages in each file, one row each.
+    G.write_result(pages.select("repository", "page", value.alias("value")), path)
+    good, rejects = G.parse_artifact_pages(spark.read.schema("repository STRING, page INT, value STRING").json(path))
     return good.select("repository", "page", "pos", "digest", F.get("tags", F.lit(0))["name"].alias("tag")).unionByName(
         rejects.select("repository", "page", "error"), allowMissingColumns=True)
 
@@ -81,13 +91,19 @@ ORACLE = {
         SELECT 'c' || CAST(s_nationkey AS STRING) AS cluster_id, CAST(s_suppkey AS INT) AS pos, s_name AS name, 'trino' AS product,
                CAST(s_suppkey % 7 AS STRING) AS owner, CAST(s_suppkey * 3 AS STRING) AS resource_version,
                CASE WHEN s_suppkey % 4 = 0 THEN 1 END AS taints, 'kind://' || CAST(s_suppkey AS STRING) AS provider_id,
-               CAST(s_suppkey % 9 AS STRING) AS cpu FROM {supplier}""",
+               CAST(s_suppkey % 9 AS STRING) AS cpu, NULL AS line, NULL AS error FROM {supplier}
+        UNION ALL SELECT 'c' || CAST(s_nationkey AS STRING), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+               CASE s_suppkey % 9 WHEN 4 THEN '{"pos": ' || CAST(s_suppkey AS STRING) || ', "metadata": {"name": "' || s_name
+                 ELSE '{"pos": "at ' || CAST(s_suppkey AS STRING) || '"}' END, 'ParseLine'
+        FROM {supplier} WHERE s_suppkey % 9 IN (4, 7)""",
     "exported_releases": """
         SELECT 'c' || CAST(o_custkey % 25 AS STRING) AS cluster_id, CAST(o_orderkey AS INT) AS pos,
                'rel-' || CAST(o_orderkey AS STRING) AS name, 'ns' AS namespace,
                CAST(o_orderkey % 6 AS STRING) || '.0.0' AS version,
                CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE '2022-09-15 09:52:59.123 +0000 UTC' END AS last_updated,
-               CASE WHEN o_orderkey % 5 <> 0 THEN CAST(1663235579 AS BIGINT) END AS updated FROM {orders}""",
+               CASE WHEN o_orderkey % 5 <> 0 THEN CAST(1663235579 AS BIGINT) END AS updated, NULL AS line, NULL AS error FROM {orders}
+        UNION ALL SELECT 'c' || CAST(o_custkey % 25 AS STRING), NULL, NULL, NULL, NULL, NULL, NULL,
+               '[truncated rel-' || CAST(o_orderkey AS STRING), 'ParseLine' FROM {orders} WHERE o_orderkey % 1000 = 17""",
     "exported_pages": """
         WITH p AS (SELECT 'charts/deep/' || lower(replace(p_brand, '#', '-')) AS repository,
                           CAST(p_partkey // 500 + 1 AS INT) AS page, p_partkey FROM {part})

@@ -147,7 +147,19 @@ def group_suffix(spark, sf):
     return S.select_by_group_suffix(crds, "large.example.com")
 
 
+GROUPS = """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '' END || lower(p_type) || '.example.com' AS grp,
+                   CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name FROM {part}"""
+SUFFIXES = """SELECT right(lower(p_type), CAST(p_size % 9 AS INT)) || CASE WHEN p_size % 4 = 1 THEN '.example.org' ELSE '.example.com' END AS suffix
+              FROM {part}"""
+
+
+def group_suffix_table(spark, sf):
+    crds = query(spark, sf, GROUPS).withColumnRenamed("grp", "group")
+    return S.longest_group_suffix(crds, query(spark, sf, SUFFIXES), ["id"])
+
+
 QUERIES = {
+    "group_suffix_table": group_suffix_table,
     "installed": lambda s, d: installed(s, d), "install_plan": install_plan,
     "uninstall_plan": uninstall_plan, "upgrade_plan": upgrade_plan, "upgrade_steps": upgrade_steps, "state_diff": state_diff,
     "crd_diff": crd_diff, "label_overlay": label_overlay, "teardown": teardown,
@@ -175,6 +187,9 @@ _UPGRADE = f"""
            OR (bare AND (variant = 'open' OR variant = 'include' AND action = 'uninstall'))"""
 
 ORACLE = {
+    "group_suffix_table": f"""
+        SELECT id, grp AS "group", arg_max(suffix, length(suffix)) AS suffix
+        FROM ({GROUPS}) JOIN (SELECT DISTINCT suffix FROM ({SUFFIXES})) ON ends_with(grp, suffix) WHERE name IS NOT NULL GROUP BY id, grp""",
     "installed": f"""
         SELECT cluster, 'ns' || CAST(o_orderkey % 2 AS STRING) AS namespace, product || '-operator' AS name,
                CAST(arg_max(o_orderkey % 6, o_orderkey) AS STRING) || '.0.0' AS version, min(o_orderkey) AS pos

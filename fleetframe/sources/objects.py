@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..errors import Split, split
 from ..functions.maps import label
 from ..operators.state import api_group, api_version_part
 from ..schemas import HELM_RELEASE, LABEL_APP, LABEL_INSTANCE, LABEL_NAME
@@ -19,10 +20,8 @@ from ..schemas import HELM_RELEASE, LABEL_APP, LABEL_INSTANCE, LABEL_NAME
 _META = (
     "STRUCT<name: STRING, namespace: STRING, labels: MAP<STRING, STRING>, resourceVersion: STRING>"
 )
-_HEAD = (
-    "kind STRING, cluster_id STRING, snapshot_date STRING, snapshot_ts TIMESTAMP, pos INT, "
-    f"apiVersion STRING, metadata {_META}"
-)
+_FOLDERS = ("kind", "cluster_id", "snapshot_date")
+_HEAD = f"snapshot_ts TIMESTAMP, pos INT, apiVersion STRING, metadata {_META}"
 _BODY = {
     "Service": (
         "spec STRUCT<type: STRING, ports: ARRAY<STRUCT<name: STRING, port: INT, nodePort: INT>>>, "
@@ -81,6 +80,30 @@ def _columns(kind: str) -> list:
     return [F.col("status.conditions").alias("conditions")]
 
 
+_CORRUPT = "_corrupt"
+
+
+def _lines(reader, path: str, folders: Sequence[str], schema: str) -> DataFrame:
+    """JSON lines below ``folders`` with the text of those that cannot be read and where they stand.
+
+    Lines are parsed by an expression that always reads the whole schema, so a line is good or bad
+    whichever columns are asked for.
+    """
+    lines = reader.schema(", ".join(["value STRING", *[f"{c} STRING" for c in folders]])).text(path)
+    parsed = F.from_json("value", f"{schema}, {_CORRUPT} STRING", {"columnNameOfCorruptRecord": _CORRUPT})
+    return lines.filter(F.trim("value") != "").select(
+        *folders, parsed.alias("_line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"),
+    ).select(*folders, "_line.*", "file", "block_start").withColumn("error", F.when(F.col(_CORRUPT).isNotNull(), "ParseLine"))
+
+
+def _checked(rows: DataFrame, keep: Sequence[str], on_error: str) -> Split:
+    """Good lines, and the rejected ones as (keep, file, block_start, line, error)."""
+    good, rejects = split(rows, "error", on_error)
+    return Split.of(
+        good.drop("file", "block_start", _CORRUPT),
+        rejects.select(*keep, "file", "block_start", F.col(_CORRUPT).alias("line"), "error"), rows)
+
+
 def read_objects(
     spark: SparkSession, path: str, kind: str, clusters: Sequence[str] | None = None,
     namespace: str | None = None, streaming: bool = False,
@@ -88,12 +111,34 @@ def read_objects(
     """Objects of one kind from an export; all namespaces unless one is given.
 
     Known kinds come with typed columns. Any other kind (custom resources) comes with its
-    status as a JSON ``body``; a kind that was never exported yields no rows.
+    status as a JSON ``body``; a kind that was never exported yields no rows. A line that is no JSON
+    of that shape is left out here; :func:`read_objects_checked` reports or refuses it.
     """
+    reader = spark.readStream if streaming else spark.read
+    return read_lines(reader, path, kind, clusters, namespace).good
+
+
+def read_objects_checked(
+    spark: SparkSession, path: str, kind: str, clusters: Sequence[str] | None = None,
+    namespace: str | None = None, on_error: str = "quarantine",
+) -> Split:
+    """:func:`read_objects` with the lines it cannot read: cluster and date of the folder, file, start of
+    the file block that holds the line, its text. ``fail`` ends the job at the first one."""
+    return read_lines(spark.read, path, kind, clusters, namespace, on_error)
+
+
+def read_lines(reader, path, kind, clusters=None, namespace=None, on_error="quarantine") -> Split:
+    checked = _checked(
+        _lines(reader, path, _FOLDERS, f"{_HEAD}, {_BODY.get(kind, 'status STRING')}").filter(F.col("kind") == kind),
+        ["cluster_id", "snapshot_date"], on_error)
+    rejects = checked.rejects
+    if clusters is not None:
+        rejects = rejects.filter(F.col("cluster_id").isin(*clusters))
+    return Split(_objects(checked.good, kind, clusters, namespace), rejects)
+
+
+def _objects(rows: DataFrame, kind: str, clusters: Sequence[str] | None, namespace: str | None) -> DataFrame:
     typed = kind in _BODY
-    body = _BODY.get(kind, "status STRING")
-    reader = (spark.readStream if streaming else spark.read).schema(f"{_HEAD}, {body}")
-    rows = reader.json(path).filter(F.col("kind") == kind)
     if clusters is not None:
         rows = rows.filter(F.col("cluster_id").isin(*clusters))
     if namespace is not None:
@@ -121,12 +166,21 @@ def read_releases(
 ) -> DataFrame:
     """Exported Helm releases in every state, partitioned by ``cluster_id``.
 
-    The update time stays text; ``updated_at`` is its parsed form where it has one.
+    The update time stays text; ``updated_at`` is its parsed form where it has one. A line that cannot be
+    read is left out here; :func:`read_releases_checked` reports or refuses it.
     """
-    schema = f"cluster_id STRING, snapshot_ts TIMESTAMP, pos INT, {HELM_RELEASE}"
-    rows = spark.read.schema(schema).json(path)
+    return read_releases_checked(spark, path, clusters).good
+
+
+def read_releases_checked(
+    spark: SparkSession, path: str, clusters: Sequence[str] | None = None, on_error: str = "quarantine"
+) -> Split:
+    """:func:`read_releases` with the lines it cannot read, as in :func:`read_objects_checked`."""
+    rows = _lines(spark.read, path, ["cluster_id"], f"snapshot_ts TIMESTAMP, pos INT, {HELM_RELEASE}")
     if clusters is not None:
         rows = rows.filter(F.col("cluster_id").isin(*clusters))
-    return rows.withColumnRenamed("lastUpdated", "last_updated").withColumn(
+    checked = _checked(rows, ["cluster_id"], on_error)
+    good = checked.good.withColumnRenamed("lastUpdated", "last_updated").withColumn(
         "updated_at", F.try_to_timestamp(F.substring("last_updated", 1, 19))
     )
+    return Split(good, checked.rejects)

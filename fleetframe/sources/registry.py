@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..errors import Split, split
 from ..schemas import ARTIFACT_PAGE, ARTIFACT_PAGE_SIZE, REPOSITORY_PAGE_SIZE
@@ -64,6 +64,32 @@ def audit_pages(
     return per_repo.withColumn("problem", problem)
 
 
+def page_gaps(artifacts: DataFrame, by: Sequence[str] = ("repository",)) -> DataFrame:
+    """Page intervals that a repository lacks, and pages that it has more than once.
+
+    One row for each interval: ``first_page``, ``last_page``, ``problem`` (MissingPages or DoubledPage)
+    and ``copies`` of a doubled page. Pages count from 1. Islands of consecutive pages begin and end where a
+    neighbour is missing, which two joins on the page find; only their edges are put in order, so
+    a long listing without gaps orders two rows. Rows without a page are ignored.
+    """
+    by = list(by)
+    places = artifacts.filter(F.col("page") >= 1).groupBy(*by, "page", "pos").agg(F.count(F.lit(1)).alias("_n"))
+    pages = places.groupBy(*by, "page").agg(F.max("_n").alias("copies"))
+    have = pages.select(*by, "page")
+    beside = lambda step: have.select(*by, (F.col("page") + step).alias("page"))
+    starts = have.join(beside(1), [*by, "page"], "left_anti").withColumn("_end", F.lit(0))
+    ends = have.join(beside(-1), [*by, "page"], "left_anti").withColumn("_end", F.lit(1))
+    edges = Window.partitionBy(*by).orderBy("page", "_end")
+    before = F.coalesce(F.lag("page").over(edges), F.lit(0))
+    missing = starts.unionByName(ends).withColumn("_before", before).filter(
+        (F.col("_end") == 0) & (F.col("page") > F.col("_before") + 1)
+    ).select(*by, (F.col("_before") + 1).alias("first_page"), (F.col("page") - 1).alias("last_page"),
+             F.lit("MissingPages").alias("problem"), F.lit(None).cast("long").alias("copies"))
+    doubled = pages.filter(F.col("copies") > 1).select(
+        *by, F.col("page").alias("first_page"), F.col("page").alias("last_page"), F.lit("DoubledPage").alias("problem"), "copies")
+    return missing.unionByName(doubled)
+
+
 def audit_repositories(
     repositories: DataFrame, by: Sequence[str], limit: int = REPOSITORY_PAGE_SIZE
 ) -> DataFrame:
