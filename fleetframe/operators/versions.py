@@ -27,8 +27,7 @@ def artifact_versions(artifacts: DataFrame, on_error: str = "quarantine") -> Spl
         "chart": F.substr("repository", slash + 1),
         "version": version,
     })
-    good, rejects = split(rows, "error", on_error)
-    return Split(good.filter(F.col("version").isNotNull()), rejects)
+    return split(rows.filter(F.col("error").isNotNull() | F.col("version").isNotNull()), "error", on_error)
 
 
 def version_index(

@@ -29,31 +29,41 @@ def artifacts(spark, sf):
 
 def index(spark, sf):
     """The index is small and read several times, so it is written once."""
-    return shared_table(V.version_index(V.artifact_versions(artifacts(spark, sf)).good).good)
+    return shared_table(V.version_index(V.artifact_versions(artifacts(spark, sf)).good).rows)
 
 
-def matrix(spark, sf):
-    return V.version_matrix(view(spark, sf, "v_operator"), index(spark, sf))
+def matrix(spark, sf, rows=None):
+    rows = index(spark, sf) if rows is None else rows
+    return V.version_matrix(view(spark, sf, "v_operator"), rows.filter(F.col("error").isNull()).drop("error"))
+
+
+def _rejected(rows):
+    """Versions that the index rejects, in the columns of the matrix."""
+    return rows.filter(F.col("error").isNotNull()).select(
+        F.regexp_replace("chart", "-operator$", "").alias("operator"), "channel", "version",
+        F.col("copies").cast("bigint").alias("copies"), "error")
 
 
 def version_matrix(spark, sf):
-    numbered = enumerate_rows(matrix(spark, sf), ["key"], ["operator", "channel"], "position")
+    rows = index(spark, sf)
+    numbered = enumerate_rows(matrix(spark, sf, rows), ["key"], ["operator", "channel"], "position")
     return numbered.select(
         "operator", "channel", "version", F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"),
         F.when(F.col("version").isNotNull(), F.col("position")).alias("position"),
-    )
+    ).unionByName(_rejected(rows), allowMissingColumns=True)
 
 
 INDEX_SQL = """
     SELECT CASE WHEN version = '0.0.0-dev' THEN 'dev' WHEN version LIKE '%-pr%' THEN 'test'
                 ELSE 'stable' END AS channel, chart, version, count(*) AS copies
     FROM (SELECT substring(repository, 8) AS chart,
-                 replace(replace(tag, '-arm64', ''), '-amd64', '') AS version FROM {v_artifact})
+                 replace(replace(tag, '-arm64', ''), '-amd64', '') AS version FROM {v_artifact} WHERE starts_with(repository, 'charts/'))
     WHERE version IS NOT NULL GROUP BY ALL"""
+_REJECTED_SQL = "left(chart, length(chart) - 9) AS operator, channel, version, CAST(copies AS BIGINT) AS copies"
 MATRIX_SQL = f"""
     SELECT o.operator, c.channel, i.version, i.copies
     FROM {{v_operator}} o CROSS JOIN (VALUES ('stable'), ('test'), ('dev')) c(channel)
-    LEFT JOIN ({INDEX_SQL}) i ON i.channel = c.channel AND i.chart = o.operator || '-operator'"""
+    LEFT JOIN ({INDEX_SQL}) i ON i.channel = c.channel AND i.chart = o.operator || '-operator' AND i.version <> 'latest-build'"""
 
 
 def version_report(spark, sf):
@@ -62,8 +72,11 @@ def version_report(spark, sf):
 
 
 def artifact_versions(spark, sf):
-    return V.artifact_versions(artifacts(spark, sf)).good.select(
-        "id", "project", "chart", "version", channels.channel_of_tag(F.col("version")).alias("channel"))
+    good = F.col("error").isNull()
+    return V.artifact_versions(artifacts(spark, sf)).rows.select(
+        "id", *[F.when(good, c).alias(n) for n, c in (
+            ("project", F.col("project")), ("chart", F.col("chart")), ("version", F.col("version")),
+            ("channel", channels.channel_of_tag(F.col("version"))))], "error")
 
 
 def channel_compare(spark, sf):
@@ -91,7 +104,8 @@ def _chart_indexes(spark, sf):
     return rows.select(
         key.alias("repo"),
         F.create_map(chart_a, F.array(entry(chart_a, 1), entry(chart_a, 2)),
-                     chart_b, F.array(entry(chart_b, 3))).alias("entries"))
+                     chart_b, F.array(F.when(key % 31 == 0, F.struct(chart_b.alias("name"), F.lit("three").alias("version")))
+                                      .otherwise(entry(chart_b, 3)))).alias("entries"))
 
 
 def index_explode(spark, sf):
@@ -102,11 +116,12 @@ def chart_matrix(spark, sf):
     """The operator list from chart repositories, of which each serves one channel."""
     rows = V.explode_index(_chart_indexes(spark, sf))
     channel = F.get(F.array(*[F.lit(c) for c in CHANNELS]), (F.col("repo") % 3).cast("int"))
-    found = V.version_index(rows, channel=channel).good
+    found = shared_table(V.version_index(rows, channel=channel).rows)
     names = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("operator")).union(
         spark.sql("SELECT * FROM VALUES ('a'), ('none') AS t(operator)")).distinct()
-    return V.version_matrix(names, found).select(
-        "operator", "channel", "version", F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"))
+    return V.version_matrix(names, found.filter(F.col("error").isNull()).drop("error")).select(
+        "operator", "channel", "version", F.coalesce("copies", F.lit(0)).cast("bigint").alias("copies"),
+    ).unionByName(_rejected(found), allowMissingColumns=True)
 
 
 def crd_url(spark, sf):
@@ -149,7 +164,8 @@ QUERIES = {
 
 _INDEX_ROWS = """
         SELECT c_custkey AS repo, chart, CAST(pos AS INT) AS pos, chart AS name,
-               CAST(major AS STRING) || '.' || CAST(c_custkey % 7 AS STRING) || '.0' AS version
+               CASE WHEN major = 3 AND c_custkey % 31 = 0 THEN 'three'
+                    ELSE CAST(major AS STRING) || '.' || CAST(c_custkey % 7 AS STRING) || '.0' END AS version
         FROM (SELECT c_custkey, 'a-operator' AS chart, 0 AS pos, 1 AS major FROM {customer}
               UNION ALL SELECT c_custkey, 'a-operator', 1, 2 FROM {customer}
               UNION ALL SELECT c_custkey, lower(c_mktsegment) || '-operator', 0, 3 FROM {customer})"""
@@ -158,8 +174,9 @@ ORACLE = {
     "version_matrix": f"""
         SELECT operator, channel, version, CAST(coalesce(copies, 0) AS BIGINT) AS copies,
                CASE WHEN version IS NOT NULL THEN CAST(row_number() OVER (
-                 PARTITION BY operator, channel ORDER BY {KEY.format(v='version')}) AS BIGINT) END AS position
-        FROM ({MATRIX_SQL})""",
+                 PARTITION BY operator, channel ORDER BY {KEY.format(v='version')}) AS BIGINT) END AS position, NULL AS error
+        FROM ({MATRIX_SQL})
+        UNION ALL SELECT {_REJECTED_SQL}, NULL, 'InvalidVersion' FROM ({INDEX_SQL}) WHERE version = 'latest-build'""",
     "version_report": f"""
         WITH runs AS (
           SELECT operator, channel, version, run, least(copies - run, 1000) AS n
@@ -180,9 +197,10 @@ ORACLE = {
     "artifact_versions": """
         SELECT id, 'charts' AS project, substring(repository, 8) AS chart, version,
                CASE WHEN version = '0.0.0-dev' THEN 'dev' WHEN version LIKE '%-pr%' THEN 'test'
-                    ELSE 'stable' END AS channel
+                    ELSE 'stable' END AS channel, NULL AS error
         FROM (SELECT *, replace(replace(tag, '-arm64', ''), '-amd64', '') AS version FROM {v_artifact})
-        WHERE version IS NOT NULL""",
+        WHERE version IS NOT NULL AND starts_with(repository, 'charts/')
+        UNION ALL SELECT id, NULL, NULL, NULL, NULL, 'UnexpectedRepositoryName' FROM {v_artifact} WHERE NOT starts_with(repository, 'charts/')""",
     "channel_compare": """
         SELECT *, CASE WHEN by_tag IS NOT DISTINCT FROM by_version THEN 1 ELSE 0 END AS same
         FROM (SELECT id, version,
@@ -206,11 +224,13 @@ ORACLE = {
         UNION ALL SELECT NULL, repo, NULL, NULL, 'FindLatestRelease' FROM feeds ANTI JOIN latest USING (repo)""",
     "index_explode": _INDEX_ROWS,
     "chart_matrix": f"""
-        SELECT o.operator, c.channel, i.version, CAST(coalesce(i.copies, 0) AS BIGINT) AS copies
+        WITH found AS (SELECT [{', '.join(repr(c) for c in CHANNELS)}][repo % 3 + 1] AS channel, chart, version, count(*) AS copies
+                       FROM ({_INDEX_ROWS}) GROUP BY ALL)
+        SELECT o.operator, c.channel, i.version, CAST(coalesce(i.copies, 0) AS BIGINT) AS copies, NULL AS error
         FROM (SELECT DISTINCT lower(c_mktsegment) AS operator FROM {{customer}} UNION SELECT 'a' UNION SELECT 'none') o
         CROSS JOIN (VALUES ('stable'), ('test'), ('dev')) c(channel)
-        LEFT JOIN (SELECT [{', '.join(repr(c) for c in CHANNELS)}][repo % 3 + 1] AS channel, chart, version, count(*) AS copies
-                   FROM ({_INDEX_ROWS}) GROUP BY ALL) i ON i.channel = c.channel AND i.chart = o.operator || '-operator'""",
+        LEFT JOIN found i ON i.channel = c.channel AND i.chart = o.operator || '-operator' AND i.version <> 'three'
+        UNION ALL SELECT {_REJECTED_SQL}, 'InvalidVersion' FROM found WHERE version = 'three'""",
     "crd_url": """
         SELECT id, 'https://example.com/' || lower(product) || '-operator/'
                || CASE WHEN version LIKE '%-dev' THEN 'main' ELSE version END

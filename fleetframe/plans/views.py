@@ -19,15 +19,15 @@ TABLES = (
 VIEWS = {
     "v_artifact": """
         SELECT p_partkey AS id,
-               'charts/' || lower(replace(p_brand, '#', '-')) || '-operator' AS repository,
-               CASE p_partkey % 7
+               CASE WHEN p_partkey % 83 = 5 THEN '' ELSE 'charts/' END || lower(replace(p_brand, '#', '-')) || '-operator' AS repository,
+               CASE WHEN p_partkey % 89 = 7 THEN 'latest-build' ELSE CASE p_partkey % 7
                  WHEN 0 THEN '0.0.0-dev'
                  WHEN 1 THEN '0.0.0-pr' || CAST(p_partkey % 400 AS STRING)
                  WHEN 2 THEN NULL
                  ELSE CAST(20 + p_size % 6 AS STRING) || '.' || CAST(p_partkey % 12 AS STRING)
                       || '.' || CAST(p_partkey % 3 AS STRING)
                       || CASE p_partkey % 5 WHEN 0 THEN '-amd64' WHEN 1 THEN '-arm64' ELSE '' END
-               END AS tag
+               END END AS tag
         FROM {part}""",
     "v_operator": """
         SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS operator FROM {part}
