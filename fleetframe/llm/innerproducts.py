@@ -257,7 +257,8 @@ def top_products(vectors: DataFrame, k: int = TOP, modulus: int = QUERY_MODULUS,
     rotation = spark.sparkContext.broadcast(rotation_of(gram_matrix(rows, dims)))
     blocks = blocks_of(rows, n, block_rows, dims)
     queries = blocks_of(rows.filter(asking), asked, query_rows, dims)
-    longest = blocks.orderBy(F.col("longest").desc(), "block").select("ids", "vecs").first()
+    top = blocks.agg(F.max_by("block", F.struct("longest", "block"))).first()[0]
+    longest = blocks.filter(F.col("block") == top).select("ids", "vecs").first()
     begun = shared_table(started(queries, spark.sparkContext.broadcast((bytes(longest["ids"]), bytes(longest["vecs"]))), rotation, k))
     # Every block of queries goes once to each slot; a slot holds some of the blocks.
     slots = min(MAX_SLOTS, blocks.count())
