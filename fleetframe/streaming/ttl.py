@@ -63,9 +63,8 @@ class AnchorReplay(StatefulProcessor):
 
 
 def _replay(stream: DataFrame, key, ts, span, order):
-    spark = stream.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if stream.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB} in the session of the stream")
     timed = stream.withColumn("at_us", micros(stream, ts))
     schema = StructType(stream.schema.fields + [StructField("at_kind", StringType())])
     return timed.groupBy(*key).transformWithStateInPandas(

@@ -149,6 +149,21 @@ def test_expiry_and_ages(spark):
     assert {r.name: r.age_seconds for r in T.entry_ages(entries, now).collect()} == {"old": 10000, "edge": 3600, "new": 1000, "ahead": 0}
 
 
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, streaming.ROCKSDB)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_state_store_is_demanded(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("value AS key", "timestamp AS ts")
+    with pytest.raises(ValueError, match="stateStore.providerClass"):
+        streaming.ttl_replay_stream(stream, ["key"], "ts", 30)
+
+
 def run_stream(spark, make, schema, batches, tmp_path):
     """Feed one file per micro-batch and return the collected output rows."""
     source = tmp_path / "in"
@@ -168,7 +183,7 @@ def run_stream(spark, make, schema, batches, tmp_path):
     return out
 
 
-def test_stream_equals_batch(spark, tmp_path):
+def test_stream_equals_batch(spark, rocksdb, tmp_path):
     rows = [(k, s) for k, s in skewed_log(9, 4000) if k is not None][:400]
     rows.sort(key=lambda r: r[1])
     df = log_frame(spark, rows)
@@ -177,7 +192,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.id: r.status for r in got} == brute(rows, 30)
 
 
-def test_stream_gate_and_late_rows(spark, tmp_path):
+def test_stream_gate_and_late_rows(spark, rocksdb, tmp_path):
     df = log_frame(spark, [("k", 0), ("k", 900), ("k", 500), ("k", 1799), ("k", 1800)])
     parts = [df.filter("id < 2"), df.filter("id >= 2")]
     got = run_stream(spark, lambda s: streaming.interval_gate_stream(s, ["key"], "ts", 900, ["id"]), df.schema, parts, tmp_path)
