@@ -1,29 +1,38 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Per document: word and symbol counts, repeated lines, and words inside repeated five-word
-windows. Across documents: lines are normalised and hashed, the distinct texts that hold a
+windows. Across documents: lines are normalised and hashed, the different documents that hold a
 line are counted for each host, lines above the limits are removed, and a document with too
-little left is rejected. A line is over the limits when more than ``max_docs`` distinct
-texts of its host hold it and these are more than ``max_share`` of the host's distinct
-texts; copies of one text count once, so copying alone makes no line frequent.
+little left is rejected.
+
+A line of at least ``MIN_LINE_WORDS`` words is above the limits when more than ``max_docs`` different
+documents of its host hold it, or, for small hosts, more than ``min_docs`` that are also more than
+``max_share`` of the host's texts. Copies of a document, with or without small changes, are not different
+documents: texts whose least line hash beside the line is the same count once, and the line
+is above the limits only where that leaves at least half of the texts that hold it. So what a
+family of near copies has in common stays, and what stands in many documents goes.
 
 Cases: a null text has no words and fails; a null source is one host of its own; repeated
-rows get equal results; an empty table gives no rows; other columns pass through
-``clean_documents`` unchanged.
+rows get equal results; a very long text is one row, its lines are rows of their own; an empty table
+gives no rows; other columns pass through ``clean_documents`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sizing import shared_table
+
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+MIN_LINE_WORDS = 3
 MAX_DOCS = 50
-MAX_SHARE = 0.2
+MIN_DOCS = 5
+MAX_SHARE = 0.1
 MIN_LEFT_SHARE = 0.3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = "_quality_key"
@@ -108,47 +117,63 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines(keyed: DataFrame) -> DataFrame:
-    """One row for each line with a word: document key, host, hash, place and words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    line = normalised(F.col("_line"))
-    return (
-        keyed.select(KEY, "_host", F.posexplode(F.split(text, "\n")).alias("_place", "_line"))
-        .withColumn("_norm", line).filter(F.col("_norm") != "")
-        .select(
-            KEY, "_host", "_place", F.xxhash64("_norm").alias("_hash"),
-            (F.length("_norm") - F.length(F.translate("_norm", " ", "")) + 1).cast("long").alias("_n"),
-        )
-    )
+def line_hash(norm: Column) -> Column:
+    return F.substring(F.md5(norm.cast("binary")), 1, 16)
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(``_host``, ``_hash``) of the lines above the limits, with their distinct texts."""
-    keyed = _keyed(docs)
-    # One row for each (host, line, text): the distinct count needs no growing set of keys.
-    held = _lines(keyed).groupBy("_host", "_hash", KEY).agg(F.lit(1).alias("_one"))
-    counts = held.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > max_docs)
-    hosts = keyed.groupBy("_host", KEY).agg(F.lit(1).alias("_one")).groupBy("_host").agg(
-        F.count(F.lit(1)).alias("_texts")
-    )
-    return counts.join(hosts, "_host").filter(F.col("n_docs") > max_share * F.col("_texts")).drop("_texts")
+def held_lines(docs: DataFrame) -> DataFrame:
+    """One row for each text and different line of it: host, hash, words, places, least hash of the other lines.
+
+    Repeated rows share a text. A line alone in its text has the empty word for other lines.
+    """
+    line = lambda x: F.struct(
+        line_hash(x).alias("hash"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("long").alias("n"))
+    norm = F.filter(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), normalised), lambda x: x != "")
+    texts = _keyed(docs).select(KEY, "_host", F.transform(norm, line).alias("_lines"))
+    # The two least hashes of a text tell the least one beside any of its lines.
+    least = _bound(F.array_sort(F.array_distinct(F.col("_lines.hash"))), lambda h: F.struct(F.get(h, F.lit(0)).alias("a"), F.get(h, F.lit(1)).alias("b")))
+    rows = texts.withColumn("_least", least).select(KEY, "_host", "_least", F.posexplode("_lines").alias("_place", "_line"))
+    other = F.coalesce(F.when(F.col("_line.hash") == F.col("_least.a"), F.col("_least.b")).otherwise(F.col("_least.a")), F.lit(""))
+    return rows.filter(F.col("_line.n") >= MIN_LINE_WORDS).select(
+        "_host", F.col("_line.hash").alias("_hash"), KEY, "_place", F.col("_line.n").alias("_n"), other.alias("_other"),
+    ).groupBy("_host", "_hash", KEY).agg(
+        F.max("_n").alias("_n"), F.max("_other").alias("_other"), F.size(F.collect_set("_place")).alias("_places"))
+
+
+def frequent_lines(
+    docs: DataFrame, held: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS
+) -> DataFrame:
+    """(``_host``, ``_hash``) of the lines above the limits, with the texts and different documents that hold them."""
+    counts = held.groupBy("_host", "_hash", "_other").agg(F.count(F.lit(1)).alias("_t")).groupBy("_host", "_hash").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("_t").alias("n_texts")
+    ).filter((F.col("n_docs") > min_docs) & (2 * F.col("n_docs") >= F.col("n_texts")))
+    hosts = _keyed(docs).groupBy("_host", KEY).agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
+    return counts.join(hosts, "_host").filter(
+        (F.col("n_docs") > max_docs) | (F.col("n_docs") > max_share * F.col("_texts"))).drop("_texts")
 
 
-def line_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """Documents with lines above the limits: key, hashes of these lines, words they hold."""
-    hits = _lines(_keyed(docs)).join(frequent_lines(docs, max_docs, max_share), ["_host", "_hash"])
-    # Repeated rows share a key; each place of a text counts once.
-    return hits.groupBy(KEY, "_place", "_hash").agg(F.max("_n").alias("_n")).groupBy(KEY).agg(
-        F.collect_set("_hash").alias("_over"), F.sum("_n").alias("n_removed_words")
+def line_verdicts(
+    docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS
+) -> DataFrame:
+    """Texts with lines above the limits: key, hashes of these lines, words they hold."""
+    held = shared_table(held_lines(docs))
+    over = frequent_lines(docs, held, max_docs, max_share, min_docs)
+    return held.join(over, ["_host", "_hash"]).groupBy(KEY).agg(
+        F.collect_set("_hash").alias("_over"), F.sum(F.col("_n") * F.col("_places")).alias("n_removed_words")
     )
 
 
 def quality_rules(
-    docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT_SHARE
+    docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT_SHARE,
+    min_docs: int = MIN_DOCS,
 ) -> DataFrame:
-    """Every document with its measures, ``n_removed_words``, ``_over`` and ``kept``."""
-    verdicts = line_verdicts(docs, max_docs, max_share)
-    joined = _keyed(measures(docs)).join(verdicts, KEY, "left").drop(KEY, "_host")
+    """Every document (text, source and others) with its measures, ``n_removed_words``, ``_over`` and ``kept``.
+
+    Columns of these names are overwritten; :func:`clean_documents` keeps them.
+    """
+    verdicts = line_verdicts(docs.select("text", "source"), max_docs, max_share, min_docs)
+    named = docs.drop("n_removed_words", "_over", "kept", KEY, "_host", "_words", "_lines")
+    joined = _keyed(measures(named)).join(verdicts, KEY, "left").drop(KEY, "_host")
     removed = F.coalesce(F.col("n_removed_words"), F.lit(0).cast("long"))
     left = F.col("n_words") - removed
     depleted = (removed > 0) & ((left < MIN_WORDS) | (left < min_left * F.col("n_words")))
@@ -157,15 +182,18 @@ def quality_rules(
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Kept documents without the lines above the limits; ``n_chars`` follows the text."""
-    judged = quality_rules(docs).filter("kept")
+    lean = docs.select(F.col("text").cast("string").alias("text"), "source", F.struct("*").alias("_doc"))
+    judged = quality_rules(lean).filter("kept")
     kept = F.array_join(F.filter(
-        F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_over"), F.xxhash64(normalised(x)))
+        F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_over"), line_hash(normalised(x)))
     ), "\n")
-    text = F.when(F.col("_over").isNull(), F.col("text")).otherwise(kept)
-    out = judged.withColumn("text", text)
+    changed = F.col("_over").isNotNull()
+    text = F.when(changed, kept).otherwise(F.col("text"))
+    own = lambda c: F.col("_doc").getField(c)
+    out = {c: own(c) for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_over").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        out["n_chars"] = F.when(changed, F.length(text).cast("long")).otherwise(own("n_chars"))
+    return judged.select(*[c.alias(name) for name, c in out.items()])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +217,12 @@ word_lines AS (SELECT r, host, text, line, trim(regexp_replace({_ASCII_LOWER.for
                FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup_lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM word_lines GROUP BY r),
 hosts AS (SELECT host, count(DISTINCT text) AS texts FROM docs GROUP BY host),
-over AS (SELECT host, norm FROM word_lines JOIN hosts USING (host) GROUP BY host, norm, texts
-         HAVING count(DISTINCT text) > {MAX_DOCS} AND count(DISTINCT text) > {MAX_SHARE} * texts),
+lines_of AS (SELECT DISTINCT host, text, norm, substr(md5(norm), 1, 16) AS hash FROM word_lines),
+least AS (SELECT host, text, list_sort(list(hash)) AS hashes FROM lines_of GROUP BY host, text),
+others AS (SELECT host, norm, CASE WHEN hash = hashes[1] THEN coalesce(hashes[2], '') ELSE hashes[1] END AS other
+           FROM lines_of JOIN least USING (host, text) WHERE len(string_split(norm, ' ')) >= {MIN_LINE_WORDS}),
+over AS (SELECT host, norm FROM (SELECT host, norm, count(*) AS t, count(DISTINCT other) AS n FROM others GROUP BY host, norm) JOIN hosts USING (host)
+         WHERE 2 * n >= t AND n > {MIN_DOCS} AND (n > {MAX_DOCS} OR n > {MAX_SHARE} * texts)),
 removed AS (SELECT r, sum(len(string_split(norm, ' ')))::BIGINT AS n FROM word_lines SEMI JOIN over USING (host, norm) GROUP BY r),
 measured AS (
   SELECT docs.*, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fleetframe.llm import archives, decontamination, jaccard, packing, privacy, registry, scoring, sharding, suffixes
+from fleetframe.llm import archives, decontamination, jaccard, packing, privacy, quality, registry, scoring, sharding, suffixes
 from tests.compare import compare, connect
 
 from . import corpora
@@ -314,21 +314,54 @@ def test_warc_round_trip():
 
 
 def test_lines_above_the_limits_same_as_sql(spark, tmp_path):
-    """Planted lines: removed and depleting in the host where both limits are passed, kept in the others."""
+    """Planted lines: removed and depleting in hot and small hosts, kept where few documents or only copies hold them."""
     line = " Terms of  use apply to all PAGES here "
     own = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
-    rows = [(i, own(i, 30 if i % 3 else 4) + ("\n" + line + ("\n" + line if i % 2 else "") if i < 90 else ""), "en", "hot", 1) for i in range(300)]
-    rows += [(1000 + i, own(1000 + i, 12) + "\n" + line, "en", "small", 1) for i in range(40)]
-    rows += [(2000 + i, own(2000 + i, 12) + ("\n" + line if i < 60 else ""), "en", "large", 1) for i in range(400)]
+    rows = [(i, own(i, 30 if i % 3 else 4) + ("\n" + line + ("\n" + line if i % 2 else "") if i < 90 else "") + "\nOk so", "en", "hot", 1) for i in range(300)]
+    rows += [(1000 + i, own(1000 + i, 12) + ("\n" + line if i < 7 else ""), "en", "small", 1) for i in range(40)]
+    rows += [(2000 + i, own(2000 + i, 12) + ("\n" + line if i < 5 else ""), "en", "few", 1) for i in range(30)]
+    rows += [(3000 + i, own(3000 + i, 12) + ("\n" + line if i < 40 else ""), "en", "large", 1) for i in range(900)]
+    # A family of near copies: one line of twenty differs, all others are in every member.
+    shared = [own(9000 + j, 9) for j in range(19)]
+    rows += [(4000 + i, "\n".join([*shared[:i % 19], own(5000 + i, 9), *shared[i % 19:]]), "en", "copies", 1) for i in range(120)]
     path, name = write(spark, tmp_path, rows, []), name_of(8)
     difference, _ = compare(spark, con_of(path), name, QUERIES[name], registry.ORACLE[name], path)
     assert difference is None
     found = {r["doc_id"]: r for r in QUERIES[name](spark, path).collect()}
-    assert {d for d, r in found.items() if r["n_removed_words"]} == set(range(90))
+    assert {d for d, r in found.items() if r["n_removed_words"]} == {*range(90), *range(1000, 1007)}
     depleted = {d for d, r in found.items() if not r["kept"] and not r["base_failed"]}
     assert depleted == set(range(0, 90, 6))  # the line twice is a repeat, which fails the base rules
 
 
+def test_lines_go_on_the_given_tables(spark):
+    """The rule removes lines on the test tables, and the pipeline stage strips just those."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    found = {r["doc_id"]: r for r in QUERIES[name_of(8)](spark, path).collect()}
+    hit = {d for d, r in found.items() if r["n_removed_words"]}
+    assert 20 < len(hit) < 200
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r for r in corpus_pipeline.STAGES[0][1](spark, docs, path).collect()}
+    assert set(after) == {d for d, r in found.items() if r["kept"]}
+    assert {d for d, r in after.items() if r["text"] != before[d]} == hit & set(after)
+    assert all(len(r["text"].split()) == found[d]["n_words"] - found[d]["n_removed_words"] for d, r in after.items())
+    assert all(r["n_chars"] == len(r["text"]) for d, r in after.items() if d in hit)
+
+
+def test_clean_documents_keeps_any_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["n_words", "kept", "n_removed_words", "_over", "_host", "_quality_key", "_words", "_doc", "_hash", "a b.c"]
+    extra = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    got = quality.clean_documents(extra)
+    assert got.columns == extra.columns
+    plain = {(r["doc_id"], r["text"], r["n_chars"]) for r in quality.clean_documents(docs).collect()}
+    rows = got.collect()
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in rows} == plain
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
 def test_benchmark_in_blocks(spark, folder):
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {(r["doc_id"], r["text"], str(r["contamination"])) for r in decontamination.mark(docs, items).collect()}
