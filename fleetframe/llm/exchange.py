@@ -17,6 +17,7 @@ from . import textarrays as ta
 SKETCH_BITS = 20
 SLICES = 64
 HIT = "key long, hits binary"
+PACKED = pa.schema([("texts", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("hits", pa.binary())])
 ARROW_HIT = pa.schema([("key", pa.int64()), ("hits", pa.binary())])
 
 
@@ -78,12 +79,48 @@ def exchanged(sent: DataFrame, resolve, parts: int) -> DataFrame:
 
     def run(key, table):
         out = resolve(key[0].as_py(), table, parts)
-        pa.default_memory_pool().release_unused()
+        ta.give_back()
         return out
 
     return sent.groupBy("part").applyInArrow(run, HIT)
 
 
+def exchanged_by_text(sent: DataFrame, resolve, parts: int) -> DataFrame:
+    """:func:`exchanged` with one row for each document that has findings, whatever the number of hash ranges.
+
+    A range answers each of ``parts`` groups of documents with one packed row; a group's rows then meet
+    and are merged by document.
+    """
+
+    def run(key, table):
+        found = resolve(key[0].as_py(), table, parts)
+        keys, hits = found.column("key").to_numpy(), found.column("hits").to_pylist()
+        group = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(group, kind="stable")
+        starts = groups(group[order]) if len(keys) else np.zeros(0, np.int64)
+        out = [
+            (int(group[own[0]]), keys[own].tobytes(), np.array([len(hits[i]) for i in own], "<i4").tobytes(), b"".join(hits[i] for i in own))
+            for own in np.split(order, starts[1:]) if len(own)
+        ]
+        ta.give_back()
+        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 4, PACKED)], schema=PACKED)
+
+    def merge(key, table):
+        keys, _ = ta.unpack(table.column("keys"), "<i8")
+        sizes = ta.unpack(table.column("sizes"), "<i4")[0].astype(np.int64)
+        body = b"".join(c.as_buffer() for c in table.column("hits"))
+        ends = np.cumsum(sizes)
+        order = np.argsort(keys, kind="stable")
+        starts = groups(keys[order])
+        out = hit_table(
+            (int(keys[own[0]]), b"".join(body[ends[i] - sizes[i]:ends[i]] for i in own)) for own in np.split(order, starts[1:])
+        )
+        ta.give_back()
+        return out
+
+    return sent.groupBy("part").applyInArrow(run, ddl(PACKED)).groupBy("texts").applyInArrow(merge, HIT)
+
+
 def gathered(hits: DataFrame) -> DataFrame:
     return hits.groupBy("key").agg(F.collect_list("hits").alias("hits"))
 

@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from .textarrays import give_back
+
 WINDOW = 1024
 TIERS = (1024, 512, 256, 128)
 POOL = 8192
 STEP_TOKENS = 64 * 1024
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 END_ID = 0
 #: White space as the tokenizer's own splitting knows it (Unicode White_Space).
 SPACES = "\t-\r \x85\xa0  -     　"
@@ -77,6 +79,7 @@ class WordTokenizer(dict):
         import tiktoken
 
         super().__init__()
+        self.old = {}
         self.single = tiktoken.Encoding(
             "own", pat_str=PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={}
         ).encode_ordinary
@@ -86,12 +89,17 @@ class WordTokenizer(dict):
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self[unit] = array("I", self.single(unit)).tobytes()
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = array("I", self.single(unit)).tobytes()
+        self[unit] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         if len(self) > CACHE_WORDS:
+            # Units in use come back from the generation before, the others go with it.
+            self.old = dict(self)
             self.clear()
         if self.cuts is None or not any(map(text.__contains__, self.special)):
             return b"".join(map(self.__getitem__, UNITS.findall(text)))
@@ -255,6 +263,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
                     yield batch_of(ready + packer.flush(False))
                     ready = []
         yield batch_of(ready + packer.flush(True))
+        tokenizer.clear()
+        tokenizer.old = {}
+        give_back()
 
     lean = docs.select(docs[doc_id].cast("long"), docs[text].cast("string"))
     return lean.mapInArrow(run, SCHEMA)

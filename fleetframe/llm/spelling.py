@@ -131,7 +131,7 @@ def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tables:
             summed = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")])
             yield from pa.table([summed["word"], summed["n_sum"]], schema=_ARROW_WORDS).to_batches(1 << 16)
-    pa.default_memory_pool().release_unused()
+    ta.give_back()
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ otherwise, which bounds the memory of the eight-byte arrays made from it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -186,6 +187,14 @@ def unpack(cells: Iterable, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(p) for p in parts], np.int64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on in later stages, and what a task took must not stay with them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def batches_of(rows: Iterable[dict], schema: pa.Schema, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Rows as batches of about ``limit`` bytes of packed cells."""
     held, size = [], 0
@@ -197,5 +206,4 @@ def batches_of(rows: Iterable[dict], schema: pa.Schema, limit: int = 8 << 20) ->
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
-    # Workers live on in later stages; what a batch took must not stay with them.
-    pa.default_memory_pool().release_unused()
+    give_back()
