@@ -7,7 +7,7 @@ shingles (an extended prefix) of two linked sets share at least m + 1.
 1. Sets are collapsed to one representative of equal sets. In hash order, a set links with
    nothing and is done if too few shingles of its extended prefix occur in other prefixes.
 2. A sketch of fixed size estimates how frequent each shingle is; the rest is ordered rare
-   first. Rare shingles of the extended prefix are indexed alone. Frequent ones fall into m
+   first. The hundredth that most sets hold is frequent. Rare shingles of the extended prefix are indexed alone. Frequent ones fall into m
    classes, and the 2-combinations within a class are indexed: m + 1 shared frequent
    shingles have two in one class. m grows with the set, so a set has O(n) combinations.
 3. In each bucket a histogram of each set bounds the intersection from above. A search
@@ -41,8 +41,8 @@ from . import textarrays as ta
 from .exchange import SKETCH_BITS, ddl, groups, joined_ids, keyed, longs, seen_keys, sketch_of, touched
 
 SHINGLE = 5
-RARE = 256
-"""A shingle that fewer sets hold is indexed alone, whatever the corpus."""
+FREQUENT_SHARE = 0.01
+"""Share of the shingles that count as frequent, those that most sets hold; the others are indexed alone."""
 BUCKET_ROWS = 4096
 FAMILY_ROWS = 2000
 PREFIXES = pa.schema([("doc_id", pa.int64()), ("ord", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()),
@@ -265,11 +265,17 @@ def tiles(key: np.uint64, sig: int, count: int) -> list[int]:
     return ta.mix(pairs * np.uint64(0x9E3779B97F4A7C15) ^ key).tolist()
 
 
+def frequent_from(sketch: np.ndarray, share: float = FREQUENT_SHARE) -> int:
+    """Sets that a shingle is in at least to be frequent, from the corpus's own counts."""
+    used = sketch[sketch > 0]
+    return max(3, int(np.quantile(used, 1 - share)) + 1) if len(used) else 3
+
+
 def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
     """Edges (a, b) between signatures whose families may link."""
     context = sets.sparkSession.sparkContext
     by_shingle = sketch_of(sets.select("set"), lambda b: [ta.unpack(b.column("set"), "<u8")[0]])
-    frequent = RARE + 4 * int(by_shingle.mean())
+    frequent = frequent_from(by_shingle)
     shingles = context.broadcast(by_shingle)
 
     def keys_of(batch):
@@ -340,6 +346,7 @@ def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
                 seen.add(token)
                 edges.update(families(own, bounds.may_link))
         at = np.array(sorted(edges), np.int64).reshape(-1, 2)
+        ta.give_back()
         return pa.table({"a": sigs[at[:, 0]], "b": sigs[at[:, 1]]})
 
     sent = sets.select("sig", "set").mapInArrow(send, ddl(BUCKETS))
@@ -402,6 +409,7 @@ def verified_edges(sets: DataFrame, family: DataFrame) -> DataFrame:
             return ok
 
         at = np.array(families(np.arange(len(sigs)), test), np.int64).reshape(-1, 2)
+        ta.give_back()
         return pa.table({"a": sigs[at[:, 0]], "b": sigs[at[:, 1]]})
 
     return sets.join(placed.hint("merge"), "sig").groupBy("root", "low", "high").applyInArrow(verify, "a long, b long")
@@ -452,8 +460,8 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     leads = found.filter("root is not null").groupBy("root").agg(F.min(F.struct("ord", "key")).alias("_m")).select(
         F.col("_m.key").alias("_lead")
     ).unionByName(found.filter("root is null").select(F.col("key").alias("_lead"))).distinct()
-    own = docs.withColumn("_lead", ta.text_key("doc_id", "text"))
-    return own.join(leads, "_lead").dropDuplicates(["_lead"]).select(*docs.columns)
+    own = docs.select(ta.text_key("doc_id", "text").alias("_lead"), F.struct("*").alias("_doc"))
+    return own.join(leads, "_lead").dropDuplicates(["_lead"]).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:

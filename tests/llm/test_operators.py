@@ -362,6 +362,37 @@ def test_clean_documents_keeps_any_columns(spark, folder):
     assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
 
 
+@pytest.mark.parametrize("share", [0.01, 0.5, 1.0])
+def test_combinations_find_every_link(spark, folder, rows, share, monkeypatch):
+    """Whatever part of the shingles is frequent, no link is lost; all of them means combinations alone."""
+    monkeypatch.setattr(jaccard, "FREQUENT_SHARE", share)
+    monkeypatch.setattr(jaccard, "frequent_from", lambda sketch, share=share: 2 if share == 1.0 else max(
+        2, int(np.quantile(sketch[sketch > 0], 1 - share)) + 1))
+    found = jaccard.link(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    want = corpora.components(rows)
+    texts = {}
+    for (doc, text), (n, root) in want.items():
+        texts.setdefault(doc, set()).add((n, root))
+    assert all((r["n_shingles"], r["component_id"]) in texts[r["doc_id"]] for r in found) and len(found) == len(rows)
+
+
+def test_combinations_are_indexed(spark):
+    """On the test tables a part of the index entries are combinations of frequent shingles."""
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    texts = [r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").select("text").distinct().collect()]
+    import pyarrow as pa
+
+    sets = [v for v in jaccard.shingle_sets(pa.array(texts)) if len(v)]
+    sketch = np.zeros(1 << jaccard.SKETCH_BITS, np.int64)
+    for v in sets:
+        np.add.at(sketch, (v >> np.uint64(64 - jaccard.SKETCH_BITS)).astype(np.int64), 1)
+    frequent = jaccard.frequent_from(sketch)
+    combined = sum(int((~np.isin(jaccard.bucket_keys(v, sketch, frequent), v)).sum()) for v in sets)
+    assert 3 <= frequent < sketch.max() and combined > 1000
+
+
 def test_benchmark_in_blocks(spark, folder):
     docs, items = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {(r["doc_id"], r["text"], str(r["contamination"])) for r in decontamination.mark(docs, items).collect()}
