@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..sizing import shared_table
 
 SPACE = r"[\x20\x09-\x0D]+"
+UNEVEN_SPACE = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
+"""White space that is not one space already, which is seldom."""
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -44,7 +46,7 @@ def words_of(text: Column) -> Column:
 
 def normalised(line: Column) -> Column:
     """Line with A-Z lowered and white space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), SPACE, " "))
+    return F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), UNEVEN_SPACE, " "))
 
 
 def _bound(value: Column, use) -> Column:
@@ -127,7 +129,7 @@ def held_lines(docs: DataFrame) -> DataFrame:
     Repeated rows share a text. A line alone in its text has the empty word for other lines.
     """
     line = lambda x: F.struct(
-        line_hash(x).alias("hash"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("long").alias("n"))
+        line_hash(x).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n"))
     norm = F.filter(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), normalised), lambda x: x != "")
     texts = _keyed(docs).select(KEY, "_host", F.transform(norm, line).alias("_lines"))
     # The two least hashes of a text tell the least one beside any of its lines.
