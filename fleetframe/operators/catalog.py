@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import Split, split
 from ..functions.maps import overlay_map, text_map
 from ..schemas import DEFAULT_NAMESPACE
-from ..sizing import shared_table
-from .ordering import join_text
 
 ORDER = ("source_ord", "pos")
 
@@ -154,33 +152,32 @@ def overlay_parameters(
     """Defaults (request, name, default, pos) overlaid by given (request, name, value, pos).
 
     The last given value of a name wins and declared names never disappear. One
-    undeclared name rejects its whole request; the reject names the first one and lists
-    what was expected.
+    undeclared name rejects its whole request; the reject, one row, names the first one and lists
+    what was expected (the declared names of a spec, null for none).
+
+    Both sides are folded by name in one aggregate; a window over a request's names then finds the first
+    undeclared one. Neither side is read twice, and ``rows`` has values and rejects together.
     """
-    last = given.groupBy(request, "name").agg(
-        F.max_by("value", "pos").alias("_value"), F.min("pos").alias("_given_at")
-    )
-    unknown = (
-        last.join(defaults.select(request, "name"), [request, "name"], "left_anti")
-        .groupBy(request).agg(F.min_by("name", "_given_at").alias("parameter"))
-        .withColumn("error", F.lit("InvalidParameter"))
+    both = defaults.select(request, "name", "default", "pos", F.lit(True).alias("_declared")).unionByName(
+        given.select(request, "name", F.col("value").alias("_given"), F.col("pos").alias("_at")), allowMissingColumns=True)
+    folded = both.groupBy(request, "name").agg(
+        F.max_by("default", F.col("pos")).alias("default"), F.min("pos").alias("pos"), F.max_by("_given", "_at").alias("_given"),
+        F.min("_at").alias("_at"), F.coalesce(F.max("_declared"), F.lit(False)).alias("_declared"),
     )
-    values = defaults.select(request, "name", "default", "pos").join(
-        last, [request, "name"], "left"
-    ).select(request, "name", F.coalesce("_value", "default").alias("value"), "pos")
-    if on_error == "fail":
-        checked = values.join(unknown.select(request, "error"), request, "left")
-        return split(checked, "error", "fail")
-    # One row per rejected request, read three times below.
-    unknown = shared_table(unknown)
-    expected = join_text(
-        defaults.join(unknown.select(request), request, "left_semi"),
-        [request], ["pos"], "name", name="expected",
-    )
-    return Split(
-        values.join(unknown.select(request), request, "left_anti"),
-        unknown.join(expected, request, "left"),
+    names = Window.partitionBy(request)
+    unknown = F.min(F.when(~F.col("_declared"), F.struct("_at", "name"))).over(names)
+    listed = F.collect_list(F.when(F.col("_declared"), F.struct("pos", "name"))).over(names)
+    found = folded.withColumns({"_unknown": unknown, "_listed": listed})
+    rejected = F.col("_unknown").isNotNull()
+    first = rejected & ~F.col("_declared") & (F.col("name") == F.col("_unknown.name"))
+    expected = F.array_join(F.transform(F.array_sort("_listed"), lambda d: d["name"]), ", ")
+    rows = found.filter(first | ~rejected).select(
+        request, F.when(~rejected, F.col("name")).alias("name"), F.when(~rejected, F.coalesce("_given", "default")).alias("value"),
+        F.when(~rejected, F.col("pos")).alias("pos"), F.col("_unknown.name").alias("parameter"),
+        F.when(rejected & (F.size("_listed") > 0), expected).alias("expected"), F.when(rejected, "InvalidParameter").alias("error"),
     )
+    good, rejects = split(rows, "error", on_error)
+    return Split.of(good.drop("parameter", "expected"), rejects.select(request, "parameter", "error", "expected"), rows)
 
 
 def add_context(params: Column, namespace: Column, stack: Column, demo: Column | None = None):

@@ -157,10 +157,10 @@ def param_overlay(spark, sf):
         "request", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).select(
         "request", F.concat(F.lit("k"), F.col("pos").cast("string")).alias("name"),
         F.concat(F.lit("d"), F.col("pos").cast("string")).alias("default"), "pos")
-    good, rejects = C.overlay_parameters(defaults, given)
-    return good.select("request", "name", "value", F.lit("ok").alias("state")).unionByName(
-        rejects.select("request", F.col("parameter").alias("name"), F.col("expected").alias("value"),
-                       F.col("error").alias("state"))).unionByName(unread, allowMissingColumns=True)
+    rows = C.overlay_parameters(defaults, given).rows
+    return rows.select(
+        "request", F.coalesce("name", "parameter").alias("name"), F.coalesce("value", "expected").alias("value"),
+        F.coalesce("error", F.lit("ok")).alias("state")).unionByName(unread, allowMissingColumns=True)
 
 
 def context_overlay(spark, sf):
