@@ -29,20 +29,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sizing import shared_table
 from . import textarrays as ta
 from .exchange import (
-    ddl, direct_rows, exchanged, gathered, groups, hit_table, joined_ids, keyed, longs, per_document, seen_keys, touched,
+    ddl, direct_rows, exchanged, exchanged_by_text, gathered, groups, hit_table, joined_ids, keyed, longs, per_document, seen_keys, touched,
 )
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
+PART = 3
 CHECK_SEED = 0x9FB21C651E98DF25
 PROBES = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("hash", pa.binary()), ("row", pa.binary())])
 RUNS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("hash", pa.binary()),
                   ("check", pa.binary()), ("row", pa.binary()), ("place", pa.binary())])
 
 
-def codes(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Hash range and lower half of the hash but its last bit: what the first exchange compares."""
-    return (ta.part_of(hashes, parts).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFE))
+def codes(words: np.ndarray, parts: int) -> np.ndarray:
+    """Code of each run of seven words: hash range and lower half of the hash but its last bit, which the first
+    exchange compares.
+
+    The range is that of the least hash among the run's three-word parts. Neighbouring runs often share
+    it, so a passage goes to few ranges and is answered with few rows, however many ranges there are.
+    """
+    hashes, parts_of_run = ta.rolling(words, BLOCK), ta.rolling(words, PART)
+    if not len(hashes):
+        return hashes
+    least = parts_of_run[:len(hashes)].copy()
+    for j in range(1, BLOCK - PART + 1):
+        np.minimum(least, parts_of_run[j:j + len(hashes)], out=least)
+    return (ta.part_of(ta.mix(least), parts).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFE))
 
 
 def probe_rows(batch: pa.RecordBatch, parts: int):
@@ -50,7 +62,7 @@ def probe_rows(batch: pa.RecordBatch, parts: int):
     keys, found = longs(batch, "key"), []
     for chunk in ta.chunks(batch.column("text")):
         words = ta.split_words(chunk)
-        rolled = ta.rolling(ta.word_hashes(chunk.data, words), BLOCK)
+        rolled = codes(ta.word_hashes(chunk.data, words), parts)
         first = np.searchsorted(words.text, words.text, "left")
         place = (np.arange(len(words.text)) - first)[:len(rolled)]
         ok = ta.within(words.text, BLOCK)
@@ -60,7 +72,6 @@ def probe_rows(batch: pa.RecordBatch, parts: int):
     hashes, rows, aligned = (np.concatenate(x) for x in zip(*found))
     if not len(hashes):
         return
-    hashes = codes(hashes, parts)
     order = np.argsort(hashes)
     hashes, rows, aligned = hashes[order], rows[order], aligned[order]
     starts = groups(hashes)
@@ -116,7 +127,7 @@ def run_rows(batch: pa.RecordBatch, parts: int, ranges: int, window: int = WINDO
     for chunk in ta.chunks(batch.column("text")):
         words = ta.split_words(chunk)
         hashes = ta.word_hashes(chunk.data, words)
-        code = codes(ta.rolling(hashes, BLOCK), parts)
+        code = codes(hashes, parts)
         runs, check = ta.rolling(hashes, window), ta.rolling(hashes, window, CHECK_SEED)
         cuts = np.searchsorted(words.text, np.arange(len(chunk.offsets)))
         for t in range(len(chunk.offsets) - 1):
@@ -183,7 +194,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
             for part in ta.slices(batch, "text"):
                 yield from ta.batches_of(run_rows(part, parts, ranges), RUNS)
 
-    hits = shared_table(exchanged(texts.select("key", "text").mapInArrow(probe, ddl(PROBES)), resolve_probes, parts))
+    hits = shared_table(exchanged_by_text(texts.select("key", "text").mapInArrow(probe, ddl(PROBES)), resolve_probes, parts))
     near = touched(texts, seen_keys(hits)).join(gathered(hits), "key")
     return shared_table(exchanged(near.mapInArrow(run, ddl(RUNS)), resolve_runs, ranges))
 
