@@ -33,8 +33,9 @@ from ..sizing import shared_table
 from . import textarrays as ta
 
 DEPTH = 5
-BLOCK_BYTES = 32 << 20
-CHUNK = 4 << 20
+BLOCK_BYTES = 16 << 20
+HELD_KEYS = 1 << 20
+CHUNK = 1 << 20
 TREE_GROUPS = 128
 END = 0xFF
 """End of text; no UTF-8 byte."""
@@ -199,7 +200,12 @@ def block_keys(key, table):
                 found = counted(keys, learnt)
                 out[kind][0].append(found[0])
                 out[kind][1].append(found[1])
+                # Never much more than the distinct keys, whatever the size of the block.
+                if sum(map(len, out[kind][0][1:])) > HELD_KEYS:
+                    out[kind] = tuple([x] for x in merged(*out[kind]))
     both = {kind: merged(*parts) for kind, parts in out.items()}
+    del out
+    ta.give_back()
     return pa.table({
         "block": pa.array(np.full(sum(len(v[0]) for v in both.values()), key[0].as_py(), np.int32)),
         "kind": pa.array(np.concatenate([np.full(len(v[0]), k, np.int8) for k, v in both.items()])),
@@ -252,6 +258,8 @@ def tree_rows(key, table):
     n, m = len(grams), len(above)
     blank = np.zeros(n)
     blocks = table.column("blocks").combine_chunks()
+    del node, zeros, ones, weighted, number
+    ta.give_back()
     packed = np.ascontiguousarray(probability.astype("<f4"))
     kind = pa.list_(pa.int32())
     return pa.table({
@@ -328,7 +336,10 @@ def score(docs: DataFrame) -> tuple[DataFrame, int]:
                     pa.array(np.bincount(owner, np.log10((each + 1) / (train_tokens + distinct + 1)), n)),
                     pa.array(value), pa.array(np.diff(chunk.offsets)),
                 ], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"]))
-        return pa.Table.from_batches(out, schema=RESULT)
+        out = pa.Table.from_batches(out, schema=RESULT)
+        del gram, word
+        ta.give_back()
+        return out
 
     RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
