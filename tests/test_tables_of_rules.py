@@ -26,6 +26,19 @@ def test_selector_table(spark):
                           spark.createDataFrame(wanted[-3:], "selector INT, wanted MAP<STRING, STRING>"), ["id"], on_error="fail").good.collect()
 
 
+def test_selectors_in_tiles(spark):
+    """Hot labels are cut into tiles, nothing is broadcast, and each pair comes once: alike selectors, an object held by two labels, repeated and null keys."""
+    objs = [(i if i % 10 else None, {"a": "1", "b": str(i % 3), **({"c": str(i % 4)} if i % 2 else {})}) for i in range(60)] + [(5, {"a": "1", "b": None})] * 2
+    wanted = [(i, [{"a": "1"}, {"a": "1", "b": "2"}, {"b": "0", "c": "3"}, {"c": "1", "b": "1", "a": "1"}, {"c": "2"}, {"b": None}][i % 6]) for i in range(50)]
+    want = sorted((str(i), s) for i, have in objs for s, need in wanted if None not in need.values() and need.items() <= have.items())
+    for rows in (3, 10**6):
+        good = I.match_selectors(
+            spark.createDataFrame(objs, "id INT, labels MAP<STRING, STRING>").repartition(5),
+            spark.createDataFrame(wanted, "selector INT, wanted MAP<STRING, STRING>"), ["id"], rows_per_tile=rows).good
+        assert sorted((str(r.id), r.selector) for r in good.collect()) == want and len(want) > 500
+        assert "Broadcast" not in good._jdf.queryExecution().executedPlan().toString()
+
+
 def test_longest_suffix(spark):
     crds = [(1, "a.example.com", "x"), (2, "xexample.com", "y"), (3, "example.com", None), (4, "org", "z"), (5, "b.example.com", "w"), (6, None, "v")]
     suffixes = ["com", "example.com", ".example.com", "b.example.com", "nothing", None, "com"]
