@@ -7,7 +7,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sizing import ROWS_PER_TASK, hot_keys, join_null_safe, time_chunks
+from ..sizing import ROWS_PER_TASK, hot_keys_and_rows, join_null_safe, shared_table, time_chunks
+
+ROWS_PER_PARTITION = 250_000
 
 
 class Following(NamedTuple):
@@ -33,11 +35,12 @@ def following(
     """Add to each row the aggregates over the rows of its key with a larger ``at`` (a number), itself included.
 
     Among equal ``at``, rows for which ``late`` holds follow the others. One
-    sorted pass, never a join of pairs; chunks of hot keys add what the chunks after them hold. Rows
-    without ``at`` see nothing and count for none.
+    sorted pass, never a join of pairs; chunks of hot keys add what the chunks after them hold. Its
+    partitions are as many as the rows ask for: left to their bytes, which shrink to little on the way, one task would
+    sort millions of rows. Rows without ``at`` see nothing and count for none.
     """
     key = list(key)
-    hot = hot_keys(rows, key, at, rows_per_task)
+    hot, total = hot_keys_and_rows(rows, key, at, rows_per_task)
     chunked = time_chunks(rows, key, at, rows_per_task, hot)
     groups = [*key, "_chunk"]
     seen = Window.partitionBy(*groups).orderBy(F.col(at).desc(), late.desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -46,8 +49,13 @@ def following(
         later = Window.partitionBy(*key).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
         sums = join_null_safe(chunked, hot, key, "left_semi").groupBy(*groups).agg(
             *[v.of_rows.alias(f"_sum_{n}") for n, v in values.items()])
-        carried = sums.select(*groups, *[v.of_chunks(F.col(f"_sum_{n}")).over(later).alias(f"_later_{n}") for n, v in values.items()])
+        # A row for each chunk of a hot key: written, so that the planner knows how few they are.
+        carried = shared_table(sums.select(
+            *groups, *[v.of_chunks(F.col(f"_sum_{n}")).over(later).alias(f"_later_{n}") for n, v in values.items()]))
         chunked = join_null_safe(chunked, carried, groups, "left")
         out = {n: values[n].both(c, F.col(f"_later_{n}")) for n, c in out.items()}
+    partitions = -(-total // ROWS_PER_PARTITION)
+    if partitions > 1:
+        chunked = chunked.repartition(partitions, *groups)
     known = F.col(at).isNotNull()
     return chunked.select(*rows.columns, *[F.when(known, c).alias(n) for n, c in out.items()])

@@ -10,7 +10,7 @@ from ..errors import Split, split
 from ..functions.maps import label
 from ..functions.quantity import cpu_millis, memory_bytes, quantity_error
 from ..schemas import SCOPE
-from ..sizing import ROWS_PER_TASK, shared_table
+from ..sizing import shared_table
 from .asof import count_of, following, least_of
 from .ordering import enumerate_rows
 
@@ -18,6 +18,7 @@ from .ordering import enumerate_rows
 PROVIDER_PREFIXES = (("kind://", "Kind"), ("k3s://", "K3s"), ("ionos://", "Ionos"))
 MINIKUBE_LABEL = "minikube.k8s.io/version"
 STABLE_ENVIRONMENTS = ("Kind", "Minikube", "K3s")
+ROWS_PER_CHUNK = 250_000
 # ---------------------------------------------------------------------------------------
 
 
@@ -104,7 +105,7 @@ def checked_capacity(
 
 
 def fitting_clusters(
-    requests: DataFrame, capacity: DataFrame, scope: Sequence[str] = SCOPE, rows_per_task: int = ROWS_PER_TASK,
+    requests: DataFrame, capacity: DataFrame, scope: Sequence[str] = SCOPE, rows_per_task: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """For each request (cpu, memory) the number and the smallest of the clusters that hold both.
 
@@ -117,30 +118,33 @@ def fitting_clusters(
     """
     scope = list(scope)
     known = capacity.filter(F.col("cpu_millis").isNotNull() & F.col("memory_bytes").isNotNull())
-    sizes = shared_table(enumerate_rows(known.select(*scope, "cpu_millis", "memory_bytes"), ["cpu_millis", *scope], [], "_no"))
+    # Numbered in the order in which the smallest is chosen, so that a number stands for its cluster below.
+    sizes = shared_table(enumerate_rows(known.select(*scope, "cpu_millis", "memory_bytes"), ["cpu_millis", "memory_bytes", *scope], [], "_no"))
     levels = max(1, sizes.count().bit_length())
-    least = F.struct(F.col("cpu_millis").alias("cpu"), F.col("memory_bytes").alias("memory"), F.struct(*scope).alias("cluster"))
-    held = sizes.select((F.col("_no") - 1).alias("_no"), F.col("cpu_millis").alias("_cpu"), F.col("memory_bytes").alias("_mem"), least.alias("_size"))
+    size = F.struct(F.col("cpu_millis").alias("cpu"), F.col("memory_bytes").alias("memory"), F.struct(*scope).alias("cluster"))
+    held = sizes.select((F.col("_no") - 1).alias("_no"), F.col("cpu_millis").alias("_cpu"), F.col("memory_bytes").alias("_mem"))
     parsed = shared_table(requests.withColumns({"_need_cpu": cpu_millis(F.col("cpu")), "_need_mem": memory_bytes(F.col("memory"))}).withColumn(
         "error", F.when(F.col("_need_cpu").isNull(), "ParseCpuResourceRequirements").when(F.col("_need_mem").isNull(), "ParseMemoryResourceRequirements")
     ).withColumn("_id", F.monotonically_increasing_id()))
     asked = parsed.filter(F.col("error").isNull()).select("_id", F.col("_need_cpu").alias("_cpu"), F.col("_need_mem").alias("_mem"))
     one = F.lit(0).alias("_one")
     by_cpu = held.select(one, "_cpu", "_no").unionByName(asked.select(one, "_cpu", "_id", "_mem"), allowMissingColumns=True)
-    first = following(by_cpu, ["_one"], "_cpu", F.col("_no").isNotNull(), {"_first": least_of(F.col("_no"))}, rows_per_task).filter(
-        F.col("_id").isNotNull() & F.col("_first").isNotNull())
+    # Read several times below.
+    first = shared_table(following(by_cpu, ["_one"], "_cpu", F.col("_no").isNotNull(), {"_first": least_of(F.col("_no"))}, rows_per_task).filter(
+        F.col("_id").isNotNull() & F.col("_first").isNotNull()).select("_id", "_mem", "_first"))
     level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
-    in_blocks = held.select("_no", "_mem", "_size", level).withColumn("_block", F.expr("shiftright(_no, _level)"))
+    in_blocks = held.select("_no", "_mem", level).withColumn("_block", F.expr("shiftright(_no, _level)"))
     # The blocks that make up all numbers from the first on: its own, and one beside each 0 among its digits.
     start = F.array(F.struct(F.lit(0).alias("_level"), F.col("_first").alias("_block")))
     beside = F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(levels - 1)), lambda l: F.call_function("shiftright", F.col("_first"), l) % 2 == 0),
         lambda l: F.struct(l.alias("_level"), (F.call_function("shiftright", F.col("_first"), l) + 1).alias("_block")))
     wanted = first.select("_id", "_mem", F.inline(F.concat(start, beside)))
-    both = in_blocks.select("_level", "_block", "_mem", "_size").unionByName(wanted, allowMissingColumns=True)
-    met = following(both, ["_level", "_block"], "_mem", F.col("_size").isNotNull(),
-                    {"_n": count_of(F.col("_size")), "_best": least_of(F.col("_size"))}, rows_per_task).filter(F.col("_id").isNotNull())
-    found = met.groupBy("_id").agg(F.sum("_n").alias("clusters"), F.min("_best").alias("smallest"))
+    both = in_blocks.select("_level", "_block", "_mem", "_no").unionByName(wanted, allowMissingColumns=True)
+    met = following(both, ["_level", "_block"], "_mem", F.col("_no").isNotNull(),
+                    {"_n": count_of(F.col("_no")), "_best": least_of(F.col("_no"))}, rows_per_task).filter(F.col("_id").isNotNull())
+    found = met.groupBy("_id").agg(F.sum("_n").alias("clusters"), F.min("_best").alias("_best")).join(
+        sizes.select((F.col("_no") - 1).alias("_best"), size.alias("smallest")), "_best").select("_id", "clusters", "smallest")
     return parsed.join(found, "_id", "left").select(
         *requests.columns, F.when(F.col("error").isNull(), F.coalesce("clusters", F.lit(0))).alias("clusters"),
         F.col("smallest.cluster").alias("smallest"), F.col("smallest.cpu").alias("smallest_cpu"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import TimestampNTZType
 
 ROWS_PER_TASK = 4_000_000
@@ -65,10 +65,15 @@ def micros(df: DataFrame, name: str) -> Column:
 
 def hot_keys(df: DataFrame, by: list[str], t: str, rows_per_task: int) -> DataFrame | None:
     """Keys of more than ``rows_per_task`` timed rows with their count; None if there are none."""
-    stats = shared_table(
-        df.groupBy(*by).agg(F.count(t).alias("_n")).filter(F.col("_n") > rows_per_task)
-    )
-    return None if stats.isEmpty() else stats
+    return hot_keys_and_rows(df, by, t, rows_per_task)[0]
+
+
+def hot_keys_and_rows(df: DataFrame, by: list[str], t: str, rows_per_task: int) -> tuple[DataFrame | None, int]:
+    """:func:`hot_keys` and the number of all rows, in the same pass."""
+    seen = Observation()
+    counted = df.groupBy(*by).agg(F.count(t).alias("_n"), F.count(F.lit(1)).alias("_all")).observe(seen, F.sum("_all").alias("rows"))
+    stats = shared_table(counted.filter(F.col("_n") > rows_per_task).drop("_all"))
+    return None if stats.isEmpty() else stats, seen.get["rows"] or 0
 
 
 def time_chunks(

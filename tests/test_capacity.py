@@ -125,3 +125,31 @@ def test_fitting_clusters(spark, limit):
         assert (None if r.smallest is None else (r.smallest_cpu, r.smallest_memory, r.smallest.cluster)) == min(holds, default=None)
     empty = P.fitting_clusters(spark.createDataFrame(asked[:9], "spec INT, cpu STRING, memory STRING"), capacity.limit(0), ["cluster"], limit)
     assert {r.clusters for r in empty.collect()} <= {0, None}
+
+
+def test_following_in_small_tasks(spark, monkeypatch):
+    """Tasks are as many as the rows ask for, whatever they shrink to; a hot key and small ones give the same as all pairs."""
+    import random
+
+    from fleetframe.operators import asof
+
+    monkeypatch.setattr(asof, "ROWS_PER_PARTITION", 100, raising=False)
+    rng = random.Random(3)
+    rows = [(i, None if i % 50 == 0 else i % 2000 // 60 if i % 3 else 0, rng.randrange(300), i if rng.random() < 0.5 else None) for i in range(6000)]
+    out = asof.following(
+        spark.createDataFrame(rows, "id INT, key INT, at INT, value INT"), ["key"], "at", F.col("value").isNotNull(),
+        {"n": asof.count_of(F.col("value")), "least": asof.least_of(F.col("value"))}, 100)
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    held = {}
+    for _, key, at, value in rows:
+        if value is not None:
+            held.setdefault(key, []).append((at, value))
+    asking = [r for r in got if r.value is None]
+    assert len(got) == len(rows) and len(asking) > 2500
+    for r in asking:
+        later = [v for at, v in held.get(r.key, []) if at >= r.at]
+        assert (r.n, r.least) == (len(later), min(later, default=None))
+    tasks = {}
+    for r in got:
+        tasks[r.task] = tasks.get(r.task, 0) + 1
+    assert len(tasks) > 20 and max(tasks.values()) < 1000
