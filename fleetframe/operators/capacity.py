@@ -133,13 +133,15 @@ def fitting_clusters(
     first = shared_table(following(by_cpu, ["_one"], "_cpu", F.col("_no").isNotNull(), {"_first": least_of(F.col("_no"))}, rows_per_task).filter(
         F.col("_id").isNotNull() & F.col("_first").isNotNull()).select("_id", "_mem", "_first"))
     level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
-    in_blocks = held.select("_no", "_mem", level).withColumn("_block", F.expr("shiftright(_no, _level)"))
+    # Each row becomes one for each level at most; a task that made too many would hold them all as it writes them.
+    spread = lambda df, by: df.repartition(max(1, -(-df.count() * levels // ROWS_PER_CHUNK)), by)
+    in_blocks = spread(held, "_no").select("_no", "_mem", level).withColumn("_block", F.expr("shiftright(_no, _level)"))
     # The blocks that make up all numbers from the first on: its own, and one beside each 0 among its digits.
     start = F.array(F.struct(F.lit(0).alias("_level"), F.col("_first").alias("_block")))
     beside = F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(levels - 1)), lambda l: F.call_function("shiftright", F.col("_first"), l) % 2 == 0),
         lambda l: F.struct(l.alias("_level"), (F.call_function("shiftright", F.col("_first"), l) + 1).alias("_block")))
-    wanted = first.select("_id", "_mem", F.inline(F.concat(start, beside)))
+    wanted = spread(first, "_id").select("_id", "_mem", F.inline(F.concat(start, beside)))
     both = in_blocks.select("_level", "_block", "_mem", "_no").unionByName(wanted, allowMissingColumns=True)
     met = following(both, ["_level", "_block"], "_mem", F.col("_no").isNotNull(),
                     {"_n": count_of(F.col("_no")), "_best": least_of(F.col("_no"))}, rows_per_task).filter(F.col("_id").isNotNull())
