@@ -12,6 +12,10 @@ Archives are written by Spark, gzip-compressed, into the shared folder. A task w
 of about ``SEGMENT_BYTES``, each with its own version block, and a file holds a few segments, so
 files can be read whole without a shuffle to make them equal.
 
+The converter reads the archives twice: once for an index of records, without payloads, from which
+revisits are found; once to convert each file with its own revisits. Between the two passes whole
+compressed files move, never single payloads.
+
 Cases: a null payload is empty; a null URL is written as ``-``; spaces and controls in URLs
 are percent-encoded; repeated rows make repeated records, all of one type; an empty table
 makes empty archives; a record that ends early or a header of the wrong form raises an error.
@@ -29,11 +33,12 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sizing import shared_dir
+from ..sizing import shared_dir, shared_table
 from .textarrays import NULL_ID
 
 SEGMENT_BYTES = 4 << 20
 FILE_SEGMENTS = 4
+TASK_FILES = 8
 MIN_SHARED_BYTES = 100
 ARC_DATE = "20240101000000"
 #: Names of the header fields of the two ARC versions.
@@ -111,11 +116,12 @@ def iso_date(date: str) -> str:
 
 
 def warc_record(record_id: str, kind: str, url: str, date: str, mime: str, head: bytes, payload: bytes,
-                refers_to: str | None = None, extra: dict[str, str] | None = None) -> bytes:
+                refers_to: str | None = None, extra: dict[str, str] | None = None, payload_digest: str | None = None) -> bytes:
     block = head if kind == "revisit" else head + payload
+    payload_digest = payload_digest or hashlib.sha256(payload).hexdigest()
     fields = {
         "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{record_id}>", "WARC-Date": date,
-        "WARC-Target-URI": url, "WARC-Payload-Digest": "sha256:" + hashlib.sha256(payload).hexdigest(),
+        "WARC-Target-URI": url, "WARC-Payload-Digest": "sha256:" + payload_digest,
         "WARC-Block-Digest": "sha256:" + hashlib.sha256(block).hexdigest(),
         "Content-Type": "application/http; msgtype=response" if head else mime,
     }
@@ -195,35 +201,46 @@ def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
 
 
 ARC_SCHEMA = "page_id long, url string, date string, mime string, record_id string, head binary, payload binary, payload_digest string, payload_bytes long"
+INDEX_SCHEMA = "path string, offset long, page_id long, record_id string, payload_digest string, payload_bytes long"
+KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], KINDS[c.split()[1]]) for c in schema.split(", ")])
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each ARC record, with synthesised identifier and digest."""
+def arc_rows(path: str, content: bytes) -> Iterator[dict]:
+    """A row for each record of one compressed ARC file, with synthesised identifier and digest."""
+    for r in parse_arc(gzip.decompress(content)):
+        head, payload = split_response(r.body)
+        page = re.search(rb"\r\n" + PAGE_HEADER + rb"(-?[0-9]+)\r\n", head)
+        digest = hashlib.sha256(payload).hexdigest()
+        identity = f"{path.rsplit('/', 1)[-1]} {r.offset} {r.url} {digest}"
+        yield {
+            "path": path, "offset": r.offset, "page_id": int(page[1]) if page else None, "url": r.url,
+            "date": iso_date(r.date), "mime": r.mime, "record_id": str(uuid.uuid5(NAMESPACE, identity)),
+            "head": head, "payload": payload, "payload_digest": digest, "payload_bytes": len(payload),
+        }
+
+
+def read_arc(spark: SparkSession, path: str, schema: str = ARC_SCHEMA) -> DataFrame:
+    """One row for each ARC record; columns that ``schema`` leaves out never leave the task that parses."""
 
     def parse(batches):
-        names = [c.split()[0] for c in ARC_SCHEMA.split(", ")]
+        arrow = _arrow(schema)
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows, size = {n: [] for n in names}, 0
-                for r in parse_arc(gzip.decompress(data)):
-                    head, payload = split_response(r.body)
-                    page = re.search(rb"\r\n" + PAGE_HEADER + rb"(-?[0-9]+)\r\n", head)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    identity = f"{name.rsplit('/', 1)[-1]} {r.offset} {r.url} {digest}"
-                    for n, v in zip(names, (
-                        int(page[1]) if page else None, r.url, iso_date(r.date), r.mime,
-                        str(uuid.uuid5(NAMESPACE, identity)), head, payload, digest, len(payload),
-                    )):
-                        rows[n].append(v)
-                    size += len(r.body)
+                rows, size = {n: [] for n in arrow.names}, 0
+                for r in arc_rows(name, data):
+                    for n, values in rows.items():
+                        values.append(r[n])
+                    size += len(r["head"]) + len(r["payload"])
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_pydict(rows, schema=ARROW)
-                        rows, size = {n: [] for n in names}, 0
-                yield pa.RecordBatch.from_pydict(rows, schema=ARROW)
+                        yield pa.RecordBatch.from_pydict(rows, schema=arrow)
+                        rows, size = {n: [] for n in arrow.names}, 0
+                yield pa.RecordBatch.from_pydict(rows, schema=arrow)
 
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    ARROW = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ARC_SCHEMA.split(", ")])
-    return _files(spark, path).mapInArrow(parse, ARC_SCHEMA)
+    return _files(spark, path).mapInArrow(parse, schema)
 
 
 def first_holders(records: DataFrame, least: int = MIN_SHARED_BYTES) -> DataFrame:
@@ -233,35 +250,46 @@ def first_holders(records: DataFrame, least: int = MIN_SHARED_BYTES) -> DataFram
     )
 
 
-def write_warc(records: DataFrame, path: str, least: int = MIN_SHARED_BYTES) -> None:
-    """Records as WARC files, equal payloads stored once."""
-    holders = first_holders(records, least).select(
-        "payload_digest", F.col("_first.id").alias("_first_page"), F.col("_first.record_id").alias("_first_record")
-    )
-    # Digests meet their holder without the payloads; payloads then move by record, which never is hot.
-    lean = records.select("record_id", "page_id", "payload_digest").join(holders, "payload_digest")
-    revisits = lean.filter(F.coalesce("page_id", F.lit(NULL_ID)) > F.col("_first_page")).select(
-        "record_id", "_first_page", "_first_record"
+def revisits_of(index: DataFrame, least: int = MIN_SHARED_BYTES) -> DataFrame:
+    """Place of each record whose payload a smaller page holds, with that page and its record."""
+    holders = first_holders(index, least).select(
+        "payload_digest", F.col("_first.id").alias("first_page"), F.col("_first.record_id").alias("first_record")
     )
-    joined = records.join(revisits, "record_id", "left")
-
-    def records_of(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                kind = "response" if row["_first_page"] is None else "revisit"
-                extra = {} if row["page_id"] is None else {"X-Page-Id": str(row["page_id"])}
-                extra["X-Payload-Length"] = str(row["payload_bytes"])
-                if kind == "revisit" and row["_first_page"] != NULL_ID:
-                    extra["X-Refers-To-Page"] = str(row["_first_page"])
-                yield warc_record(
-                    row["record_id"], kind, row["url"], row["date"], row["mime"], row["head"], row["payload"],
-                    f"<urn:uuid:{row['_first_record']}>" if kind == "revisit" else None, extra,
-                )
-
-    def segments(batches):
-        return _segments(records_of(batches), b"", b"\r\n\r\n")
-
-    _write(joined.mapInArrow(segments, "value binary"), path, "\r\n\r\n")
+    return index.join(holders, "payload_digest").filter(
+        F.coalesce("page_id", F.lit(NULL_ID)) > F.col("first_page")
+    ).select("path", "offset", "first_page", "first_record")
+
+
+def write_warc(files: DataFrame, revisits: DataFrame, path: str) -> None:
+    """ARC files as WARC files; records at the places of ``revisits`` are stored without their payload."""
+
+    def convert(name: str, content: bytes, holders: dict[int, tuple[int, str]]):
+        for row in arc_rows(name, content):
+            page, record = holders.get(row["offset"], (None, None))
+            extra = {} if row["page_id"] is None else {"X-Page-Id": str(row["page_id"])}
+            extra["X-Payload-Length"] = str(row["payload_bytes"])
+            if record is not None and page != NULL_ID:
+                extra["X-Refers-To-Page"] = str(page)
+            yield warc_record(
+                row["record_id"], "response" if record is None else "revisit", row["url"], row["date"], row["mime"],
+                row["head"], row["payload"], f"<urn:uuid:{record}>" if record is not None else None, extra,
+                row["payload_digest"],
+            )
+
+    def segments(held, found):
+        pages, records = found.column("first_page").to_pylist(), found.column("first_record").to_pylist()
+        holders = dict(zip(found.column("offset").to_pylist(), zip(pages, records)))
+        batches = [
+            b for name, data in zip(held.column("path").to_pylist(), held.column("content").to_pylist())
+            for b in _segments(convert(name, data, holders), b"", b"\r\n\r\n")
+        ]
+        return pa.Table.from_batches(batches, _arrow("value binary"))
+
+    # A group is one file and the revisits in it, whatever the number of copies of a payload; tasks get a few files.
+    count = files.count()
+    parts = max(1, min(count, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-count // TASK_FILES))
+    held = files.repartition(parts, "path").groupBy("path")
+    _write(held.cogroup(revisits.groupBy("path")).applyInArrow(segments, "value binary"), path, "\r\n\r\n")
 
 
 WARC_SCHEMA = "page_id long, url string, date string, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to long, refers_to_record string, stored_bytes long"
@@ -269,8 +297,7 @@ WARC_SCHEMA = "page_id long, url string, date string, record_id string, record_t
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each WARC record; digests of stored payloads are checked."""
-    kinds = {"long": pa.int64(), "string": pa.string()}
-    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in WARC_SCHEMA.split(", ")])
+    arrow = _arrow(WARC_SCHEMA)
 
     def number(value):
         return None if value is None else int(value)
@@ -297,7 +324,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least: int = MIN_SHARED_BYTES) -> None:
-    write_warc(read_arc(spark, arc_path), warc_path, least)
+    """ARC files as WARC files, equal payloads stored once."""
+    index = shared_table(read_arc(spark, arc_path, INDEX_SCHEMA))
+    write_warc(_files(spark, arc_path), revisits_of(index, least), warc_path)
 
 
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
