@@ -63,3 +63,22 @@ def test_payloads_are_read_once_and_not_moved(spark, tmp_path, monkeypatch):
     plan = written[-1]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(" binaryFile") == 1
     assert "payload#" not in plan
+
+
+def test_many_files_in_a_task(spark, tmp_path, monkeypatch):
+    """Files that meet in one task keep their own revisits."""
+    monkeypatch.setattr(archives, "FILE_TASKS", 1)
+    rows = [(i, f"u{i}", f"<p>{i % 7}</p>" * 20) for i in range(90)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, PAGES).repartition(12).write.parquet(f"{path}/pages.parquet")
+    assert sorted(map(tuple, archives.op7_arc_to_warc(spark, path).collect()), key=str) == expected(rows)
+
+
+def test_archives_take_the_gzip_level(spark, tmp_path, monkeypatch):
+    html = "<p>same</p>" * 2000
+    sizes = []
+    for level in (archives.GZIP_LEVEL, "NO_COMPRESSION"):
+        monkeypatch.setattr(archives, "GZIP_LEVEL", level)
+        archives.write_arc(spark.createDataFrame([(1, "u", html)], PAGES), f"{tmp_path}/{level}")
+        sizes.append(max(f.stat().st_size for f in (tmp_path / level).glob("part-*")))
+    assert sizes[0] < len(html) / 9 < len(html) < sizes[1]
