@@ -39,6 +39,45 @@ def test_selectors_in_tiles(spark):
         assert "Broadcast" not in good._jdf.queryExecution().executedPlan().toString()
 
 
+def _written(df):
+    """Rows that the exchanges of a collected frame wrote."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], {}
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            found[node.id()] = node.metrics().get("shuffleRecordsWritten").get().value()
+        more = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [
+            node.child()] if kind == "ReusedExchangeExec" else [node.children().apply(i) for i in range(node.children().size())]
+        todo += more
+    assert found
+    return sum(found.values())
+
+
+def test_selectors_move_as_packed_keys(spark):
+    """Exchanges hold a key for each tile of its group and no more: tiles are as many as the objects that match, and hold packed keys."""
+    objs = [(i, "z", {"a": "1", "own": str(i)}) for i in range(1500)] + [(i, None, {"b": "1"}) for i in range(1500)] + [(None, "z", {"a": "1", "b": "1"})] * 3
+    wanted = [(i, {"a": "1"}) for i in range(1200)] + [(5000 + i, {"a": "1", "b": "1"}) for i in range(1000)] + [(None, {"b": "1"})]
+    good = I.match_selectors(
+        spark.createDataFrame(objs, "id INT, zone STRING, labels MAP<STRING, STRING>").repartition(4),
+        spark.createDataFrame(wanted, "selector INT, wanted MAP<STRING, STRING>").repartition(2), ["id", "zone"], rows_per_tile=50).good
+    got = [tuple(r) for r in good.collect()]
+    want = [(i, z, s) for i, z, have in objs for s, need in wanted if need.items() <= have.items()]
+    assert len(got) == 1503 * 1200 + 3 * 1000 + 1503 and sorted(got, key=str) == sorted(want, key=str)
+    assert _written(good) < 40_000
+
+
+def test_selectors_that_come_again(spark):
+    """Labels without a value match nothing; a name of several selectors with known labels picks nothing; runs end anywhere."""
+    objs = [(i, {"a": "1", "b": None if i % 2 else "2"}) for i in range(20)] + [(99, {}), (98, None)]
+    wanted = [(1, {"a": "1"}), (2, {"a": "1", "b": None}), (3, {"b": "2"}), (3, {"b": "2"}), (4, {"a": "1"}), (4, {"nosuch": "1"}), (5, {"a": "2"})]
+    wanted += [(100 + i, {"b": "2", "a": "1"}) for i in range(I.RUN + 1)]
+    good = I.match_selectors(spark.createDataFrame(objs, "id INT, labels MAP<STRING, STRING>"),
+                             spark.createDataFrame(wanted, "selector INT, wanted MAP<STRING, STRING>"), ["id"]).good
+    assert sorted(map(tuple, good.collect())) == sorted(
+        [(i, s) for i in range(20) for s in (1, 4)] + [(i, 100 + s) for i in range(0, 20, 2) for s in range(I.RUN + 1)])
+
+
 def test_longest_suffix(spark):
     crds = [(1, "a.example.com", "x"), (2, "xexample.com", "y"), (3, "example.com", None), (4, "org", "z"), (5, "b.example.com", "w"), (6, None, "v")]
     suffixes = ["com", "example.com", ".example.com", "b.example.com", "nothing", None, "com"]
