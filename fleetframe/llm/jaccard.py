@@ -43,6 +43,8 @@ from .exchange import SKETCH_BITS, ddl, groups, joined_ids, keyed, longs, seen_k
 SHINGLE = 5
 FREQUENT_SHARE = 0.01
 """Share of the shingles that count as frequent, those that most sets hold; the others are indexed alone."""
+RARE = 3
+"""Sets that a shingle is in at least to be frequent, whatever its share."""
 BUCKET_ROWS = 4096
 FAMILY_ROWS = 2000
 PREFIXES = pa.schema([("doc_id", pa.int64()), ("ord", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()),
@@ -268,7 +270,7 @@ def tiles(key: np.uint64, sig: int, count: int) -> list[int]:
 def frequent_from(sketch: np.ndarray, share: float = FREQUENT_SHARE) -> int:
     """Sets that a shingle is in at least to be frequent, from the corpus's own counts."""
     used = sketch[sketch > 0]
-    return max(3, int(np.quantile(used, 1 - share)) + 1) if len(used) else 3
+    return max(RARE, int(np.quantile(used, 1 - share)) + 1) if len(used) else RARE
 
 
 def candidate_edges(sets: DataFrame, parts: int) -> DataFrame:
